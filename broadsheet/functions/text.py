@@ -84,25 +84,44 @@ def highlight(c: Column, query_tokens: Column) -> Column:
     return F.array_join(marked, "")
 
 
-def _word_hits(word: Column, query_tokens: Column) -> Column:
-    return F.when(F.arrays_overlap(tokens(word), query_tokens), 1).otherwise(0)
+def _let(value: Column, body) -> Column:
+    """Bind ``value`` to a lambda variable, so that lambdas inside ``body`` do not evaluate it again
+    for every element."""
+    return F.transform(F.array(value), lambda x: body(x))[0]
+
+
+def _hits(all_words: Column, query_tokens: Column) -> Column:
+    return F.transform(
+        all_words, lambda w: F.when(F.arrays_overlap(tokens(w), query_tokens), 1).otherwise(0)
+    )
+
+
+def _best_start(hits: Column, length: int) -> Column:
+    """Start of the window with the most hits, the earliest on ties, by one sliding total."""
+    first = F.aggregate(F.slice(hits, 1, length), F.lit(0), lambda total, h: total + h)
+    begin = F.struct(first.alias("total"), first.alias("best"), F.lit(0).alias("start"))
+
+    def slide(acc: Column, s: Column) -> Column:
+        total = acc["total"] + hits[s + (length - 1)] - hits[s - 1]
+        better = total > acc["best"]
+        return F.struct(
+            total.alias("total"),
+            F.when(better, total).otherwise(acc["best"]).alias("best"),
+            F.when(better, s).otherwise(acc["start"]).alias("start"),
+        )
+
+    starts = F.when(
+        F.size(hits) > length, F.sequence(F.lit(1), F.size(hits) - length)
+    ).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(starts, begin, slide, lambda acc: acc["start"])
 
 
 def snippet(c: Column, query_tokens: Column, length: int = 50) -> Column:
     """The best window of ``length`` words; a text that is not longer comes back unchanged."""
-    all_words = words(c)
-
-    def best(ws: Column) -> Column:
-        hits = F.transform(ws, lambda w: _word_hits(w, query_tokens))
-        starts = F.sequence(F.lit(0), F.size(ws) - length)
-        totals = F.transform(
-            starts,
-            lambda s: F.struct(
-                F.aggregate(F.slice(hits, s + 1, length), F.lit(0), lambda a, h: a + h).alias("n"),
-                (-s).alias("neg_start"),
-            ),
-        )
-        start = -F.array_max(totals)["neg_start"]
-        return F.array_join(F.slice(ws, start + 1, length), " ")
 
-    return F.when(F.size(all_words) <= length, c).otherwise(best(all_words))
+    def cut(ws: Column) -> Column:
+        start = _let(_hits(ws, query_tokens), lambda hits: _best_start(hits, length))
+        window = F.array_join(F.slice(ws, start + 1, length), " ")
+        return F.when(F.size(ws) > length, window)
+
+    return F.coalesce(_let(words(c), cut), c)

@@ -2,22 +2,20 @@
 
 A lookup is a miss when nothing is stored or the stored answer is ``ttl`` or more old; a miss stores, a
 hit does not extend. So each miss depends on the one before it, which looks like one sequential pass per
-key. It is split in time instead, because one key may hold a third of the log:
+key. It is split in time instead, because one key may hold a third of the log. A cell is one key in one
+chunk of time:
 
-1. Per (group of keys, time chunk): for every possible expiry that can reach into the chunk, the time of
-   the last store in it. Expiries that lead to the same last store are merged, so a chunk is summarised
-   by a few rows per key.
-2. Per group of keys: walk the summaries in time order; this gives the expiry that enters each chunk.
-3. Per (group of keys, time chunk): mark the misses, starting from that expiry.
+1. Per cell: for every possible expiry that can reach into it, the time of the last store in it.
+   Expiries that lead to the same last store are merged, so a cell is summarised by a few rows.
+2. Per key: walk the summaries in time order; this gives the expiry that enters each cell.
+3. Per cell: mark the misses, starting from that expiry.
 
-A task of steps 1 and 3 holds one chunk of time, whatever the length of the log; both use the same
-shuffle.
+Cells are spread by hash over tasks of about ``SLOT_ROWS`` lookups, many small cells to a task; no task
+holds more of a hot key than one chunk. Steps 1 and 3 use the same shuffle.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,7 +25,7 @@ from broadsheet.functions.text import strip
 
 TTL_SECONDS = 60
 CHUNK_TTLS = 60
-KEY_GROUPS = 64
+SLOT_ROWS = 500_000
 KEY_NAMESPACE = "query_cache"
 NO_EXPIRY = -(1 << 62)
 
@@ -54,25 +52,28 @@ def cache_key(kind: str = "text") -> Column:
     return F.concat(F.lit(f"{KEY_NAMESPACE}:{kind}:"), F.md5(full.cast("binary")))
 
 
-class _Chunk:
-    """Distinct (key, time) points of one chunk in order, and the next store after each point."""
+class _Cells:
+    """Distinct (cell, time) points of one slot in order, and the next store after each point."""
 
     def __init__(self, pdf: pd.DataFrame, ttl: int, chunk_us: int):
         self.ttl, self.span = ttl, chunk_us + 2 * ttl + 2
-        self.start = int(pdf["chunk"].iloc[0]) * chunk_us
-        codes, self.keys = pd.factorize(pdf["cache_key"], sort=True)
-        point = codes.astype(np.int64) * self.span + (pdf["t"].to_numpy() - self.start)
+        cells = pd.MultiIndex.from_arrays([pdf["cache_key"], pdf["chunk"]])
+        code, self.cells = pd.factorize(cells, sort=True)
+        self.chunk = self.cells.get_level_values(1).to_numpy(np.int64)
+        self.start = self.chunk * chunk_us
+        point = code.astype(np.int64) * self.span + (pdf["t"].to_numpy() - self.start[code])
         self.points, self.point_of_row = np.unique(point, return_inverse=True)
         self.code = self.points // self.span
+        self.offset = self.points - self.code * self.span
         after = np.searchsorted(self.points, self.points + ttl, side="left")
-        self.next = np.where(self._same_key(after, self.code), after, -1)
+        self.next = np.where(self._same_cell(after, self.code), after, -1)
 
-    def _same_key(self, index: np.ndarray, code: np.ndarray) -> np.ndarray:
+    def _same_cell(self, index: np.ndarray, code: np.ndarray) -> np.ndarray:
         inside = index < len(self.points)
         return inside & (self.code[np.minimum(index, len(self.points) - 1)] == code)
 
     def times(self) -> np.ndarray:
-        return self.points - self.code * self.span + self.start
+        return self.offset + self.start[self.code]
 
     def last_store(self) -> np.ndarray:
         """Index of the last store of the chain that starts at each point (pointer jumping)."""
@@ -84,11 +85,11 @@ class _Chunk:
             jump = further
 
     def misses(self, entry: np.ndarray) -> np.ndarray:
-        """Which points store, given the expiry that enters the chunk for each key."""
-        codes = np.arange(len(self.keys))
+        """Which points store, given the expiry that enters each cell."""
+        codes = np.arange(len(self.cells))
         offset = np.clip(entry - self.start, 0, self.span - 1)
         at = np.searchsorted(self.points, codes * self.span + offset, side="left")
-        at = at[self._same_key(at, codes)]
+        at = at[self._same_cell(at, codes)]
         miss = np.zeros(len(self.points), dtype=bool)
         while len(at):
             miss[at] = True
@@ -97,44 +98,48 @@ class _Chunk:
         return miss
 
 
-SUMMARY = "key_group int, chunk long, cache_key string, upto long, last_store long"
-ENTRIES = "key_group int, chunk long, cache_key string, entry long"
+SUMMARY = "cache_key string, chunk long, upto long, last_store long"
+ENTRIES = "cache_key string, chunk long, entry long"
+MARKED = "event_id long, cache_key string, hit boolean"
 
 
 def _summarise(ttl: int, chunk_us: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk = _Chunk(pdf, ttl, chunk_us)
-        times, exits = chunk.times(), chunk.times()[chunk.last_store()]
-        first = np.r_[True, chunk.code[1:] != chunk.code[:-1]]
-        reachable = first | (np.r_[chunk.start, times[:-1]] < chunk.start + ttl)
-        out = pd.DataFrame(
+        cells = _Cells(pdf, ttl, chunk_us)
+        last = cells.last_store()
+        new_cell = np.r_[True, cells.code[1:] != cells.code[:-1]]
+        # A later point only matters as a start when the point before it lies inside the first ttl.
+        start = new_cell | (np.r_[0, cells.offset[:-1]] < ttl)
+        code, last, times = cells.code[start], last[start], cells.times()
+        run_end = np.r_[(code[1:] != code[:-1]) | (last[1:] != last[:-1]), True]
+        keys = cells.cells.get_level_values(0)
+        return pd.DataFrame(
             {
-                "key_group": pdf["key_group"].iloc[0],
-                "chunk": pdf["chunk"].iloc[0],
-                "cache_key": np.asarray(chunk.keys)[chunk.code],
-                "upto": times,
-                "last_store": exits,
+                "cache_key": keys[code[run_end]],
+                "chunk": cells.chunk[code[run_end]],
+                "upto": times[start][run_end],
+                "last_store": times[last[run_end]],
             }
-        )[reachable]
-        return out.drop_duplicates(["cache_key", "last_store"], keep="last")
+        )
 
     return run
 
 
 def _entries(ttl: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
         pdf = pdf.sort_values(["cache_key", "chunk", "upto"])
-        group = int(pdf["key_group"].iloc[0])
-        expiry, current = NO_EXPIRY, None
-        for (key, chunk), part in pdf.groupby(["cache_key", "chunk"], sort=False):
-            if key != current:
-                expiry, current = NO_EXPIRY, key
-            rows.append((group, int(chunk), key, expiry))
-            at = bisect_left(part["upto"].to_numpy(), expiry)
-            if at < len(part):
-                expiry = int(part["last_store"].to_numpy()[at]) + ttl
-        return pd.DataFrame(rows, columns=["key_group", "chunk", "cache_key", "entry"])
+        out, key, chunk, expiry, taken = [], None, None, NO_EXPIRY, False
+        for k, c, upto, last in zip(
+            pdf["cache_key"], pdf["chunk"], pdf["upto"], pdf["last_store"], strict=True
+        ):
+            if k != key:
+                key, chunk, expiry = k, None, NO_EXPIRY
+            if c != chunk:
+                chunk, taken = c, False
+                out.append((k, c, expiry))
+            if not taken and upto >= expiry:
+                expiry, taken = last + ttl, True
+        return pd.DataFrame(out, columns=["cache_key", "chunk", "entry"])
 
     return run
 
@@ -144,10 +149,10 @@ def _mark(ttl: int, chunk_us: int):
         if not len(events):
             return pd.DataFrame({"event_id": [], "cache_key": [], "hit": []})
         events = events.sort_values("event_id", kind="stable").reset_index(drop=True)
-        chunk = _Chunk(events, ttl, chunk_us)
-        entry = entries.set_index("cache_key")["entry"].reindex(chunk.keys).to_numpy(np.int64)
-        miss = chunk.misses(entry)[chunk.point_of_row]
-        repeated = pd.Series(chunk.point_of_row).duplicated().to_numpy()
+        cells = _Cells(events, ttl, chunk_us)
+        entry = entries.set_index(["cache_key", "chunk"])["entry"].reindex(cells.cells)
+        miss = cells.misses(entry.to_numpy(np.int64))[cells.point_of_row]
+        repeated = pd.Series(cells.point_of_row).duplicated().to_numpy()
         return pd.DataFrame(
             {
                 "event_id": events["event_id"],
@@ -163,7 +168,7 @@ def cache_hits(
     log: DataFrame,
     ttl_seconds: int = TTL_SECONDS,
     chunk_ttls: int = CHUNK_TTLS,
-    key_groups: int = KEY_GROUPS,
+    slot_rows: int = SLOT_ROWS,
 ) -> DataFrame:
     """``(event_id, cache_key, hit)`` for a log ``(event_id, cache_key, ts)``.
 
@@ -171,17 +176,19 @@ def cache_hits(
     """
     ttl = ttl_seconds * 1_000_000
     chunk_us = ttl * max(1, chunk_ttls)
+    slots = max(1, -(-log.count() // slot_rows))
     t = F.unix_micros(F.col("ts").cast("timestamp"))
-    events = log.select(
-        "event_id",
-        "cache_key",
-        t.alias("t"),
-        F.floor(t / F.lit(chunk_us)).cast("long").alias("chunk"),
-        F.pmod(F.xxhash64("cache_key"), F.lit(key_groups)).cast("int").alias("key_group"),
-    ).repartition("key_group", "chunk")
-    grouped = events.groupBy("key_group", "chunk")
-    summary = grouped.applyInPandas(_summarise(ttl, chunk_us), SUMMARY)
-    entries = summary.groupBy("key_group").applyInPandas(_entries(ttl), ENTRIES)
-    return grouped.cogroup(entries.groupBy("key_group", "chunk")).applyInPandas(
-        _mark(ttl, chunk_us), "event_id long, cache_key string, hit boolean"
+    chunk = F.expr(f"{chunk_us}L")
+    cell_slot = F.pmod(F.xxhash64("cache_key", "chunk"), F.lit(slots)).cast("int")
+    key_slot = F.pmod(F.xxhash64("cache_key"), F.lit(slots)).cast("int")
+    events = (
+        log.select("event_id", "cache_key", t.alias("t"))
+        .withColumn("chunk", ((F.col("t") - F.pmod("t", chunk)) / chunk).cast("long"))
+        .withColumn("slot", cell_slot)
+        .repartition("slot")
     )
+    by_slot = events.groupBy("slot")
+    summary = by_slot.applyInPandas(_summarise(ttl, chunk_us), SUMMARY)
+    entries = summary.groupBy(key_slot.alias("key_slot")).applyInPandas(_entries(ttl), ENTRIES)
+    entries = entries.withColumn("slot", cell_slot)
+    return by_slot.cogroup(entries.groupBy("slot")).applyInPandas(_mark(ttl, chunk_us), MARKED)

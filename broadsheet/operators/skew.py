@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_OVERHEAD = 64
@@ -11,18 +12,26 @@ SALTS = 16
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int | None = None) -> bool:
-    """Measure a side before broadcasting it: one aggregate over rows and value bytes."""
+    """Measure a side before broadcasting it: one aggregate over rows and value bytes.
+
+    Pass a persisted frame, so that measuring does not repeat the work behind it.
+    """
     limit = BROADCAST_BYTES if max_bytes is None else max_bytes
     if limit <= 0:
         return False
-    width = sum(
-        (F.coalesce(F.octet_length(F.to_json(F.struct(F.col(c)))), F.lit(0)) for c in df.columns),
-        F.lit(ROW_OVERHEAD),
-    )
+    width = sum((_value_bytes(f) for f in df.schema.fields), F.lit(ROW_OVERHEAD))
     size = df.agg(F.sum(width).alias("b")).first()["b"]
     return (size or 0) <= limit
 
 
+def _value_bytes(field: T.StructField) -> Column:
+    if isinstance(field.dataType, T.StringType):
+        return F.coalesce(F.octet_length(field.name), F.lit(0))
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(F.col(field.name)))), F.lit(0))
+    return F.lit(8)
+
+
 def sized_join(
     big: DataFrame,
     small: DataFrame,
@@ -33,12 +42,16 @@ def sized_join(
 ) -> DataFrame:
     """Join with ``small`` broadcast when its measured size allows, salted otherwise.
 
+    ``small`` is persisted (memory and disk) because it is read twice, by the measurement and by the
+    join; a lost block is recomputed.
+
     In the salted form each big row goes to one of ``salts`` slots by a hash of the whole row, and
     every small row is copied to all slots, so a hot key is spread over that many tasks. The hash is
     a function of the row, so a lost task recomputes the same slots.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"join type {how} would repeat small rows over the slots")
+    small = small.persist()
     if fits_broadcast(small, max_bytes):
         return big.join(F.broadcast(small), on, how)
     slot = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int")
