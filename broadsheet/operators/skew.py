@@ -45,7 +45,7 @@ def sized_join(
     ``small`` is persisted (memory and disk) because it is read twice, by the measurement and by the
     join; a lost block is recomputed.
 
-    In the salted form each big row goes to one of ``salts`` slots by a hash of the whole row, and
+    In the salted form each big row goes to one of ``salts`` slots by a hash of its columns, and
     every small row is copied to all slots, so a hot key is spread over that many tasks. The hash is
     a function of the row, so a lost task recomputes the same slots.
     """
@@ -54,7 +54,8 @@ def sized_join(
     small = small.persist()
     if fits_broadcast(small, max_bytes):
         return big.join(F.broadcast(small), on, how)
-    slot = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int")
+    hashed = [f.name for f in big.schema.fields if not isinstance(f.dataType, T.MapType)]
+    slot = F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int")
     slots = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     return (
         big.withColumn("_slot", slot)

@@ -15,29 +15,35 @@ from broadsheet.schemas import RAW_NEWS
 ROWS_PER_FILE_BITS = 40
 
 
-def read_raw_news(spark: SparkSession, path: str) -> DataFrame:
-    """Read raw news parquet with an explicit schema; only the six columns are read.
-
-    ``ord`` is the rank of the file (by path) and the row's index inside it. The rank is taken over
-    the file names alone, so that window sees one row per file, not per article.
-    """
-    scan = spark.read.schema(RAW_NEWS).parquet(path).select(
+def file_position(scan: DataFrame) -> DataFrame:
+    """Add the place of every row, ``(file_path, row_index)``, to a parquet scan, batch or stream."""
+    return scan.select(
         *RAW_NEWS.fieldNames(),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.row_index").alias("row_index"),
     )
-    files = scan.select("file_path").distinct()
-    ranked = files.withColumn(
-        "file_rank", F.row_number().over(Window.orderBy("file_path")).cast("long") - 1
-    )
+
+
+def with_file_order(placed: DataFrame) -> DataFrame:
+    """Turn the place of a row into ``ord``: the rank of the file, by path, and the row's index in it.
+
+    The rank is taken over the distinct file names, so that window sees one row per file.
+    """
+    files = placed.select("file_path").distinct()
+    rank = F.row_number().over(Window.orderBy("file_path")).cast("long") - 1
     base = F.lit(1 << ROWS_PER_FILE_BITS)
     return (
-        scan.join(ranked, "file_path")
+        placed.join(files.withColumn("file_rank", rank), "file_path")
         .withColumn("ord", F.col("file_rank") * base + F.col("row_index"))
         .select("ord", *RAW_NEWS.fieldNames())
     )
 
 
+def read_raw_news(spark: SparkSession, path: str) -> DataFrame:
+    """Read raw news parquet with an explicit schema; only the six columns are read."""
+    return with_file_order(file_position(spark.read.schema(RAW_NEWS).parquet(path)))
+
+
 def raw_news_from_documents(documents: DataFrame) -> DataFrame:
     """The raw news stand-in: one raw row per document, each rule a plain column expression.
 
