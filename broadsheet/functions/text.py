@@ -13,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-# Every character Python counts as white space, as a trim list and as a regular expression class.
+# Every character Python counts as white space. As a regular expression class this is Unicode white
+# space plus four control characters; the short class is several times faster to match than a list.
 BLANKS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
-NON_BLANK_RUN = f"[^{BLANKS}]+"
+BLANK_CLASS = r"\s\x1c-\x1f"
+NON_BLANK_RUN = rf"(?U)[^{BLANK_CLASS}]+"
 TOKEN = r"[\p{L}\p{N}]+"
 MARK_OPEN, MARK_CLOSE = "<mark>", "</mark>"
 
@@ -29,6 +31,12 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(NON_BLANK_RUN))
 
 
+def has_words(c: Column, n: int) -> Column:
+    """Are there ``n`` words or more? Stops at the n-th word, so long texts cost no more than short."""
+    word, gap = f"[^{BLANK_CLASS}]", f"[{BLANK_CLASS}]"
+    return c.rlike(rf"(?U)\A{gap}*+(?:{word}++{gap}++){{{n - 1}}}{word}")
+
+
 def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(NON_BLANK_RUN), F.lit(0))
 

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from broadsheet.functions.text import strip, word_count
+from broadsheet.functions.text import has_words, strip, word_count
+from broadsheet.operators.skew import sized_join
 from broadsheet.schemas import (
     ARTICLE_COLUMNS,
     DEFAULT_CATEGORY,
@@ -36,7 +37,7 @@ def reject_reason() -> Column:
     return (
         F.when(F.coalesce(strip(F.col("title")), F.lit("")) == "", "empty_title")
         .when((article == NONE_TEXT) | (strip(article) == ""), "empty_article")
-        .when(word_count(article) < MIN_WORDS, "too_short")
+        .when(~has_words(article, MIN_WORDS), "too_short")
     )
 
 
@@ -227,9 +228,10 @@ def upsert(stored: DataFrame, changes: DataFrame, order: str) -> DataFrame:
     """Replace whole documents by ``id``; within ``changes`` the highest ``order`` wins.
 
     The winning order per id is found by a pre-aggregated ``max`` on narrow rows, so an id that is
-    rewritten over and over does not pile up in one task. ``order`` must be unique per id.
+    rewritten over and over does not pile up in one task. The stored table is only scanned while the
+    changed ids fit a broadcast. ``order`` must be unique per id.
     """
     latest = changes.groupBy("id").agg(F.max(order).alias(order))
     winners = changes.join(latest, ["id", order], "left_semi").drop(order)
-    untouched = stored.join(latest.select("id"), "id", "left_anti")
+    untouched = sized_join(stored, latest.select("id"), ["id"], "left_anti")
     return untouched.unionByName(winners)

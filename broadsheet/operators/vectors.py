@@ -87,7 +87,7 @@ def _distances(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """Running best k per query over blocks of corpus rows, ordered by (distance, ord)."""
+    """Running best k per query over steps of corpus rows, ordered by (distance, ord)."""
 
     def __init__(self, keys: np.ndarray, units: np.ndarray, k: int, rule: str):
         self.keys, self.units, self.k, self.rule = keys, units, k, rule
@@ -97,18 +97,26 @@ class _Best:
     def add(self, ords: np.ndarray, units: np.ndarray) -> None:
         if not len(ords):
             return
+        by_ord = np.argsort(ords, kind="stable")
+        ords, units = ords[by_ord], units[by_ord]
         found = _distances(self.units, units)
         if self.rule == "not_self":
             found[self.keys[:, None] == ords[None, :]] = np.inf
         elif self.rule == "earlier":
             found[ords[None, :] >= self.keys[:, None]] = np.inf
+        ords = np.broadcast_to(ords, found.shape)
+        if found.shape[1] > self.k:
+            # Distances are whole millionths, so distance and place make one exact integer to select by.
+            place = np.where(np.isfinite(found), np.rint(found * 10**PLACES), 1 << 40)
+            code = place.astype(np.int64) * found.shape[1] + np.arange(found.shape[1])
+            near = np.argpartition(code, self.k, axis=1)[:, : self.k]
+            found = np.take_along_axis(found, near, axis=1)
+            ords = np.take_along_axis(ords, near, axis=1)
         distance = np.concatenate([self.distance, found], axis=1)
-        ords_all = np.concatenate(
-            [self.ord, np.broadcast_to(ords, (len(self.keys), len(ords)))], axis=1
-        )
-        order = np.lexsort((ords_all, distance), axis=1)[:, : self.k]
+        ords = np.concatenate([self.ord, ords], axis=1)
+        order = np.lexsort((ords, distance), axis=1)[:, : self.k]
         self.distance = np.take_along_axis(distance, order, axis=1)
-        self.ord = np.take_along_axis(ords_all, order, axis=1)
+        self.ord = np.take_along_axis(ords, order, axis=1)
 
     def frame(self) -> pd.DataFrame:
         keep = np.isfinite(self.distance)

@@ -12,11 +12,20 @@ from broadsheet.operators import ingest
 from broadsheet.operators import vectors as vector_ops
 from broadsheet.operators import suggest
 from broadsheet.plans import textindex
-from broadsheet.schemas import SEARCH_FIELDS, TEXT_FIELDS
+from broadsheet.schemas import FIELD_WEIGHTS, SEARCH_FIELDS
 from broadsheet.sources.raw_news import raw_news, table
 from broadsheet.sources.store import Store
 
 BYTES_PER_BUCKET = 256 * 1024 * 1024
+# Sort and partition columns of the tables bucketed by ``ord``.
+BUCKETED = {
+    "articles": (("ord",), ()),
+    "docs": (("ord",), ()),
+    "postings": (("term",), ("head",)),
+    "vectors": (("ord",), ()),
+}
+TABLES = [*BUCKETED, "term_stats", "suggestions"]
+LAYOUT = "name string, columns string, buckets int"
 
 _open: dict[tuple[str, str], "Corpus"] = {}
 
@@ -39,8 +48,13 @@ class Corpus:
     ``ord`` inside the engine; it has the same order as ``id``.
     """
 
-    def __init__(self, store: Store, raw: DataFrame, vectors: DataFrame | None = None,
-                 buckets: int | None = None):
+    def __init__(
+        self,
+        store: Store,
+        raw: DataFrame,
+        vectors: DataFrame | None = None,
+        buckets: int | None = None,
+    ):
         self.store = store
         self.spark = store.spark
         self._raw = raw
@@ -89,7 +103,7 @@ class Corpus:
     @cached_property
     def totals(self) -> dict[str, int]:
         """Article count and field lengths: one row, read to the driver once."""
-        return textindex.corpus_totals(self.articles).first().asDict()
+        return {"n": self.docs.count(), **textindex.field_totals(self.postings).first().asDict()}
 
     @cached_property
     def vectors(self) -> DataFrame:
@@ -106,9 +120,38 @@ class Corpus:
     def suggestions(self) -> DataFrame:
         return self.store.write("suggestions", suggest.dictionary(self.articles))
 
-    def average_length(self, fields: list[str]) -> float:
-        from broadsheet.schemas import FIELD_WEIGHTS
+    def save_layout(self) -> None:
+        """Build every table and note how they are laid out, so that another session can attach."""
+        built = {name: getattr(self, name) for name in TABLES if name != "vectors" or self.has_vectors}
+        rows = [
+            (name, ", ".join(f"{c} {t}" for c, t in df.drop("head").dtypes), self.buckets)
+            for name, df in built.items()
+        ]
+        self.store.write("layout", self.spark.createDataFrame(rows, LAYOUT).coalesce(1))
+
+    @classmethod
+    def attach(cls, spark: SparkSession, path: str) -> "Corpus":
+        """A corpus that an earlier session built and saved in ``path``."""
+        store = Store(spark, path)
+        layout = spark.read.schema(LAYOUT).parquet(store.location("layout")).collect()
+        out = cls.__new__(cls)
+        out.store, out.spark, out._raw, out._raw_vectors = store, spark, None, None
+        out.buckets = layout[0]["buckets"]
+        for name, columns, buckets in layout:
+            if name not in BUCKETED:
+                table_df = spark.read.schema(columns).parquet(store.location(name))
+            else:
+                sort, parts = BUCKETED[name]
+                ddl = columns + "".join(f", {p} int" for p in parts)
+                table_df = store.attach_bucketed(name, ddl, buckets, sort=sort, partition_by=parts)
+            out.__dict__[name] = table_df
+        return out
+
+    @property
+    def has_vectors(self) -> bool:
+        return self._raw_vectors is not None
 
+    def average_length(self, fields: list[str]) -> float:
         total = sum(FIELD_WEIGHTS[f] * self.totals[f"len_{f}"] for f in fields)
         return total / self.totals["n"] if self.totals["n"] else 0.0
 

@@ -8,7 +8,7 @@
   default search does not read the postings of the bodies.
 * ``term_stats``: per term and set of fields, the number of articles. Summing the sets that touch the
   searched fields gives the exact document frequency for any choice of fields.
-* corpus totals: article count and total length of each field, one row.
+* totals: article count and total length of each field, one row.
 """
 
 from __future__ import annotations
@@ -75,11 +75,13 @@ def document_frequency(stats: DataFrame, fields: list[str]) -> DataFrame:
     return stats.filter(in_fields(fields)).groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def corpus_totals(articles: DataFrame) -> DataFrame:
-    """One row: number of articles and total token count of each text field."""
-    return articles.select(*[F.size(tokens(F.col(f))).alias(f) for f in TEXT_FIELDS]).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.coalesce(F.sum(f), F.lit(0)).cast("long").alias(f"len_{f}") for f in TEXT_FIELDS],
+def field_totals(postings_table: DataFrame) -> DataFrame:
+    """One row: the token count of each text field over the whole corpus.
+
+    The counts of all postings add up to the lengths, so no text is read again.
+    """
+    return postings_table.agg(
+        *[F.coalesce(F.sum(f"tf_{f}"), F.lit(0)).cast("long").alias(f"len_{f}") for f in TEXT_FIELDS]
     )
 
 

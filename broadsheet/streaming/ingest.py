@@ -44,6 +44,17 @@ class StreamIngest:
         stored = self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}")
         return stored.parquet(f"{self.path}/{name}").filter(F.col("batch_id") < batch_id)
 
+    @staticmethod
+    def _days(firsts: DataFrame) -> Column:
+        """The dates a batch can repeat, as constants: news arrives by date, so the statistics of
+        the stored files rule out most of them."""
+        dated = F.when(F.col("date_key") != NULL_DATE, F.col("date_key"))
+        span = firsts.agg(F.min(dated).alias("low"), F.max(dated).alias("high")).first()
+        undated = F.col("date_key") == NULL_DATE
+        if span["low"] is None:
+            return undated
+        return undated | F.col("date_key").between(span["low"], span["high"])
+
     def load(self, placed: DataFrame, batch_id: int) -> None:
         """Clean, de-duplicate against stored keys, number and write one micro-batch."""
         raw = with_file_order(placed)
@@ -52,7 +63,8 @@ class StreamIngest:
             .groupBy("title", date_key().alias("date_key"))
             .agg(F.min("ord").alias("ord"))
         )
-        stored = self._earlier("accepted", ACCEPTED, batch_id).select("title", "date_key")
+        stored = self._earlier("accepted", ACCEPTED, batch_id).filter(self._days(firsts))
+        stored = stored.select("title", "date_key")
         # The stored keys are the big side and are only scanned; the batch is sent to them.
         seen = sized_join(
             stored, firsts.select("title", "date_key"), ["title", "date_key"], "left_semi"

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from broadsheet.functions.text import BLANKS, highlight, snippet, tag_array_values, words
+from broadsheet.functions.text import BLANKS, has_words, highlight, snippet, tag_array_values, words
 from broadsheet.operators import cache, facets, hybrid, similar, suggest, textsearch
 from broadsheet.operators.skew import sized_join
 from broadsheet.operators.vectors import nearest
@@ -314,6 +314,13 @@ def test_words_and_tags(spark):
     assert row[0] == ["a", "b"] and row[1] == ["food", "wine", "health"]
 
 
+def test_white_space_is_the_same_as_in_python(spark):
+    chars = [chr(i) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000]
+    df = spark.createDataFrame([("a" + ch + "b", len(("a" + ch + "b").split())) for ch in chars], "t string, n int")
+    wrong = df.filter((F.size(words(F.col("t"))) != F.col("n")) | (has_words(F.col("t"), 2) != (F.col("n") == 2)))
+    assert wrong.count() == 0
+
+
 @pytest.mark.parametrize("d", [1, 2])
 @pytest.mark.parametrize("max_bytes", [None, 0])
 def test_edit_distance_join(spark, d, max_bytes):
