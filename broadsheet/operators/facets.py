@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.operators.filters import Filters, has_text
+from broadsheet.operators.skew import top_per_key
 from broadsheet.operators.textsearch import match_all_words
 from broadsheet.plans.corpus import Corpus
 from broadsheet.schemas import ALL, TEXT_FIELDS, UNKNOWN
@@ -118,24 +119,19 @@ def top_stories(corpus: Corpus, limit: int = 3) -> DataFrame:
 def category_sections(corpus: Corpus, categories: int = 5, per_category: int = 3) -> DataFrame:
     """The newest articles of the largest categories.
 
-    The rank filter on the window keeps ``per_category`` rows per task and category before the
-    shuffle, so a dominant category does not load one task.
+    Only ``per_category`` rows per task and category are shuffled, so a dominant category does not
+    load one task.
     """
     top = ranked(counts(corpus.docs, F.col("category_tag")), *by_count(), limit=categories).select(
         F.col("name").alias("category_tag"), F.col("rank").alias("section")
     )
-    newest = Window.partitionBy("category_tag").orderBy(F.desc("published_ts"), F.asc("ord"))
+    docs = corpus.docs.select("ord", "id", "category_tag", "published_ts")
+    newest = [F.desc("published_ts"), F.asc("ord")]
     return (
-        corpus.docs.select("ord", "id", "category_tag", "published_ts")
-        .withColumn("rank", F.row_number().over(newest))
-        .filter(F.col("rank") <= per_category)
+        top_per_key(docs, ["category_tag"], newest, per_category)
         .join(F.broadcast(top), "category_tag")
         .select(
-            "section",
-            F.initcap("category_tag").alias("category"),
-            F.col("rank").cast("long").alias("rank"),
-            "id",
-            "published_ts",
+            "section", F.initcap("category_tag").alias("category"), "rank", "id", "published_ts"
         )
     )
 

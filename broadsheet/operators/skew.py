@@ -1,14 +1,16 @@
-"""Joins that stay safe when one key holds a large share of the rows."""
+"""Joins and per-key top lists that stay safe when one key holds a large share of the rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_OVERHEAD = 64
 SALTS = 16
+# Up to this bound Spark itself cuts a rank filter inside each task, before the shuffle.
+GROUP_LIMIT = 1000
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int | None = None) -> bool:
@@ -62,3 +64,29 @@ def sized_join(
         .join(small.withColumn("_slot", slots), [*on, "_slot"], how)
         .drop("_slot")
     )
+
+
+def top_per_key(
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    k: int,
+    rank: str = "rank",
+    salts: int = SALTS,
+    group_limit: int = GROUP_LIMIT,
+) -> DataFrame:
+    """The first ``k`` rows of every key in ``order``, which must be total, with their 1-based rank.
+
+    The bound is a constant, so that the planner keeps only ``k`` rows per key and task before the
+    shuffle. Above its threshold the same is done by hand: first the best ``k`` of each slot of a key,
+    then the best of those.
+    """
+    def ranked(rows: DataFrame, by: list[str]) -> DataFrame:
+        position = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        return rows.withColumn(rank, position).filter(F.col(rank) <= k)
+
+    if k > group_limit:
+        hashed = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+        slotted = df.withColumn("_slot", F.pmod(F.xxhash64(*hashed), F.lit(salts)))
+        df = ranked(slotted, [*keys, "_slot"]).drop("_slot", rank)
+    return ranked(df, keys).withColumn(rank, F.col(rank).cast("long"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions.text import strip, tokens
-from broadsheet.operators.skew import sized_join
+from broadsheet.operators.skew import sized_join, top_per_key
 
 if TYPE_CHECKING:
     from broadsheet.plans.corpus import Corpus
@@ -65,11 +65,9 @@ def complete_each(
     keyed = suggestions.select(
         "suggestion", "score", F.explode(keys.cast("array<string>")).alias("key")
     )
-    best = Window.partitionBy("key").orderBy(F.desc("score"), F.asc("suggestion"))
-    top = (
-        sized_join(keyed, distinct, ["key"], max_bytes=max_bytes)
-        .withColumn("position", F.row_number().over(best))
-        .filter(F.col("position") <= limit)
+    top = top_per_key(
+        sized_join(keyed, distinct, ["key"], max_bytes=max_bytes),
+        ["key"], [F.desc("score"), F.asc("suggestion")], limit, rank="position",
     )
     first = Window.partitionBy("key", F.lower("suggestion")).orderBy("position")
     again = Window.partitionBy("key").orderBy("position")

@@ -18,9 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from broadsheet.operators.skew import top_per_key
+
 PLACES = 6
 QUERY_BYTES = 32 * 1024 * 1024
 BLOCK_ROWS = 4096
@@ -221,5 +223,4 @@ def nearest(
         found = _with_sent_queries(corpus, rows, k, rule)
     else:
         found = _with_blocks(corpus, queries, k, rule, corpus.count(), size["n"], block_rows)
-    rank = F.row_number().over(Window.partitionBy("query_key").orderBy(*by_distance()))
-    return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
+    return top_per_key(found, ["query_key"], by_distance(), k)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.functions.text import BLANKS, has_words, highlight, snippet, tag_array_values, words
 from broadsheet.operators import cache, facets, hybrid, similar, suggest, textsearch
-from broadsheet.operators.skew import sized_join
+from broadsheet.operators.skew import sized_join, top_per_key
 from broadsheet.operators.vectors import nearest
 from broadsheet.plans import workload
 from broadsheet.plans.corpus import corpus
@@ -205,6 +205,32 @@ def test_sized_join_gives_the_same_rows_either_way(spark):
         assert sorted(a.collect(), key=str) == sorted(b.collect(), key=str)
 
 
+def test_top_per_key(spark):
+    rows = [(i % 3 if i % 2 else 0, (i * 7919) % 1009, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, v long, i long")
+    order = lambda: [F.asc("v"), F.asc("i")]
+    plain = top_per_key(df, ["k"], order(), 20)
+    salted = top_per_key(df, ["k"], order(), 20, group_limit=0, salts=5)
+    assert sorted(plain.collect()) == sorted(salted.collect())
+    want = {
+        (k, v, i, r)
+        for key in range(3)
+        for r, (v, i, k) in enumerate(sorted((v, i, k) for k, v, i in rows if k == key)[:20], 1)
+    }
+    assert {tuple(r) for r in plain.collect()} == want
+
+
+def test_pages_are_cut_before_the_shuffle(c, spark):
+    _, distinct = workload.distinct_requests(requests(spark), "text")
+    frames = [
+        workload.search_distinct(c, distinct),
+        facets.category_sections(c),
+        similar.similar_to_each(c),
+    ]
+    for df in frames:
+        assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+
+
 # --- vectors -----------------------------------------------------------------------------------
 
 
