@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,17 @@ TABLES = [*BUCKETED, "term_stats", "suggestions"]
 LAYOUT = "name string, columns string, buckets int"
 
 _open: dict[tuple[str, str], "Corpus"] = {}
+_lock = threading.RLock()
+
+
+class built(cached_property):
+    """A table built on first use; callers in other threads wait for it instead of building again."""
+
+    def __get__(self, instance, owner=None):
+        if instance is None:
+            return self
+        with _lock:
+            return super().__get__(instance, owner)
 
 
 def bucket_count(spark: SparkSession, df: DataFrame) -> int:
@@ -61,13 +73,13 @@ class Corpus:
         self._raw_vectors = vectors
         self.buckets = buckets or bucket_count(self.spark, raw)
 
-    @cached_property
+    @built
     def articles(self) -> DataFrame:
         """Article columns plus ``ord``."""
-        built = ingest.articles(self._raw, partitions=self.buckets)
-        return self.store.write_bucketed("articles", built, self.buckets)
+        rows = ingest.articles(self._raw, partitions=self.buckets)
+        return self.store.write_bucketed("articles", rows, self.buckets)
 
-    @cached_property
+    @built
     def docs(self) -> DataFrame:
         """The narrow columns of an article: filters, facets and dates, no text."""
         narrow = self.articles.select(
@@ -85,7 +97,7 @@ class Corpus:
         )
         return self.store.write_bucketed("docs", narrow, self.buckets)
 
-    @cached_property
+    @built
     def postings(self) -> DataFrame:
         return self.store.write_bucketed(
             "postings",
@@ -95,17 +107,17 @@ class Corpus:
             partition_by=("head",),
         )
 
-    @cached_property
+    @built
     def term_stats(self) -> DataFrame:
         stats = textindex.term_stats(self.postings)
         return self.store.write("term_stats", stats.repartitionByRange("term").sortWithinPartitions("term"))
 
-    @cached_property
+    @built
     def totals(self) -> dict[str, int]:
         """Article count and field lengths: one row, read to the driver once."""
         return {"n": self.docs.count(), **textindex.field_totals(self.postings).first().asDict()}
 
-    @cached_property
+    @built
     def vectors(self) -> DataFrame:
         """``(ord, id, vector, norm, category_tag, source_tags)`` of the articles that have a vector."""
         if self._raw_vectors is None:
@@ -116,16 +128,16 @@ class Corpus:
         )
         return self.store.write_bucketed("vectors", joined, self.buckets)
 
-    @cached_property
+    @built
     def suggestions(self) -> DataFrame:
         return self.store.write("suggestions", suggest.dictionary(self.articles))
 
     def save_layout(self) -> None:
         """Build every table and note how they are laid out, so that another session can attach."""
-        built = {name: getattr(self, name) for name in TABLES if name != "vectors" or self.has_vectors}
+        tables = {name: getattr(self, name) for name in TABLES if name != "vectors" or self.has_vectors}
         rows = [
             (name, ", ".join(f"{c} {t}" for c, t in df.drop("head").dtypes), self.buckets)
-            for name, df in built.items()
+            for name, df in tables.items()
         ]
         self.store.write("layout", self.spark.createDataFrame(rows, LAYOUT).coalesce(1))
 
@@ -165,9 +177,10 @@ class Corpus:
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     """The corpus of one input folder; built once per application."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _open:
-        vectors = table(spark, sf_dir, "embeddings").select(
-            F.col("vec_id").alias("ord"), F.col("embedding").alias("vector")
-        )
-        _open[key] = Corpus(Store.for_input(spark, sf_dir), raw_news(spark, sf_dir), vectors)
-    return _open[key]
+    with _lock:
+        if key not in _open:
+            vectors = table(spark, sf_dir, "embeddings").select(
+                F.col("vec_id").alias("ord"), F.col("embedding").alias("vector")
+            )
+            _open[key] = Corpus(Store.for_input(spark, sf_dir), raw_news(spark, sf_dir), vectors)
+        return _open[key]

@@ -462,6 +462,13 @@ def workload_search(spark, sf_dir):
     return workload.search_all(corpus(spark, sf_dir), query_log(spark, sf_dir))
 
 
+@query
+def workload_fuzzy(spark, sf_dir):
+    """The first word of every user turn, searched with spelling tolerance."""
+    log = query_log(spark, sf_dir).withColumn("text", F.element_at(words(F.col("text")), 1))
+    return workload.search_all(corpus(spark, sf_dir), log.withColumn("fuzzy", F.lit(True)))
+
+
 @query
 def workload_vector(spark, sf_dir):
     return workload.vector_all(corpus(spark, sf_dir), query_vectors(spark, sf_dir))

@@ -265,11 +265,6 @@ oracle("filter_author", "docs",
        "SELECT id, author FROM docs WHERE author_tag IN ('author 3', 'unknown')")
 
 
-def in_order(x: str) -> str:
-    """``list_distinct`` does not keep the order, so distinct values are taken by first position."""
-    return f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"
-
-
 SPLIT_C = f"list_transform(string_split(categories, ','), lambda v: lower({strip('v')}))"
 SPLIT_S = f"list_transform(string_split(sources, ','), lambda v: lower({strip('v')}))"
 oracle("workload_filters", "parsed", f"""
@@ -593,20 +588,44 @@ SELECT event_id, cache_key, hit FROM walk"""
 ORACLE["cache_hits"] = hits(60)
 ORACLE["cache_hits_hour"] = hits(3600)
 
-WORKLOAD = """
-, terms AS (SELECT query_id, unnest(terms) AS term, len(terms) AS n FROM parsed WHERE has_text),
-scored AS (SELECT t.query_id, p.ord, round(sum(p.part), 6) AS score
-  FROM terms t JOIN parts p ON p.term = t.term GROUP BY t.query_id, p.ord HAVING count(*) = any_value(t.n)
-  UNION ALL SELECT q.query_id, d.ord, 0.0::DOUBLE FROM parsed q, docs d WHERE NOT q.has_text)"""
-oracle("workload_search", "parsed parts docs", WORKLOAD + """
+PAGED = """
 , ranked AS (SELECT s.query_id, d.id, s.score, q.offset_, q.limit_,
   row_number() OVER (PARTITION BY s.query_id ORDER BY
     CASE q.sort WHEN 'date_desc' THEN -d.published_ts WHEN 'date_asc' THEN d.published_ts ELSE 0 END,
     CASE WHEN q.sort = 'relevance' THEN -s.score ELSE 0 END, d.id) AS rank
-  FROM scored s JOIN parsed q ON q.query_id = s.query_id JOIN docs d ON d.ord = s.ord
+  FROM scored s JOIN {parsed} q ON q.query_id = s.query_id JOIN docs d ON d.ord = s.ord
   WHERE (len(q.category_list) = 0 OR list_contains(q.category_list, d.category_tag))
     AND (len(q.source_list) = 0 OR list_has_any(q.source_list, d.source_tags)))
-SELECT query_id, rank, id, score FROM ranked WHERE rank > offset_ AND rank <= offset_ + limit_""")
+SELECT query_id, rank, id, score FROM ranked WHERE rank > offset_ AND rank <= offset_ + limit_"""
+
+WORKLOAD = """
+, terms AS (SELECT query_id, unnest(terms) AS term, len(terms) AS n FROM parsed WHERE has_text),
+scored AS (SELECT t.query_id, p.ord, round(sum(p.part), 6) AS score
+  FROM terms t JOIN parts p ON p.term = t.term GROUP BY t.query_id, p.ord HAVING count(*) = any_value(t.n)
+  UNION ALL SELECT q.query_id, d.ord, 0.0::DOUBLE FROM parsed q, docs d WHERE NOT q.has_text)"""
+oracle("workload_search", "parsed parts docs", WORKLOAD + PAGED.format(parsed="parsed"))
+
+
+def plain(x: str) -> str:
+    """The letters outside ASCII that occur in these texts, one byte each: tokens are lower case, so
+    capitals are free, and the byte-wise edit distance becomes the distance in characters."""
+    return f"translate({x}, 'ßäçèéêíñóöü', 'ABCDEFGHIJK')"
+
+
+oracle("workload_fuzzy", "parsed typed head_df parts docs", f"""
+, asked AS (SELECT p.* EXCLUDE (text, has_text, terms), t.text, length({strip('t.text')}) >= 2 AS has_text,
+    list_distinct({tokens('t.text')}) AS terms FROM parsed p JOIN typed t ON t.query_id = p.query_id),
+needed AS (SELECT query_id, unnest(terms) AS word, len(terms) AS n FROM asked WHERE has_text),
+close AS (SELECT w.word, t.term FROM (SELECT DISTINCT word FROM needed) w JOIN head_df t
+  ON abs(length(w.word) - length(t.term)) <= 2
+  AND levenshtein({plain('w.word')}, {plain('t.term')}) <= 2),
+scored AS (SELECT query_id, ord, round(sum(best), 6) AS score FROM (
+    SELECT n.query_id, n.word, any_value(n.n) AS n, p.ord, max(p.part) AS best
+    FROM needed n JOIN close c ON c.word = n.word JOIN parts p ON p.term = c.term
+    GROUP BY n.query_id, n.word, p.ord)
+  GROUP BY query_id, ord HAVING count(*) = any_value(n)
+  UNION ALL SELECT q.query_id, d.ord, 0.0::DOUBLE FROM asked q, docs d WHERE NOT q.has_text)
+""" + PAGED.format(parsed="asked"))
 
 VECTOR_RANKS = f"""
 , distances AS (SELECT q.vec_id, v.id, {cosine('q.v', 'v.v')} AS distance

@@ -173,6 +173,9 @@ def requests(spark):
         (7, "nothingmatches the", "All", "All", "relevance", False, 0, 10),
         (8, "the of", "All", "All", "relevance", False, 0, 10),
         (9, "!!", "All", "All", "relevance", False, 0, 10),
+        (10, "thet off", "All", "All", "relevance", True, 0, 10),
+        (11, "thet", "Politics,General", "All", "date_desc", True, 1, 6),
+        (12, "x", "All", "wired", "date_asc", True, 0, 3),
     ]
     return spark.createDataFrame(
         rows,
@@ -189,8 +192,8 @@ def test_bulk_search_equals_single_searches(c, spark, max_bytes):
         got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
     for q in table.collect():
         single = textsearch.search(
-            c, q["text"], q["categories"], q["sources"], sort=q["sort"], offset=q["offset"],
-            limit=q["limit"],
+            c, q["text"], q["categories"], q["sources"], fuzzy=q["fuzzy"], sort=q["sort"],
+            offset=q["offset"], limit=q["limit"],
         )
         want = sorted((r["rank"], r["id"], r["score"]) for r in single.collect())
         assert sorted(got.get(q["query_id"], [])) == want, q
