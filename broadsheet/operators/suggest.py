@@ -107,72 +107,65 @@ def autocomplete(suggestions: DataFrame, prefix: str, limit: int = LIMIT) -> Dat
 # --- edit-distance join ------------------------------------------------------------------------
 
 
-def _segment(length: Column, index: int, parts: int) -> tuple[Column, Column]:
-    """Start (0-based) and size of segment ``index`` of a string cut into ``parts`` even pieces; the
-    longer pieces come last."""
+def _key(text: Column, length: Column, index: Column, parts: int, shift: Column) -> Column:
+    """The key of segment ``index`` of a term of this ``length`` cut into ``parts`` even pieces, the
+    longer pieces last, with the segment read from ``text`` at ``shift`` places from its own; null
+    where that lies outside the text."""
     base = F.floor(length / parts).cast("int")
-    longer = length % parts
-    extra = F.greatest(F.lit(0), F.lit(index) - (F.lit(parts) - longer))
-    return (base * index + extra).cast("int"), (
-        base + F.when(F.lit(index) >= F.lit(parts) - longer, 1).otherwise(0)
-    ).cast("int")
+    longer = F.lit(parts) - length % parts
+    at = (base * index + F.greatest(F.lit(0), index - longer) + shift).cast("int")
+    size = (base + F.when(index >= longer, 1).otherwise(0)).cast("int")
+    key = F.struct(
+        length.alias("length"), index.alias("index"), F.substring(text, at + 1, size).alias("segment")
+    )
+    return F.when((length > 0) & (at >= 0) & (at + size <= F.length(text)), key)
 
 
 def segment_keys(term: Column, distance: int) -> Column:
     """One ``(length, index, segment)`` key per segment of a vocabulary term."""
     parts = distance + 1
-    keys = []
-    for i in range(parts):
-        start, size = _segment(F.length(term), i, parts)
-        keys.append(
-            F.struct(
-                F.length(term).alias("length"), F.lit(i).alias("index"),
-                F.substring(term, start + 1, size).alias("segment"),
-            )
-        )
-    return F.array(*keys)
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(distance)),
+        lambda i: _key(term, F.length(term), i, parts, F.lit(0)),
+    )
 
 
 def probe_keys(word: Column, distance: int) -> Column:
     """Every key a term within ``distance`` edits of ``word`` may have."""
     parts = distance + 1
-    keys = []
-    for change in range(-distance, distance + 1):
-        length = F.length(word) + change
-        for i in range(parts):
-            start, size = _segment(length, i, parts)
-            for shift in range(-distance, distance + 1):
-                at = start + shift
-                inside = (length > 0) & (at >= 0) & (at + size <= F.length(word))
-                key = F.struct(
-                    length.alias("length"), F.lit(i).alias("index"),
-                    F.substring(word, at + 1, size).alias("segment"),
-                )
-                keys.append(F.when(inside, key))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+    around = F.sequence(F.lit(-distance), F.lit(distance))
+    segments = F.sequence(F.lit(0), F.lit(distance))
+
+    def of_length(length: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                segments,
+                lambda i: F.transform(around, lambda s: _key(word, length, i, parts, s)),
+            )
+        )
+
+    keys = F.flatten(F.transform(around, lambda change: of_length(F.length(word) + change)))
+    return F.array_distinct(F.array_compact(keys))
 
 
 def near_terms(
     vocabulary: DataFrame, words: DataFrame, distance: int, max_bytes: int | None = None
 ) -> DataFrame:
-    """``(word, term, ...)`` pairs within ``distance`` edits, distinct.
+    """``(word, term, ...)`` pairs within ``distance`` edits.
 
-    ``vocabulary`` has ``term`` and may carry other columns; ``words`` has distinct ``word``. Pairs
-    that share several segments are kept once: only the first shared key of a pair counts.
+    ``vocabulary`` has ``term`` and may carry other columns, as long as its rows are distinct; ``words``
+    has distinct ``word``. Pairs that share several segments are merged before they leave the task.
     """
     probes = words.select("word", F.explode(probe_keys(F.col("word"), distance)).alias("key"))
     carried = [c for c in vocabulary.columns if c != "term"]
     keyed = vocabulary.select(
         "term", *carried, F.explode(segment_keys(F.col("term"), distance)).alias("key")
     )
-    first = F.array_min(
-        F.array_intersect(segment_keys(F.col("term"), distance), probe_keys(F.col("word"), distance))
-    )
     return (
         sized_join(keyed, probes, ["key"], max_bytes=max_bytes)
         .filter(F.levenshtein("term", "word", distance) >= 0)
-        .filter(F.col("key") == first)
         .select("word", "term", *carried)
+        .distinct()
     )
 
 
@@ -203,7 +196,7 @@ def corrections(
         )
     ).distinct()
     unknown = words.join(known, "word", "left_anti")
-    pairs = near_terms(stats.select("term", "n"), unknown, distance, max_bytes)
+    pairs = near_terms(stats.select("term", "mask", "n"), unknown, distance, max_bytes)
     per_term = pairs.groupBy("word", "term").agg(F.sum("n").alias("df"))
     best = F.min(F.struct((-F.col("df")).alias("neg_df"), F.col("term").alias("term")))
     return per_term.groupBy("word").agg(best.alias("b")).select(
