@@ -8,7 +8,8 @@ Three shapes, chosen by the size of the query side:
 * a large table: both sides are cut into blocks of bounded size by a hash of the key, and each pair
   of blocks is one task with one matrix product and a local best k.
 
-Query and corpus sides are ``(key, vector)``; results are ``(query key, ord, distance)``.
+Query and corpus sides are ``(key, vector)``; results are ``(query key, ord, distance)``. Queries may carry
+filter lists, which apply before the distance.
 """
 
 from __future__ import annotations
@@ -88,6 +89,32 @@ def _distances(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.round(1.0 - queries @ rows.T, PLACES) + 0.0
 
 
+class _Allowed:
+    """Which corpus rows each query may see, by its category and source lists; empty lists allow all.
+
+    Queries with equal lists share one row of the table, and values are looked up once per step.
+    """
+
+    def __init__(self, categories: list, sources: list):
+        pairs = [(frozenset(c), frozenset(s)) for c, s in zip(categories, sources, strict=True)]
+        self.kinds = list(dict.fromkeys(pairs))
+        place = {kind: i for i, kind in enumerate(self.kinds)}
+        self.kind_of_query = np.array([place[p] for p in pairs], dtype=np.int64)
+
+    def rows(self, part: pa.RecordBatch | pa.Table) -> np.ndarray:
+        category_code, categories = pd.factorize(np.array(part.column("category_tag").to_pylist()))
+        tags = pd.Series([tuple(v or ()) for v in part.column("source_tags").to_pylist()])
+        source_code, sources = pd.factorize(tags)
+        by_kind = np.array(
+            [
+                np.array([not c or v in c for v in categories])[category_code]
+                & np.array([not s or not s.isdisjoint(v) for v in sources])[source_code]
+                for c, s in self.kinds
+            ]
+        )
+        return by_kind[self.kind_of_query]
+
+
 class _Best:
     """Running best k per query over steps of corpus rows, ordered by (distance, ord)."""
 
@@ -96,7 +123,7 @@ class _Best:
         self.distance = np.full((len(keys), 0), np.inf)
         self.ord = np.zeros((len(keys), 0), dtype=np.int64)
 
-    def add(self, ords: np.ndarray, units: np.ndarray) -> None:
+    def add(self, ords: np.ndarray, units: np.ndarray, allowed: np.ndarray | None = None) -> None:
         if not len(ords):
             return
         by_ord = np.argsort(ords, kind="stable")
@@ -106,6 +133,8 @@ class _Best:
             found[self.keys[:, None] == ords[None, :]] = np.inf
         elif self.rule == "earlier":
             found[ords[None, :] >= self.keys[:, None]] = np.inf
+        if allowed is not None:
+            found[~allowed[:, by_ord]] = np.inf
         ords = np.broadcast_to(ords, found.shape)
         if found.shape[1] > self.k:
             # Distances are whole millionths, so distance and place make one exact integer to select by.
@@ -135,32 +164,40 @@ RESULT_SCHEMA = "query_key long, ord long, distance double"
 STEP_ROWS = 1024
 
 
-def _steps(table: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+FILTER_LISTS = ["category_list", "source_list"]
+FILTERED = ["category_tag", "source_tags"]
+
+
+def _add_steps(top: _Best, table: pa.RecordBatch | pa.Table, allowed: _Allowed | None) -> None:
     for start in range(0, table.num_rows, STEP_ROWS):
         part = table.slice(start, STEP_ROWS)
-        ords = part.column("ord").to_numpy(zero_copy_only=False).astype(np.int64)
-        yield ords, _unit(_matrix(part.column("vector")))
+        ords = np.asarray(part.column("ord")).astype(np.int64)
+        rows = allowed.rows(part) if allowed else None
+        top.add(ords, _unit(_matrix(part.column("vector"))), rows)
 
 
-def _with_sent_queries(corpus: DataFrame, rows: list, k: int, rule: str) -> DataFrame:
+def _with_sent_queries(
+    corpus: DataFrame, rows: list, k: int, rule: str, filtered: bool
+) -> DataFrame:
     spark = corpus.sparkSession
     keys = np.array([r["query_key"] for r in rows], dtype=np.int64)
     units = _unit(np.array([r["vector"] for r in rows], dtype=np.float64))
-    sent = spark.sparkContext.broadcast((keys, units))
+    allowed = _Allowed(*[[r[c] for r in rows] for c in FILTER_LISTS]) if filtered else None
+    sent = spark.sparkContext.broadcast((keys, units, allowed))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = _Best(*sent.value, k, rule)
+        keys, units, allowed = sent.value
+        top = _Best(keys, units, k, rule)
         for batch in batches:
-            for ords, part in _steps(batch):
-                top.add(ords, part)
+            _add_steps(top, batch, allowed)
         yield pa.RecordBatch.from_pandas(top.frame(), preserve_index=False)
 
-    return corpus.select("ord", "vector").mapInArrow(best, RESULT_SCHEMA)
+    return corpus.mapInArrow(best, RESULT_SCHEMA)
 
 
 def _with_blocks(
     corpus: DataFrame, queries: DataFrame, k: int, rule: str, n_rows: int, n_queries: int,
-    block_rows: int,
+    block_rows: int, filtered: bool,
 ) -> DataFrame:
     row_blocks = max(1, -(-n_rows // block_rows))
     query_blocks = max(1, -(-n_queries // block_rows))
@@ -172,11 +209,10 @@ def _with_blocks(
         return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
     left = queries.select(
-        "query_key", "vector", block("query_key", query_blocks).alias("qb"),
-        copies(row_blocks).alias("cb"),
+        *queries.columns, block("query_key", query_blocks).alias("qb"), copies(row_blocks).alias("cb")
     )
     right = corpus.select(
-        "ord", "vector", block("ord", row_blocks).alias("cb"), copies(query_blocks).alias("qb")
+        *corpus.columns, block("ord", row_blocks).alias("cb"), copies(query_blocks).alias("qb")
     )
 
     def best(q: pa.Table, c: pa.Table) -> pa.Table:
@@ -188,8 +224,8 @@ def _with_blocks(
             )
         keys = q.column("query_key").to_numpy().astype(np.int64)
         top = _Best(keys, _unit(_matrix(q.column("vector"))), k, rule)
-        for ords, part in _steps(c):
-            top.add(ords, part)
+        lists = [q.column(name).to_pylist() for name in FILTER_LISTS] if filtered else None
+        _add_steps(top, c, _Allowed(*lists) if lists else None)
         return pa.Table.from_pandas(top.frame(), preserve_index=False)
 
     return (
@@ -212,15 +248,22 @@ def nearest(
     ``corpus`` is ``(ord, vector)`` and ``queries`` is ``(query_key, vector)`` with unique keys.
     ``rule``: ``all`` compares with every row, ``not_self`` skips the row whose ``ord`` equals the
     query key, ``earlier`` only compares with rows whose ``ord`` is smaller than the query key.
+    Queries with ``category_list`` and ``source_list`` see only the rows whose ``category_tag`` and
+    ``source_tags`` pass.
     """
+    filtered = set(FILTER_LISTS) <= set(queries.columns)
+    queries = queries.select("query_key", "vector", *(FILTER_LISTS if filtered else []))
+    corpus = corpus.select("ord", "vector", *(FILTERED if filtered else []))
     size = queries.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dim")
     ).first()
     if size["n"] * size["dim"] * 8 <= query_bytes:
-        rows = queries.select("query_key", "vector").collect()
+        rows = queries.collect()
         if not rows:
             return corpus.sparkSession.createDataFrame([], RESULT_SCHEMA + ", rank long")
-        found = _with_sent_queries(corpus, rows, k, rule)
+        found = _with_sent_queries(corpus, rows, k, rule, filtered)
     else:
-        found = _with_blocks(corpus, queries, k, rule, corpus.count(), size["n"], block_rows)
+        found = _with_blocks(
+            corpus, queries, k, rule, corpus.count(), size["n"], block_rows, filtered
+        )
     return top_per_key(found, ["query_key"], by_distance(), k)

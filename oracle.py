@@ -158,8 +158,8 @@ SELECT *, CASE WHEN categories = 'All' THEN [] ELSE {tag_list('categories')} END
   list_distinct({tokens('text')}) AS terms
 FROM log""")
 
-cte("log_vectors", "log", """
-SELECT l.*, e.embedding::DOUBLE[] AS v FROM log l JOIN embeddings e ON e.vec_id = l.vec_id""")
+cte("log_vectors", "parsed", """
+SELECT l.*, e.embedding::DOUBLE[] AS v FROM parsed l JOIN embeddings e ON e.vec_id = l.vec_id""")
 
 
 def statement(needs: str, body: str) -> str:
@@ -627,20 +627,22 @@ scored AS (SELECT query_id, ord, round(sum(best), 6) AS score FROM (
   UNION ALL SELECT q.query_id, d.ord, 0.0::DOUBLE FROM asked q, docs d WHERE NOT q.has_text)
 """ + PAGED.format(parsed="asked"))
 
+ALLOWED = """(len(q.category_list) = 0 OR list_contains(q.category_list, d.category_tag))
+  AND (len(q.source_list) = 0 OR list_has_any(q.source_list, d.source_tags))"""
 VECTOR_RANKS = f"""
-, distances AS (SELECT q.vec_id, v.id, {cosine('q.v', 'v.v')} AS distance
-  FROM (SELECT DISTINCT vec_id, v FROM log_vectors) q, vecs v),
-vector_ranks AS (SELECT vec_id, id, distance, row_number() OVER (PARTITION BY vec_id
+, distances AS (SELECT q.query_id, d.id, {cosine('q.v', 'd.v')} AS distance
+  FROM log_vectors q JOIN vecs d ON {ALLOWED}),
+vector_ranks AS (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id
   ORDER BY distance, id) AS rank FROM distances)"""
-oracle("workload_vector", "log_vectors vecs", VECTOR_RANKS + f"""
-SELECT l.query_id, r.rank, r.id, r.distance FROM log_vectors l JOIN vector_ranks r USING (vec_id)
-WHERE length({strip('l.text')}) >= 2 AND r.rank > l.offset_ AND r.rank <= l.offset_ + l.limit_""")
+oracle("workload_vector", "log_vectors vecs", VECTOR_RANKS + """
+SELECT l.query_id, r.rank, r.id, r.distance FROM log_vectors l JOIN vector_ranks r USING (query_id)
+WHERE l.has_text AND r.rank > l.offset_ AND r.rank <= l.offset_ + l.limit_""")
 oracle("workload_hybrid", "parsed parts docs log_vectors vecs", WORKLOAD + VECTOR_RANKS + f"""
 , text_list AS (SELECT query_id, id, rank FROM (SELECT s.query_id, d.id, row_number() OVER (
     PARTITION BY s.query_id ORDER BY s.score DESC, d.id) AS rank
-  FROM scored s JOIN docs d ON d.ord = s.ord) WHERE rank <= 10),
-vector_list AS (SELECT l.query_id, r.id, r.rank FROM log_vectors l JOIN vector_ranks r USING (vec_id)
-  WHERE r.rank <= 10),
+  FROM scored s JOIN docs d ON d.ord = s.ord JOIN parsed q ON q.query_id = s.query_id AND {ALLOWED})
+  WHERE rank <= 10),
+vector_list AS (SELECT query_id, id, rank FROM vector_ranks WHERE rank <= 10),
 fused AS (SELECT coalesce(t.query_id, v.query_id) AS query_id, coalesce(t.id, v.id) AS id,
   t.rank AS text_rank, v.rank AS vector_rank, round(coalesce(0.5::DOUBLE / (60 + t.rank), 0)
     + coalesce(0.5::DOUBLE / (60 + v.rank), 0), 9) AS hybrid_score

@@ -298,13 +298,28 @@ def test_fusion_tie_and_zero_weight(spark):
     assert [r["id"] for r in zero.orderBy(*hybrid.fused_order()).collect()] == ["x", "b", "a", "z", "y"]
 
 
+@pytest.mark.parametrize("query_bytes", [1 << 25, 0])
+def test_bulk_vector_equals_single(c, spark, sf_dir, query_bytes):
+    log = query_vectors(spark, sf_dir).filter("vector is not null and length(text) > 3")
+    log = log.orderBy(F.col("query_id") % 7, "query_id").limit(5)
+    found = workload.vector_all(c, log, query_bytes=query_bytes, block_rows=40).collect()
+    for q in log.collect():
+        one = similar.vector_search(
+            c, q["vector"], q["categories"], q["sources"], q["offset"], q["limit"]
+        )
+        want = sorted((r["rank"], r["id"], r["distance"]) for r in one.collect())
+        assert sorted(tuple(r)[1:] for r in found if r["query_id"] == q["query_id"]) == want
+
+
 def test_bulk_hybrid_equals_single(c, spark, sf_dir):
     log = query_vectors(spark, sf_dir).filter(F.col("vector").isNotNull()).orderBy("query_id").limit(3)
     got = {}
     for r in workload.hybrid_all(c, log).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["hybrid_score"]))
     for q in log.collect():
-        one = hybrid.hybrid_search(c, q["text"], q["vector"], offset=q["offset"], limit=q["limit"])
+        one = hybrid.hybrid_search(
+            c, q["text"], q["vector"], q["categories"], q["sources"], q["offset"], q["limit"]
+        )
         want = sorted((r["rank"], r["id"], r["hybrid_score"]) for r in one.collect())
         assert sorted(got.get(q["query_id"], [])) == want
 
