@@ -48,7 +48,7 @@ def bucket_count(spark: SparkSession, df: DataFrame) -> int:
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except AttributeError:
         size = 0
-    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    floor = spark.sparkContext.defaultParallelism
     ceiling = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
     return max(1, min(max(floor, -(-size // BYTES_PER_BUCKET)), ceiling))
 
