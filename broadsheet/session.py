@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -52,3 +54,24 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="broadsheet-")
     return _local_dirs[app]
+
+
+_shipped: dict[str, str] = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so Python workers can import it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    # Spark's own file server hands the archive out, so it may lie in the driver's scratch folder.
+    archive = os.path.join(tempfile.mkdtemp(prefix="broadsheet-zip-"), "broadsheet.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as packed:
+        for folder, _, names in os.walk(os.path.join(root, "broadsheet")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    packed.write(path, os.path.relpath(path, root))
+    context.addPyFile(archive)
+    _shipped[context.applicationId] = archive
