@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import bagminhash, quality, rules, toxicity
+from broadsheet.llm import bagminhash, mixing, quality, rules, toxicity
 from broadsheet.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op7_threshold_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"))
 
@@ -30,9 +34,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_factorisation_machine": op1_factorisation_machine,
     "op2_string_kernel": op2_string_kernel,
     "op4_bagminhash": op4_bagminhash,
+    "op6_fair_queueing": op6_fair_queueing,
     "op7_threshold_rules": op7_threshold_rules,
 }
 
 ORACLE: dict[str, str] = {
+    "op6_fair_queueing": mixing.oracle_sql(),
     "op7_threshold_rules": rules.oracle_sql(),
 }
