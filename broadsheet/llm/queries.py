@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import bagminhash, mixing, quality, rules, toxicity
+from broadsheet.llm import bagminhash, mixing, pii, quality, rules, toxicity
 from broadsheet.llm.common import table
 
 
@@ -30,12 +30,17 @@ def op7_threshold_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_factorisation_machine": op1_factorisation_machine,
     "op2_string_kernel": op2_string_kernel,
     "op4_bagminhash": op4_bagminhash,
     "op6_fair_queueing": op6_fair_queueing,
     "op7_threshold_rules": op7_threshold_rules,
+    "op10_surrogates": op10_surrogates,
 }
 
 ORACLE: dict[str, str] = {
