@@ -1,11 +1,17 @@
 """Candidates from signature bands, verification and classes: shared by the signature operators.
 
 Nodes are distinct texts, known by 96 bits of their MD5 sum. A *bucket* holds the nodes that agree on
-one band. Each bucket is compared as a star: all members with its smallest node. That finds most
-classes with a number of pairs in proportion to the members. What a star can miss is a link between
-two members that both differ from the centre. So, after classes are formed, all pairs of a bucket that
-stand in different classes are compared as well; pairs within a class need no look, they can't change
-it. Together both passes give the same classes as comparing all pairs that share a band.
+one band. All pairs of a bucket would be too many in a large group of copies, so buckets are compared
+as stars, in a few rounds: all members with one centre, another one each time. After each round
+linked nodes form classes, and only members of a class other than their centre's are compared further.
+
+What stars can miss is a link of two members that each differ from all centres. So in the end the
+pairs of a bucket that stand in different classes are compared too, except for those that an exact
+bound rules out. With a centre C, and R(y) the weight of what y shares with any other text but not
+with C, |x & y| <= |x & C| + R(y). In a group of copies edited at random R is about 0, so a text that
+is too far from C is too far from all others, without a look at them. Pairs within a class need no
+look, they can't change it. Together this gives the same classes as comparing all pairs that share a
+band.
 """
 
 from __future__ import annotations
@@ -20,6 +26,12 @@ from pyspark.sql import functions as F
 from broadsheet.llm.common import mix, shingles, stage_table
 
 
+#: Rounds of stars at any centre, before the one at the text that shares most with all others.
+STARS = 1
+#: R of a text above this share of the smallest text in its bucket is out of the ordinary.
+STRANGE = 0.02
+
+
 def node_key(text: str | Column) -> Column:
     """The key of a text; null counts as empty."""
     return F.unhex(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 24))
@@ -96,7 +108,7 @@ def agreement(a: str, b: str) -> Callable[[DataFrame], DataFrame]:
 
 
 def overlap(k: int, weighted: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds the exact Jaccard of ``text_a`` and ``text_b`` to pairs: of multisets, or of sets."""
+    """``a, b, both, jaccard`` of pairs: the exact overlap of ``text_a`` and ``text_b``, as multisets or sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def counted(text: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -108,7 +120,7 @@ def overlap(k: int, weighted: bool) -> Callable[[Iterator[pa.RecordBatch]], Iter
             return out
 
         for batch in batches:
-            values = []
+            values, shared = [], []
             known: dict[bytes, tuple] = {}
             for side in "ab":
                 nodes = batch.column(side).to_pylist()
@@ -124,15 +136,17 @@ def overlap(k: int, weighted: bool) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 else:
                     both, total = len(ia), len(ha) + len(hb)
                 values.append(both / (total - both) if total > both else 0.0)
+                shared.append(both)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(values, pa.float64())], names=["a", "b", "jaccard"]
+                [batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(values, pa.float64())],
+                names=["a", "b", "both", "jaccard"],
             )
 
     return run
 
 
 def verified(
-    pairs: DataFrame, signs: DataFrame, docs: DataFrame, threshold: float, slack: float, components: int,
+    pairs: DataFrame, signs: DataFrame, texts: DataFrame, threshold: float, slack: float, components: int,
     k: int, weighted: bool,
 ) -> DataFrame:
     """The pairs ``a, b`` whose exact overlap reaches ``threshold``, with it.
@@ -140,21 +154,58 @@ def verified(
     Signatures are compared first: a pair that agrees in less than ``slack`` of the components is
     dropped unread. Texts are fetched only for the rest.
     """
-    spark = pairs.sparkSession
     side = {s: signs.select(F.col("node").alias(s), F.col("signature").alias(f"sig_{s}")) for s in "ab"}
     close = agreement("sig_a", "sig_b")(pairs.join(side["a"], "a").join(side["b"], "b"))
-    close = stage_table(spark, close.where(F.col("agree") >= int(slack * components)).select("a", "b"), "close")
-    needed = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = (
-        docs.select(node_key("text").alias("node"), "text")
-        .join(needed, "node", "left_semi")
-        .groupBy("node").agg(F.first("text").alias("text"))
+    close = stage_table(
+        pairs.sparkSession, close.where(F.col("agree") >= int(slack * components)).select("a", "b"), "close"
     )
-    texts = stage_table(spark, texts, "texts")
+    return overlaps(close, texts, k, weighted).where(F.col("jaccard") >= threshold)
+
+
+def overlaps(pairs: DataFrame, texts: DataFrame, k: int, weighted: bool) -> DataFrame:
     side = {s: texts.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab"}
-    found = close.join(side["a"], "a").join(side["b"], "b").select("a", "b", "text_a", "text_b")
-    return found.mapInArrow(overlap(k, weighted), "a binary, b binary, jaccard double").where(
-        F.col("jaccard") >= threshold
+    found = pairs.join(side["a"], "a").join(side["b"], "b").select("a", "b", "text_a", "text_b")
+    return found.mapInArrow(overlap(k, weighted), "a binary, b binary, both long, jaccard double")
+
+
+def counted_shingles(k: int, weighted: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row per node and distinct shingle: ``node, total, shingle, weight``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, hashes, owner in shingles(batch.column("text"), k):
+                order = np.lexsort((hashes, owner))
+                hashes, owner = hashes[order], owner[order]
+                new = np.ones(len(hashes), dtype=bool)
+                new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+                at = np.flatnonzero(new)
+                weight = np.diff(np.append(at, len(hashes))) if weighted else np.ones(len(at), dtype=np.int64)
+                owner = owner[at]
+                total = np.bincount(owner, weights=weight, minlength=last - first).astype(np.int64)
+                row = pa.array(owner + first)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("node").take(row), pa.array(total[owner]),
+                        pa.array(hashes[at].astype(np.int64)), pa.array(weight.astype(np.int64)),
+                    ],
+                    names=["node", "total", "shingle", "weight"],
+                )
+
+    return run
+
+
+def shared_weight(placed: DataFrame, texts: DataFrame, k: int, weighted: bool) -> DataFrame:
+    """``node, shared, total``: the weight of a node's shingles that other nodes hold too, and of all."""
+    spark = placed.sparkSession
+    nodes = placed.select("node").distinct()
+    rows = texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(
+        counted_shingles(k, weighted), "node binary, total long, shingle long, weight long"
+    )
+    rows = stage_table(spark, rows, "shingles")
+    common = rows.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    common = stage_table(spark, common.where(F.col("least") != F.col("most")).select("shingle"), "common")
+    return rows.join(common, "shingle", "left_semi").groupBy("node").agg(
+        F.sum("weight").alias("shared"), F.first("total").alias("total")
     )
 
 
@@ -193,38 +244,82 @@ def near_classes(
 ) -> DataFrame:
     """``node, root`` of all nodes that have a link; ``signs`` has one row per node and is read often."""
     spark = docs.sparkSession
-    check = lambda pairs: verified(pairs, signs, docs, threshold, slack, components, k, weighted)
-    members = signs.select("node", "size", F.explode("keys").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("most"))
-    buckets = stage_table(spark, buckets.where(F.col("centre") != F.col("most")).select("key", "centre"), "buckets")
+    members = signs.select("node", F.explode("keys").alias("key"))
+    buckets = members.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    buckets = stage_table(spark, buckets.where(F.col("least") != F.col("most")).select("key"), "buckets")
     members = stage_table(spark, members.join(buckets, "key"), "members")
-    stars = members.where(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    stars = stage_table(spark, stars.distinct(), "stars")
-    links = stage_table(spark, check(stars), "links")
-    labels = classes(spark, links)
-
-    placed = members.join(labels, "node", "left").select(
-        "key", "node", "size", F.coalesce("root", "node").alias("root")
+    # Texts of all members, once. Always a merge join: the members grow with the corpus.
+    needed = members.select("node").distinct().hint("merge")
+    texts = docs.select(node_key("text").alias("node"), "text").join(needed, "node", "left_semi")
+    texts = stage_table(spark, texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    check = lambda pairs: verified(pairs, signs, texts, threshold, slack, components, k, weighted)
+    members = members.select("key", "node")
+    links, labels = None, None
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Rows of buckets in which classes meet."""
+        roots = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+        return rows.join(roots.where(F.col("least") != F.col("most")).select("key"), "key")
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        rows = rows.select("key", "node")
+        if labels is None:
+            return rows.withColumn("root", F.col("node"))
+        return rows.join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+
+    placed = members
+    for number in range(STARS):
+        placed = stage_table(spark, mixed(rooted(placed)), "placed")
+        first = F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("h"), "node", "root")).alias("c")
+        centres = placed.groupBy("key").agg(first).select("key", F.col("c.node").alias("a"), F.col("c.root").alias("top"))
+        stars = placed.join(centres, "key").where(F.col("root") != F.col("top")).select("a", F.col("node").alias("b"))
+        found = stage_table(spark, check(stars.distinct()), "links").select("a", "b")
+        if number and found.isEmpty():
+            continue
+        links = found if links is None else links.union(found)
+        labels = classes(spark, links)
+
+    placed = stage_table(spark, mixed(rooted(placed)), "placed")
+    if placed.isEmpty():
+        return labels
+    placed = stage_table(spark, placed.join(shared_weight(placed, texts, k, weighted), "node"), "placed")
+    best = F.max(F.struct("shared", F.xxhash64("node").alias("h"), "node")).alias("c")
+    centres = placed.groupBy("key").agg(best, F.min("total").alias("least"))
+    centres = centres.select("key", "least", F.col("c.node").alias("a"))
+    placed = stage_table(spark, placed.withColumnRenamed("node", "b").join(centres, "key"), "placed")
+    pairs = stage_table(spark, placed.where(F.col("a") != F.col("b")).select("a", "b").distinct(), "centred")
+    both = stage_table(spark, overlaps(pairs, texts, k, weighted), "overlaps")
+    found = both.where(F.col("jaccard") >= threshold).select("a", "b")
+    if not found.isEmpty():
+        links = links.union(found)
+        labels = classes(spark, links)
+    known = rooted(placed.select("key", F.col("b").alias("node"))).select("key", F.col("node").alias("b"), "root")
+    placed = mixed(placed.drop("root").join(known.distinct(), ["key", "b"]))
+    placed = placed.join(both.select("a", "b", "both"), ["a", "b"], "left").withColumn("both", F.coalesce("both", "total"))
+    placed = placed.withColumn("extra", F.col("shared") - F.least("shared", "both"))  # R
+    needed_share = threshold / (1 + threshold)
+    # The smallest overlap that a link of x needs, as its partner is neither smaller than any in the
+    # bucket nor than J allows; a text that shares less than that with all others has none.
+    floor = needed_share * (F.col("total") + F.greatest(F.col("least"), threshold * F.col("total")))
+    small = STRANGE * F.col("least")
+    placed = placed.where(F.col("shared") >= floor - 1e-6).withColumns(
+        {"strange": F.col("extra") > small, "weak": (F.col("both") + small < floor - 1e-6) & (F.col("extra") <= small)}
     )
-    mixed = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    placed = placed.join(mixed.where(F.col("least") != F.col("most")).select("key"), "key")
-    placed = stage_table(spark, placed, "placed")
+    placed = stage_table(spark, mixed(placed), "placed")
     left, right = (
-        placed.select("key", F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("root").alias(f"root_{s}"))
-        for s in "ab"
+        placed.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("b", "root", "shared", "total", "both", "extra", "strange", "weak")))
+        for s in "xy"
     )
-    # Sizes further apart than the threshold allow no such overlap, of multisets at least.
-    fits = (
-        (F.col("size_a") >= threshold * F.col("size_b")) & (F.col("size_b") >= threshold * F.col("size_a"))
-        if weighted
-        else F.lit(True)
-    )
-    rest = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fits)
-    rest = rest.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    most = F.least("shared_x", "shared_y", "total_x", "total_y", F.col("both_x") + F.col("extra_y"), F.col("both_y") + F.col("extra_x"))
+    fits = (F.col("root_x") != F.col("root_y")) & (most >= needed_share * (F.col("total_x") + F.col("total_y")) - 1e-6)
+    # A weak text only has strange partners, so of the pairs of two texts that aren't strange only those
+    # of two that aren't weak are left.
+    firm = (left.where("NOT strange_x AND NOT weak_x"), right.where("NOT strange_y AND NOT weak_y"))
+    rest = firm[0].join(firm[1], "key").where(fits & (F.col("b_x") < F.col("b_y")))
+    odd = left.where("strange_x").join(right, "key").where(fits & (~F.col("strange_y") | (F.col("b_x") < F.col("b_y"))))
+    rest = rest.select("b_x", "b_y").union(odd.select(F.least("b_x", "b_y"), F.greatest("b_x", "b_y"))).toDF("a", "b").distinct()
     rest = stage_table(spark, rest, "rest")
     if rest.isEmpty():
         return labels
-    more = stage_table(spark, check(rest), "links")
-    if more.isEmpty():
-        return labels
-    return classes(spark, links.select("a", "b").union(more.select("a", "b")))
+    more = stage_table(spark, check(rest), "links").select("a", "b")
+    return labels if more.isEmpty() else classes(spark, links.union(more))
