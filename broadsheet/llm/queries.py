@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import bagminhash, mixing, pii, quality, rules, toxicity
+from broadsheet.llm import bagminhash, chat, minhash, mixing, pii, quality, rules, sentencepiece, toxicity
 from broadsheet.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.with_probe(spark, table(spark, sf_dir, "conversations")))
+
+
 def op6_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,14 @@ def op7_threshold_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited(table(spark, sf_dir, "documents"))
+
+
+def op9_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encoded(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -38,12 +50,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_factorisation_machine": op1_factorisation_machine,
     "op2_string_kernel": op2_string_kernel,
     "op4_bagminhash": op4_bagminhash,
+    "op5_reply_trees": op5_reply_trees,
     "op6_fair_queueing": op6_fair_queueing,
     "op7_threshold_rules": op7_threshold_rules,
+    "op8_minhash": op8_minhash,
+    "op9_transducer": op9_transducer,
     "op10_surrogates": op10_surrogates,
 }
 
 ORACLE: dict[str, str] = {
+    "op5_reply_trees": chat.ORACLE_SQL,
     "op6_fair_queueing": mixing.oracle_sql(),
     "op7_threshold_rules": rules.oracle_sql(),
 }
