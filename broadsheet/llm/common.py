@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.session import shared_dir
@@ -39,6 +39,27 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def labelled_sample(docs: DataFrame, labelled: DataFrame, most: int, chars: int) -> list[Row]:
+    """At most ``most`` rows of ``docs``, of at most ``chars`` characters, with an id in ``labelled``.
+
+    Ids are drawn first, in hash order and half as many again as some texts are too long; that bounds
+    what is broadcast. Held-out ids aren't drawn.
+    """
+    spark = docs.sparkSession
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = labelled.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    drawn = [row["doc_id"] for row in ids.orderBy(*order).limit(most + most // 2).collect()]
+    if not drawn:
+        return []
+    place = {doc_id: i for i, doc_id in enumerate(drawn)}
+    chosen = F.broadcast(spark.createDataFrame([(i,) for i in drawn], labelled.select("doc_id").schema))
+    columns = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
+    found = docs.select(*columns).where(F.length("text") <= chars).join(chosen, "doc_id", "left_semi")
+    # Where an id is repeated, the first of its texts.
+    first = found.groupBy("doc_id").agg(F.min(F.struct(*columns[1:])).alias("row")).select("doc_id", "row.*")
+    return sorted(first.collect(), key=lambda r: place[r["doc_id"]])[:most]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x + _MIX[2]

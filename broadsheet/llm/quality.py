@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import chunks, held_out, mix, span_hashes, word_spans
+from broadsheet.llm.common import chunks, held_out, labelled_sample, mix, span_hashes, word_spans
 
 BUCKETS, FACTORS = 1 << 14, 8
 #: Bounds of the sample: documents per label, and characters of a document.
@@ -183,15 +183,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int], li
     """At most ``SAMPLE_DOCS`` documents per label that aren't held out, in hash order."""
     texts, sizes, marks = [], [], []
     for label in (0, 1):
-        rows = (
-            docs.select("doc_id", "text", "n_chars").where(F.length("text") <= SAMPLE_CHARS)
-            .join(labels.where(F.col("quality") == label).select("doc_id"), "doc_id", "left_semi")
-            .where(~held_out())
-            .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS)
-            .select("text", F.coalesce("n_chars", F.length("text")).alias("n_chars")).toPandas()
-        )
-        texts += rows["text"].tolist()
-        sizes += rows["n_chars"].tolist()
+        rows = labelled_sample(docs, labels.where(F.col("quality") == label), SAMPLE_DOCS, SAMPLE_CHARS)
+        texts += [r["text"] for r in rows]
+        sizes += [len(r["text"]) if r["n_chars"] is None else r["n_chars"] for r in rows]
         marks += [label] * len(rows)
     return texts, sizes, marks
 
