@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import held_out, mix, shingles
+from broadsheet.llm.common import held_out, labelled_sample, mix, shingles
 
 #: Bounds of the sample that the model is fitted on: documents per class, and characters of a document.
 SAMPLE_DOCS, SAMPLE_CHARS = {1: 1500, 0: 2500}, 8000
@@ -45,7 +45,7 @@ ROUNDS = 4
 HARD, EASY = 8_000, 4_000
 #: A unit of toxic documents only is a witness by itself where chance gives that with less than exp(-SURE).
 SURE = 12.0
-CACHE_UNITS = 400_000
+CACHE_UNITS = 800_000
 #: The score is the logistic of this many times the margin.
 STEEP = 4.0
 
@@ -99,8 +99,8 @@ class Kernel:
     def size(self) -> int:
         return (len(self.letters) + 3) ** 3
 
-    def groups(self, units: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Per length: row numbers, features (rows x subsequences), and weights, with norm 1 in each row."""
+    def groups(self, units: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per length: row numbers, features and weights (rows x subsequences), and norms (rows x 1)."""
         by_length: dict[int, list[int]] = {}
         for i, unit in enumerate(units):
             by_length.setdefault(len(unit), []).append(i)
@@ -119,19 +119,20 @@ class Kernel:
                 known = (one > 0) & (two > 0) & (three > 0)
                 packed = np.sort((feature << 3) | np.where(known, span, np.int32(0)), axis=1)
                 feature, value = packed >> 3, _WEIGHTS[packed & 7]
-                yield np.array(some), feature, value / np.maximum(_norms(feature, value), 1e-9)[:, None]
+                yield np.array(some), feature, value, np.maximum(_norms(feature, value), 1e-9)[:, None]
 
     def against(self, units: list[str], landmarks: list[str]) -> np.ndarray:
         """Kernel values, units x landmarks."""
-        used = np.unique(np.concatenate([f.ravel() for _, f, _ in self.groups(landmarks)]))
+        used = np.unique(np.concatenate([f.ravel() for _, f, _, _ in self.groups(landmarks)]))
         column = np.full(self.size, len(used), dtype=np.int64)
         column[used] = np.arange(len(used))
         table = np.zeros((len(used) + 1, len(landmarks)), dtype=np.float32)
-        for rows, feature, value in self.groups(landmarks):
-            np.add.at(table, (column[feature], rows[:, None]), value)
+        for rows, feature, value, norm in self.groups(landmarks):
+            np.add.at(table, (column[feature], rows[:, None]), value / norm)
         table[-1] = 0
         out = np.zeros((len(units), len(landmarks)), dtype=np.float32)
-        for rows, feature, value in self.groups(units):
+        for rows, feature, value, norm in self.groups(units):
+            value = value / norm
             for at in range(0, len(rows), 64):
                 part = slice(at, at + 64)
                 out[rows[part]] = np.einsum("us,usm->um", value[part], table[column[feature[part]]])
@@ -163,8 +164,8 @@ class Model:
                 parts.append(window)
                 owner.append(i)
         value = np.zeros(len(parts), dtype=np.float64)
-        for rows, feature, amount in self.kernel.groups(parts):
-            value[rows] = (amount * self.weight[feature]).sum(axis=1)
+        for rows, feature, amount, norm in self.kernel.groups(parts):
+            value[rows] = np.einsum("us,us->u", amount, self.weight[feature]) / norm[:, 0]
         out = np.full(len(units), -np.inf)
         np.maximum.at(out, np.array(owner, dtype=np.int64), value)
         return out + self.bias
@@ -252,8 +253,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         w, bias = _svm(x, y, np.minimum(cost, 30.0))
         alpha = root @ w
         weight = np.zeros(kernel.size, dtype=np.float64)
-        for some, feature, amount in kernel.groups(marks):
-            np.add.at(weight, feature, amount * alpha[some, None])
+        for some, feature, amount, norm in kernel.groups(marks):
+            np.add.at(weight, feature, amount / norm * alpha[some, None])
         model = Model(kernel, weight.astype(np.float32), bias)
         old, value = value, model.margins(units)
         value[seen[1] == 0] = np.where(np.isfinite(value[seen[1] == 0]), value[seen[1] == 0], -9)
@@ -283,14 +284,8 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
     """At most ``SAMPLE_DOCS`` labelled documents per class that aren't held out, in hash order."""
     texts, marks = [], []
     for label, most in SAMPLE_DOCS.items():
-        rows = (
-            docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
-            .join(labels.where(F.col("toxic") == label).select("doc_id"), "doc_id", "left_semi")
-            .where(~held_out())
-            .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most)
-            .select("text").toPandas()
-        )
-        texts += rows["text"].tolist()
+        rows = labelled_sample(docs, labels.where(F.col("toxic") == label), most, SAMPLE_CHARS)
+        texts += [r["text"] for r in rows]
         marks += [label] * len(rows)
     return texts, marks
 
@@ -325,13 +320,13 @@ def scorer(model: Model):
             for at in range(0, len(texts), 256):
                 bags = [text_words(t or "") for t in texts[at : at + 256]]
                 look_up(set().union(*bags))
-                for text, bag in zip(texts[at : at + 256], bags):
-                    margin = worst(bag)
-                    scores.append(margin)
+                margins = [worst(bag) for bag in bags]
+                scores += margins
+                for text, margin in zip(texts[at : at + 256], margins):
                     count = 0
                     if margin >= 0:
                         parts = [text_words(s) for s in _SENTENCE.findall(text)]
-                        look_up(set(bag).union(*parts))
+                        look_up(set().union(*parts))
                         count = max(1, sum(worst(p) >= 0 for p in parts))
                     sentences.append(count)
             score = 1 / (1 + np.exp(-STEEP * np.clip(np.array(scores, dtype=np.float64), -9, 9)))
