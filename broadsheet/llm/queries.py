@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import bagminhash, chat, minhash, mixing, pii, quality, rules, sentencepiece, toxicity
+from broadsheet.llm import bagminhash, chat, minhash, mixing, pii, quality, rules, sentencepiece, toxicity, warc
 from broadsheet.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.fixity(table(spark, sf_dir, "pages"))
+
+
 def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_factorisation_machine": op1_factorisation_machine,
     "op2_string_kernel": op2_string_kernel,
+    "op3_merkle_audit": op3_merkle_audit,
     "op4_bagminhash": op4_bagminhash,
     "op5_reply_trees": op5_reply_trees,
     "op6_fair_queueing": op6_fair_queueing,
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_merkle_audit": warc.ORACLE_SQL,
     "op5_reply_trees": chat.ORACLE_SQL,
     "op6_fair_queueing": mixing.oracle_sql(),
     "op7_threshold_rules": rules.oracle_sql(),
