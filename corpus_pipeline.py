@@ -1,20 +1,51 @@
-"""A training-corpus pipeline over ``documents``, in stages that each apply one operator."""
+"""A training-corpus pipeline over ``documents``, in stages that each apply one operator.
+
+Every stage but the last returns the columns of ``documents``; each is written as Parquet and read
+again before the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import bagminhash
+from broadsheet.llm import bagminhash, mixing, pii, sentencepiece, toxicity
 from broadsheet.llm.common import stage_table, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the string-kernel classifier rejects go."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays."""
     return bagminhash.keep_one(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets get surrogates."""
+    return pii.without_pii(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources come near their target weights: some documents go, others stand up to three times."""
+    return mixing.apply(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts get their piece numbers."""
+    return sentencepiece.encoded(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", near_dedup),
+    ("pii", replace_pii),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode),
+]
 
+#: SQL can't express the classifier and the signatures; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
