@@ -22,6 +22,7 @@ import bisect
 import itertools
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -417,7 +418,7 @@ def encoded(docs: DataFrame, path: str = MODEL) -> DataFrame:
     added = ("ids", "n_tokens", "n_bytes", "lossless")
     own = [c for c in docs.columns if c not in added]
     shared = spark.sparkContext.broadcast(load(spark, path))  # bounded by the vocabulary
-    name = f"{path}:{shared.id}"
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _ENCODERS:  # a worker process keeps it over its tasks
