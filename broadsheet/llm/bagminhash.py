@@ -158,8 +158,9 @@ def keep_one(
         keyed.join(chosen, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")))
         .groupBy("_node", "_id").agg(F.count(F.lit(1)).alias("_times"))
     )
-    docs = docs.withColumn("_key", node_key("text"))
-    same = (F.col("_key") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    row = F.struct(*docs.columns).alias("row")  # so that no column of the documents clashes
+    docs = docs.select(row, node_key("text").alias("_key"), F.col("doc_id").alias("_doc"))
+    same = (F.col("_key") == F.col("_node")) & F.col("_doc").eqNullSafe(F.col("_id"))
     once = docs.join(times.where("_times = 1"), same, "left_semi")
-    repeated = docs.join(times.where("_times > 1"), same, "left_semi").dropDuplicates(["_key", "doc_id"])
-    return once.union(repeated).drop("_key")
+    repeated = docs.join(times.where("_times > 1"), same, "left_semi").dropDuplicates(["_key", "_doc"])
+    return once.union(repeated).select("row.*")

@@ -83,7 +83,7 @@ class Mix:
         """Whether the reading of this number, from 0, is in the mix."""
         if self.cut is None:
             return F.lit(False)
-        finish = (F.col("source_size") * reading + F.col("done")) / F.col("target")
+        finish = F.try_divide(F.col("source_size") * reading + F.col("done"), F.col("target"))
         time, last = F.lit(self.cut[0]), F.lit(self.cut[1])
         inside = (finish < time) | ((finish == time) & (F.col("place") <= last))
         return F.coalesce((F.col("size") > 0) & (F.col("target") > 0) & inside, F.lit(False))
@@ -132,10 +132,10 @@ def _cut(ranked: DataFrame, passes: int) -> tuple[float, str] | None:
     """Finish time and place of the last reading within the budget."""
     finish = F.transform(
         F.sequence(F.lit(0), F.lit(passes - 1)),
-        lambda i: (F.col("source_size") * i + F.col("done")) / F.col("target"),
+        lambda i: F.try_divide(F.col("source_size") * i + F.col("done"), F.col("target")),
     )
     readings = ranked.where("size > 0 AND target > 0").select("place", "size", F.explode(finish).alias("finish"))
-    totals = ranked.agg(F.sum("size").alias("budget"), F.max((F.col("source_size") * passes) / F.when(F.col("target") > 0, F.col("target"))).alias("end")).first()
+    totals = ranked.agg(F.sum("size").alias("budget"), F.max(F.try_divide(F.col("source_size") * passes, F.col("target"))).alias("end")).first()
     budget, low, high, used = totals["budget"], 0.0, totals["end"], 0
     if not budget or high is None:
         return None
@@ -191,12 +191,13 @@ def apply(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PAS
     ends = mix.ranked.groupBy(F.col("key").alias("_key")).agg(
         *(F.max(F.when(mix.taken(i), F.col("place"))).alias(name) for i, name in enumerate(names))
     )
-    wide = docs.withColumns({"_key": source_key(), "_place": place(), "_size": words()})
+    row = F.struct(*docs.columns).alias("row")  # so that no column of the documents clashes
+    wide = docs.select(row, source_key().alias("_key"), place().alias("_place"), words().alias("_size"))
     wide = sized_join(wide, ends, ["_key"])
     times = sum((F.coalesce(F.col("_place") <= F.col(n), F.lit(False)).cast("int") for n in names), F.lit(0))
     wide = wide.withColumn("_times", F.when(F.col("_size") > 0, times).otherwise(0)).where("_times > 0")
     wide = wide.withColumn("_reading", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return wide.select(*docs.columns)
+    return wide.select("row.*")
 
 
 def oracle_sql(weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES) -> str:

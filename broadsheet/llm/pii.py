@@ -212,7 +212,7 @@ def rendered() -> Column:
     country = F.substring(digits, F.lit(1), F.length(digits) - F.length(s))
     value = F.regexp_extract(m, _VALUE, 1), F.regexp_extract(m, _VALUE, 3)
     title = F.regexp_extract(m, r"^(\S+ )", 1)
-    upper = m == F.upper(m)
+    upper, name = m == F.upper(m), F.regexp_replace(m, r"^\S+ ", "")
     iban = F.aggregate(
         F.split(m, ""), F.struct(F.lit("").alias("o"), F.lit(1).alias("i")),
         lambda a, c: F.when(c == " ", F.struct(F.concat(a["o"], c).alias("o"), a["i"].alias("i"))).otherwise(
@@ -227,7 +227,7 @@ def rendered() -> Column:
         .when(kind == "email", F.when(upper, F.upper(s)).otherwise(s))
         .when(kind == "iban", iban)
         .when(kind == "access_key", s)
-        .otherwise(F.concat(title, F.when(upper, F.upper(s)).otherwise(F.initcap(s))))
+        .otherwise(F.concat(title, F.when(name == F.upper(name), F.upper(s)).otherwise(F.initcap(s))))
     )
 
 
@@ -238,7 +238,7 @@ def replaced(docs: DataFrame) -> DataFrame:
     follows the new text where it changed.
     """
     spark = docs.sparkSession
-    own, extra = docs.columns, F.lit(0).alias("n_entities")
+    own, extra = [c for c in docs.columns if c != "n_entities"], F.lit(0).alias("n_entities")
     quick = F.coalesce(F.col("text").rlike(QUICK), F.lit(False))
     key = node_key("text").alias("_key")
     found = docs.where(quick).select(key, F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("mentions"))
@@ -265,17 +265,25 @@ def replaced(docs: DataFrame) -> DataFrame:
         F.split("text", ANY, -1).alias("parts"),
         F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("mentions"), F.col("_to").alias("to"),
     )
-    some = docs.where(quick).withColumn("_key", node_key("text")).join(by_text.hint("merge"), "_key", "left")
+    row = F.struct(*own).alias("row")  # so that no column of the documents clashes
+    some = docs.where(quick).select(row, key, "text").join(by_text.hint("merge"), "_key", "left")
     some = some.withColumn("_new", F.when(F.col("_to").isNotNull(), F.transform(F.array(cut), put_together)[0]))
-    changed = {"text": F.coalesce("_new.text", "text"), "n_entities": F.coalesce("_new.n", F.lit(0))}
+    changed = {c: F.col("row")[c] for c in own}
+    changed["text"] = F.coalesce("_new.text", "row.text")
     if "n_chars" in own:
-        changed["n_chars"] = F.when(F.col("_new").isNotNull(), F.length("_new.text")).otherwise(F.col("n_chars")).cast(
-            docs.schema["n_chars"].dataType
-        )
-    some = some.select(*(changed.get(c, F.col(c)).alias(c) for c in own), changed["n_entities"].alias("n_entities"))
+        changed["n_chars"] = F.when(F.col("_new").isNotNull(), F.length("_new.text")).otherwise(
+            F.col("row.n_chars")
+        ).cast(docs.schema["n_chars"].dataType)
+    count = F.coalesce("_new.n", F.lit(0)).alias("n_entities")
+    some = some.select(*(value.alias(c) for c, value in changed.items()), count)
     return docs.where(~quick).select(*own, extra).union(some)
 
 
 def without_pii(docs: DataFrame) -> DataFrame:
     """``docs`` with surrogates in ``text`` and all columns as before."""
-    return replaced(docs).select(*docs.columns)
+    names = docs.columns
+    if "n_entities" in names:  # a column of the documents, not the count
+        return replaced(docs.withColumnRenamed("n_entities", "_n_entities")).drop("n_entities").withColumnRenamed(
+            "_n_entities", "n_entities"
+        ).select(*names)
+    return replaced(docs).select(*names)
