@@ -51,9 +51,12 @@ def distance_to(vector: list[float]) -> Column:
     """Rounded cosine distance of the ``vector``/``norm`` columns to a constant vector."""
     as_float = np.asarray(vector, dtype=np.float32).astype(np.float64)
     query = vector_literal(vector)
-    raw = 1.0 - dot(F.col("vector"), query) / (F.col("norm") * float(np.sqrt(as_float @ as_float)))
+    length = F.col("norm") * float(np.sqrt(as_float @ as_float))
+    raw = 1.0 - dot(F.col("vector"), query) / F.nullif(length, F.lit(0.0))
     value = F.round(raw, PLACES)
-    return F.when(value == 0, 0.0).otherwise(value)
+    value = F.when(value == 0, 0.0).otherwise(value)
+    # Without a direction there is no distance.
+    return F.when((F.col("norm") > 0) & F.lit(bool(as_float.any())), value)
 
 
 def by_distance() -> list[Column]:
@@ -64,6 +67,7 @@ def nearest_to(vectors: DataFrame, vector: list[float], k: int) -> DataFrame:
     """``(ord, distance)`` of the k nearest rows of ``vectors``, which may be filtered before."""
     return (
         vectors.select("ord", distance_to(vector).alias("distance"))
+        .where("distance IS NOT NULL")
         .orderBy(*by_distance())
         .limit(k)
     )

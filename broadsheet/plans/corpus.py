@@ -119,13 +119,16 @@ class Corpus:
 
     @built
     def vectors(self) -> DataFrame:
-        """``(ord, id, vector, norm, category_tag, source_tags)`` of the articles that have a vector."""
+        """``(ord, id, vector, norm, category_tag, source_tags)`` of the articles that have a vector.
+
+        A null or zero vector has no direction: its article is nobody's neighbour.
+        """
         if self._raw_vectors is None:
             raise ValueError("this corpus has no vectors")
         joined = self.docs.join(self._raw_vectors, "ord").select(
             "ord", "id", "vector", vector_ops.norm(F.col("vector")).alias("norm"),
             "category_tag", "source_tags",
-        )
+        ).where(F.col("norm") > 0)
         return self.store.write_bucketed("vectors", joined, self.buckets)
 
     @built

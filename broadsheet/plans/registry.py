@@ -11,7 +11,6 @@ from broadsheet.functions.text import (
     highlight,
     literal_tokens,
     snippet,
-    words,
 )
 from broadsheet.operators import (
     cache,
@@ -27,7 +26,7 @@ from broadsheet.operators.filters import Filters
 from broadsheet.plans import textindex, workload
 from broadsheet.plans.corpus import corpus
 from broadsheet.schemas import ARTICLE_COLUMNS, KEY_PREFIX
-from broadsheet.sources.query_log import lookup_log, query_log, query_vectors
+from broadsheet.sources.query_log import lookup_log, phrase_log, query_log, query_vectors, typed_words
 from broadsheet.sources.raw_news import raw_news, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -407,15 +406,9 @@ def suggestion_dictionary(spark, sf_dir):
     return corpus(spark, sf_dir).suggestions.select("suggestion", "score")
 
 
-def typed_prefixes(spark, sf_dir):
-    """What a person has typed so far: the first word of every user turn."""
-    turns = query_log(spark, sf_dir)
-    return turns.select("query_id", F.element_at(words(F.col("text")), 1).alias("text"))
-
-
 @query
 def autocomplete(spark, sf_dir):
-    typed = typed_prefixes(spark, sf_dir).withColumnRenamed("text", "prefix")
+    typed = typed_words(spark, sf_dir).withColumnRenamed("text", "prefix")
     return suggest.complete_each(corpus(spark, sf_dir).suggestions, typed)
 
 
@@ -426,7 +419,7 @@ def autocomplete_prefix(spark, sf_dir):
 
 @query
 def autocomplete_spell(spark, sf_dir):
-    return suggest.complete_with_spelling(corpus(spark, sf_dir), typed_prefixes(spark, sf_dir))
+    return suggest.complete_with_spelling(corpus(spark, sf_dir), typed_words(spark, sf_dir))
 
 
 @query
@@ -462,11 +455,17 @@ def workload_search(spark, sf_dir):
     return workload.search_all(corpus(spark, sf_dir), query_log(spark, sf_dir))
 
 
+@query
+def workload_phrases(spark, sf_dir):
+    """Every three words of every user turn as a request."""
+    return workload.search_all(corpus(spark, sf_dir), phrase_log(spark, sf_dir))
+
+
 @query
 def workload_fuzzy(spark, sf_dir):
-    """The first word of every user turn, searched with spelling tolerance."""
-    log = query_log(spark, sf_dir).withColumn("text", F.element_at(words(F.col("text")), 1))
-    return workload.search_all(corpus(spark, sf_dir), log.withColumn("fuzzy", F.lit(True)))
+    """Every user turn, searched with spelling tolerance."""
+    log = query_log(spark, sf_dir).withColumn("fuzzy", F.lit(True))
+    return workload.search_all(corpus(spark, sf_dir), log)
 
 
 @query

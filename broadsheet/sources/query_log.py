@@ -13,14 +13,15 @@ from broadsheet.sources.raw_news import table
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One search request per user turn of ``conversations``, with varied parameters.
 
-    The text is the opening three words of the turn, as a person would type them; filters, order
-    and page vary with the conversation so that every branch is used.
+    The text is the whole turn; filters, order and page vary with the conversation so that every
+    branch is used, and the vectors with all rows of ``embeddings``.
     """
     turns = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    vectors = max(1, table(spark, sf_dir, "embeddings").count())
     n = F.col("conv_id") + F.col("turn")
     return turns.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
-        F.array_join(F.slice(words(F.col("text")), 1, 3), " ").alias("text"),
+        "text",
         F.when(n % 5 == 1, "Politics")
         .when(n % 5 == 2, "World, politics ,Business")
         .otherwise(ALL)
@@ -33,10 +34,27 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(False).alias("fuzzy"),
         F.when(n % 6 == 5, 3).otherwise(0).cast("int").alias("offset"),
         F.lit(10).cast("int").alias("limit"),
-        (F.col("conv_id") % 500).alias("vec_id"),
+        (F.col("conv_id") % vectors).alias("vec_id"),
     )
 
 
+def phrase_log(spark: SparkSession, sf_dir: str, size: int = 3) -> DataFrame:
+    """The query log with one request per ``size`` words of a turn, all words in turn, as short requests."""
+    turns = query_log(spark, sf_dir).withColumn("words", words(F.col("text")))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(size))
+    phrases = F.transform(starts, lambda i: F.array_join(F.slice("words", i + 1, F.lit(size)), " "))
+    rows = turns.select("*", F.posexplode(phrases).alias("n", "phrase"))
+    return rows.withColumns(
+        {"query_id": F.col("query_id") * 1_000_000 + F.col("n"), "text": F.col("phrase")}
+    ).drop("words", "n", "phrase")
+
+
+def typed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of every user turn, as typed so far: ``query_id, text``."""
+    turns = query_log(spark, sf_dir).select("query_id", F.posexplode(words(F.col("text"))).alias("n", "text"))
+    return turns.select((F.col("query_id") * 1_000_000 + F.col("n")).alias("query_id"), "text")
+
+
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query log with the vector of each request."""
     vectors = table(spark, sf_dir, "embeddings").select(

@@ -55,7 +55,7 @@ def raw_news_from_documents(documents: DataFrame) -> DataFrame:
         "politics", "Business News", "Tech", "US NBA", "Health ", "Editorial",
         "Travel", "world", "None", None, "Unmapped Section", "movies",
     ]
-    first_line = F.substring(F.substring_index("text", "\n", 1), 1, 80)
+    first_line = F.substring_index("text", "\n", 1)
     day = F.date_add(F.lit("2019-01-01").cast("date"), (F.col("n_chars") % 365).cast("int"))
     return documents.select(
         n.cast("long").alias("ord"),

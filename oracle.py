@@ -47,7 +47,7 @@ def cte(name: str, needs: str, sql: str) -> None:
 
 cte("raw", "", """
 SELECT doc_id AS ord,
-  CASE WHEN doc_id % 97 = 13 THEN '   ' ELSE left(split_part(text, chr(10), 1), 80) END AS title,
+  CASE WHEN doc_id % 97 = 13 THEN '   ' ELSE split_part(text, chr(10), 1) END AS title,
   CASE WHEN doc_id % 89 = 5 THEN 'not-a-date'
        ELSE strftime(DATE '2019-01-01' + CAST(n_chars % 365 AS INTEGER), '%Y-%m-%d') || ' 00:00:00'
   END AS date,
@@ -139,24 +139,32 @@ cte("vecs", "docs", """
 SELECT d.ord, d.id, d.category_tag, d.source_tags, e.embedding::DOUBLE[] AS v
 FROM docs d JOIN embeddings e ON e.vec_id = d.ord""")
 
-FIRST_WORDS = f"array_to_string(list_slice(regexp_extract_all(text, {RUN}), 1, 3), ' ')"
-
 cte("log", "", f"""
-SELECT conv_id * 1000 + turn AS query_id, {FIRST_WORDS} AS text,
+SELECT conv_id * 1000 + turn AS query_id, text,
   CASE (conv_id + turn) % 5 WHEN 1 THEN 'Politics' WHEN 2 THEN 'World, politics ,Business'
     ELSE 'All' END AS categories,
   CASE (conv_id + turn) % 7 WHEN 3 THEN 'VICE,Wired' WHEN 4 THEN ' Unknown ' ELSE 'All' END AS sources,
   CASE (conv_id + turn) % 4 WHEN 1 THEN 'date_desc' WHEN 3 THEN 'date_asc' ELSE 'relevance' END AS sort,
   CASE WHEN (conv_id + turn) % 6 = 5 THEN 3 ELSE 0 END AS offset_, 10 AS limit_,
-  conv_id % 500 AS vec_id
+  conv_id % (SELECT greatest(count(*), 1) FROM embeddings) AS vec_id
 FROM conversations WHERE role = 'user'""")
 
-cte("parsed", "log", f"""
+def parsed(log: str) -> str:
+    return f"""
 SELECT *, CASE WHEN categories = 'All' THEN [] ELSE {tag_list('categories')} END AS category_list,
   CASE WHEN sources = 'All' THEN [] ELSE {tag_list('sources')} END AS source_list,
   length({strip('text')}) >= 2 AS has_text,
   list_distinct({tokens('text')}) AS terms
-FROM log""")
+FROM {log}"""
+
+
+cte("parsed", "log", parsed("log"))
+cte("phrases", "log", f"""
+SELECT * EXCLUDE (query_id, text, ws, i), query_id * 1000000 + i AS query_id,
+  array_to_string(ws[3 * i + 1:3 * i + 3], ' ') AS text
+FROM (SELECT *, unnest(range(greatest(1, (len(ws) + 2) // 3))) AS i
+  FROM (SELECT *, regexp_extract_all(text, {RUN}) AS ws FROM log))""")
+cte("parsed_phrases", "phrases", parsed("phrases"))
 
 cte("log_vectors", "parsed", """
 SELECT l.*, e.embedding::DOUBLE[] AS v FROM parsed l JOIN embeddings e ON e.vec_id = l.vec_id""")
@@ -498,7 +506,10 @@ cte("suggestions", "articles", f"""
 SELECT suggestion, count(*) AS score FROM (SELECT unnest(list_distinct([title, category, source]
   || flatten(list_transform(tags, lambda t: list_transform(string_split(t, ','), lambda v: {strip('v')})))
   )) AS suggestion FROM articles) WHERE suggestion <> '' GROUP BY suggestion""")
-cte("typed", "log", f"SELECT query_id, regexp_extract(text, {RUN}) AS text FROM log")
+cte("typed", "log", f"""
+SELECT query_id * 1000000 + n - 1 AS query_id, text FROM (
+  SELECT query_id, unnest(regexp_extract_all(text, {RUN})) AS text,
+    generate_subscripts(regexp_extract_all(text, {RUN}), 1) AS n FROM log)""")
 cte("completed", "suggestions typed", """
 SELECT query_id, suggestion, position,
   row_number() OVER (PARTITION BY query_id, lower(suggestion) ORDER BY position) AS copy
@@ -599,11 +610,13 @@ PAGED = """
 SELECT query_id, rank, id, score FROM ranked WHERE rank > offset_ AND rank <= offset_ + limit_"""
 
 WORKLOAD = """
-, terms AS (SELECT query_id, unnest(terms) AS term, len(terms) AS n FROM parsed WHERE has_text),
+, terms AS (SELECT query_id, unnest(terms) AS term, len(terms) AS n FROM {parsed} WHERE has_text),
 scored AS (SELECT t.query_id, p.ord, round(sum(p.part), 6) AS score
   FROM terms t JOIN parts p ON p.term = t.term GROUP BY t.query_id, p.ord HAVING count(*) = any_value(t.n)
-  UNION ALL SELECT q.query_id, d.ord, 0.0::DOUBLE FROM parsed q, docs d WHERE NOT q.has_text)"""
-oracle("workload_search", "parsed parts docs", WORKLOAD + PAGED.format(parsed="parsed"))
+  UNION ALL SELECT q.query_id, d.ord, 0.0::DOUBLE FROM {parsed} q, docs d WHERE NOT q.has_text)"""
+oracle("workload_search", "parsed parts docs", WORKLOAD.format(parsed="parsed") + PAGED.format(parsed="parsed"))
+oracle("workload_phrases", "parsed_phrases parts docs",
+       WORKLOAD.format(parsed="parsed_phrases") + PAGED.format(parsed="parsed_phrases"))
 
 
 def plain(x: str) -> str:
@@ -612,9 +625,8 @@ def plain(x: str) -> str:
     return f"translate({x}, 'ßäçèéêíñóöü', 'ABCDEFGHIJK')"
 
 
-oracle("workload_fuzzy", "parsed typed head_df parts docs", f"""
-, asked AS (SELECT p.* EXCLUDE (text, has_text, terms), t.text, length({strip('t.text')}) >= 2 AS has_text,
-    list_distinct({tokens('t.text')}) AS terms FROM parsed p JOIN typed t ON t.query_id = p.query_id),
+oracle("workload_fuzzy", "parsed head_df parts docs", f"""
+, asked AS (SELECT * FROM parsed),
 needed AS (SELECT query_id, unnest(terms) AS word, len(terms) AS n FROM asked WHERE has_text),
 close AS (SELECT w.word, t.term FROM (SELECT DISTINCT word FROM needed) w JOIN head_df t
   ON abs(length(w.word) - length(t.term)) <= 2
