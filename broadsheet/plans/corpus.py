@@ -44,10 +44,7 @@ class built(cached_property):
 
 def bucket_count(spark: SparkSession, df: DataFrame) -> int:
     """Buckets for a table of this estimated size: about 256 MB each, at least one wave of tasks."""
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        size = 0
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     floor = spark.sparkContext.defaultParallelism
     ceiling = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
     return max(1, min(max(floor, -(-size // BYTES_PER_BUCKET)), ceiling))
@@ -164,7 +161,7 @@ class Corpus:
 
     @property
     def has_vectors(self) -> bool:
-        return self._raw_vectors is not None
+        return self._raw_vectors is not None or "vectors" in self.__dict__
 
     def average_length(self, fields: list[str]) -> float:
         total = sum(FIELD_WEIGHTS[f] * self.totals[f"len_{f}"] for f in fields)

@@ -27,7 +27,7 @@ from broadsheet.plans import textindex, workload
 from broadsheet.plans.corpus import corpus
 from broadsheet.schemas import ARTICLE_COLUMNS, KEY_PREFIX
 from broadsheet.sources.query_log import lookup_log, phrase_log, query_log, query_vectors, typed_words
-from broadsheet.sources.raw_news import raw_news, table
+from broadsheet.sources.raw_news import raw_news, read_raw_news, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -143,6 +143,24 @@ def get_articles(spark, sf_dir):
     return lookup.get_articles(corpus(spark, sf_dir), ids, ["title", "category", "word_count"])
 
 
+@query
+def get_documents(spark, sf_dir):
+    """Whole articles by id: one lookup per vector id, as for ``get_articles``."""
+    number = F.format_string("nw_%07d", F.col("vec_id") * 3 + 1)
+    ids = table(spark, sf_dir, "embeddings").select(number.alias("requested"))
+    columns = [c for c in ARTICLE_COLUMNS if c != "id"]
+    found = lookup.get_articles(corpus(spark, sf_dir), ids, columns)
+    return found.withColumn("tags", F.array_join("tags", "|"))
+
+
+@query
+def scan_raw_news(spark, sf_dir):
+    """The parquet source: raw news files written, and read back with their schema and order."""
+    path = corpus(spark, sf_dir).store.location("raw_news")
+    raw_news(spark, sf_dir).drop("ord").write.mode("overwrite").parquet(path)
+    return read_raw_news(spark, path).drop("ord")
+
+
 # --- filters and matching ----------------------------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from broadsheet.operators.skew import sized_join
 from broadsheet.schemas import RAW_NEWS
 
 ROWS_PER_FILE_BITS = 40
@@ -27,13 +28,14 @@ def file_position(scan: DataFrame) -> DataFrame:
 def with_file_order(placed: DataFrame) -> DataFrame:
     """Turn the place of a row into ``ord``: the rank of the file, by path, and the row's index in it.
 
-    The rank is taken over the distinct file names, so that window sees one row per file.
+    The rank is taken over the distinct file names, so that window sees one row per file. The list of
+    files is sent to the scan when it is small, as it mostly is, so texts aren't shuffled by file.
     """
     files = placed.select("file_path").distinct()
     rank = F.row_number().over(Window.orderBy("file_path")).cast("long") - 1
     base = F.lit(1 << ROWS_PER_FILE_BITS)
     return (
-        placed.join(files.withColumn("file_rank", rank), "file_path")
+        sized_join(placed, files.withColumn("file_rank", rank), ["file_path"])
         .withColumn("ord", F.col("file_rank") * base + F.col("row_index"))
         .select("ord", *RAW_NEWS.fieldNames())
     )

@@ -47,10 +47,12 @@ class StreamIngest:
     @staticmethod
     def _days(firsts: DataFrame) -> Column:
         """The dates a batch can repeat, as constants: news arrives by date, so the statistics of
-        the stored files rule out most of them."""
-        dated = F.when(F.col("date_key") != NULL_DATE, F.col("date_key"))
+        the stored files rule out most of them. Values that don't look like a day take no part in the
+        range; stored ones of that kind are always read."""
+        is_day = F.col("date_key").rlike(r"^\d{4}-\d{2}-\d{2}")
+        dated = F.when(is_day, F.col("date_key"))
         span = firsts.agg(F.min(dated).alias("low"), F.max(dated).alias("high")).first()
-        undated = F.col("date_key") == NULL_DATE
+        undated = ~is_day
         if span["low"] is None:
             return undated
         return undated | F.col("date_key").between(span["low"], span["high"])
@@ -62,6 +64,7 @@ class StreamIngest:
             raw.filter(ingest.reject_reason().isNull())
             .groupBy("title", date_key().alias("date_key"))
             .agg(F.min("ord").alias("ord"))
+            .persist()
         )
         stored = self._earlier("accepted", ACCEPTED, batch_id).filter(self._days(firsts))
         stored = stored.select("title", "date_key")
@@ -79,6 +82,7 @@ class StreamIngest:
         articles.write.mode("overwrite").parquet(self._folder("articles", batch_id))
         loaded = kept.agg(F.count(F.lit(1)).alias("loaded"))
         loaded.write.mode("overwrite").parquet(self._folder("loads", batch_id))
+        firsts.unpersist()
 
     def start(self, input_path: str, checkpoint: str, max_files: int = 100) -> StreamingQuery:
         """Load all files that are there, ``max_files`` per micro-batch, then stop."""

@@ -238,6 +238,12 @@ SELECT CASE WHEN prefixed THEN 'article:' || i.id ELSE i.id END AS requested,
   a.id IS NOT NULL AS found, a.id AS id, a.title, a.category, a.word_count
 FROM ids i LEFT JOIN articles a ON a.id = i.id""")
 
+oracle("get_documents", "articles", f"""
+, ids AS (SELECT printf('nw_%07d', vec_id * 3 + 1) AS requested FROM embeddings),
+a AS (SELECT {FLAT} FROM articles)
+SELECT i.requested, a.id IS NOT NULL AS found, a.* FROM ids i LEFT JOIN a ON a.id = i.requested""")
+oracle("scan_raw_news", "raw", "SELECT title, date, article, author, section, publication FROM raw")
+
 # --- filters and matching ----------------------------------------------------------------------
 
 
