@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from broadsheet.functions.text import BLANKS, has_words, highlight, snippet, tag_array_values, words
 from broadsheet.operators import cache, facets, hybrid, similar, suggest, textsearch
 from broadsheet.operators.skew import sized_join, top_per_key
-from broadsheet.operators.vectors import nearest
+from broadsheet.operators.vectors import nearest, nearest_to, norm
 from broadsheet.plans import workload
 from broadsheet.plans.corpus import corpus
 from broadsheet.plans.textindex import TEXT_FIELDS
@@ -176,6 +176,12 @@ def requests(spark):
         (10, "thet off", "All", "All", "relevance", True, 0, 10),
         (11, "thet", "Politics,General", "All", "date_desc", True, 1, 6),
         (12, "x", "All", "wired", "date_asc", True, 0, 3),
+        (13, "the of", "all", "All", "relevance", False, 0, 10),
+        (14, "the of", " All ", "All", "relevance", False, 0, 10),
+        (15, "the of", "Politics, World", "All", "DATE_DESC", False, 0, 10),
+        (16, "the", "of:politics", "All", "relevance", False, 0, 10),
+        (17, "the:of", "politics", "All", "relevance", False, 0, 10),
+        (18, "the of", "All", "All", None, None, 0, 10),
     ]
     return spark.createDataFrame(
         rows,
@@ -192,7 +198,7 @@ def test_bulk_search_equals_single_searches(c, spark, max_bytes):
         got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
     for q in table.collect():
         single = textsearch.search(
-            c, q["text"], q["categories"], q["sources"], fuzzy=q["fuzzy"], sort=q["sort"],
+            c, q["text"], q["categories"], q["sources"], fuzzy=bool(q["fuzzy"]), sort=q["sort"] or "relevance",
             offset=q["offset"], limit=q["limit"],
         )
         want = sorted((r["rank"], r["id"], r["score"]) for r in single.collect())
@@ -224,7 +230,7 @@ def test_top_per_key(spark):
 
 
 def test_pages_are_cut_before_the_shuffle(c, spark):
-    _, distinct = workload.distinct_requests(requests(spark), "text")
+    _, distinct = workload.distinct_requests(requests(spark))
     frames = [
         workload.search_distinct(c, distinct),
         facets.category_sections(c),
@@ -298,6 +304,16 @@ def test_fusion_tie_and_zero_weight(spark):
     assert [r["id"] for r in zero.orderBy(*hybrid.fused_order()).collect()] == ["x", "b", "a", "z", "y"]
 
 
+def test_vectors_without_direction_have_no_neighbours(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [0.0, 1.0]), (5, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "ord long, vector array<float>")
+    normed = df.withColumn("norm", norm(F.col("vector")))
+    assert [r["ord"] for r in nearest_to(normed, [1.0, 0.1], 10).collect()] == [1, 5, 4]
+    assert nearest_to(normed, [0.0, 0.0], 10).count() == 0
+    reuse = workload.embedding_reuse(df.withColumnRenamed("ord", "query_id")).collect()
+    assert {r["query_id"]: r["reused_from"] for r in reuse} == {1: None, 2: None, 4: None, 5: 1}
+
+
 @pytest.mark.parametrize("query_bytes", [1 << 25, 0])
 def test_bulk_vector_equals_single(c, spark, sf_dir, query_bytes):
     log = query_vectors(spark, sf_dir).filter("vector is not null and length(text) > 3")
