@@ -43,12 +43,21 @@ PATTERNS = {
     "man": rf"\b(?:Mr|Herr|Señor|Monsieur|господин)\.? \p{{Lu}}{_LETTER}{{1,30}}(?: \p{{Lu}}{_LETTER}{{1,30}})?",
 }
 ANY = "|".join(PATTERNS.values())
-#: A text without any of these has no entity; most texts are passed by this test alone.
-QUICK = r"[0-9@]|(?i:password|passwd|pwd|token|secret|key)|Mrs|Mr|Ms|Miss|Frau|Herr|Señor|Madame|Monsieur|госпо"
+#: A text without such a character and without a form of address has no entity. This passes most texts
+#: by plain searches, which cost far less than the patterns.
+QUICK = "[0-9@=:]"
+ADDRESS = ("Mr", "Ms", "Miss", "Frau", "Herr", "Señor", "Madame", "Monsieur", "госпо")
 _VALUE = r"""^(.*?[=:]\s*["']?)([^"'\s=:]+)(["']?)$"""
 _DIGITS = ("phone", "phone_plus", "ssn", "card", "ipv4")
 
 
+def may_have_entity(text: Column) -> Column:
+    found = text.rlike(QUICK)
+    for word in ADDRESS:
+        found = found | text.contains(word)
+    return found
+
+
 def _luhn(digits: Column) -> Column:
     """The Luhn sum of a string of digits, from the right."""
     n = F.length(digits)
@@ -239,7 +248,7 @@ def replaced(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     own, extra = [c for c in docs.columns if c != "n_entities"], F.lit(0).alias("n_entities")
-    quick = F.coalesce(F.col("text").rlike(QUICK), F.lit(False))
+    quick = F.coalesce(may_have_entity(F.col("text")), F.lit(False))
     key = node_key("text").alias("_key")
     found = docs.where(quick).select(key, F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("mentions"))
     found = stage_table(spark, found.where(F.size("mentions") > 0), "mentions")
