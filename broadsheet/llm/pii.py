@@ -10,7 +10,8 @@ is made from a keyed hash of type and normal form: digits stay digits, letters l
 card numbers stay valid, area codes possible, addresses in the domain ``example``, IPv4 addresses in a
 reserved block, names get the ending of their gender and letters of their script. Surrogates are then
 checked over the whole corpus: no two entities of a type share one, and none is a real entity of it;
-those that clash are made again from the next hash until none does. The one that is older, and of
+those that clash are made again from the next hash until none does. As a shape can have fewer texts than
+entities, a surrogate grows by a character a round after some rounds. The one that is older, and of
 those of one round the one with the smaller normal form, keeps its surrogate.
 
 Null texts stay null and empty ones empty. Equal texts are treated once and stay equal. Documents
@@ -26,11 +27,13 @@ from broadsheet.llm.common import stage_table
 from broadsheet.llm.neardup import node_key
 
 KEY = "surrogates-1"
+#: From this attempt on a surrogate grows by one keyed character a round, as its shape may have no free one.
+WIDEN = 8
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _LETTER = r"[\p{L}'’-]"
 #: Order matters: of two that match at one place the first is taken. All repetitions are bounded.
 PATTERNS = {
-    "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9/+_.-]{8,128}[\"']?)",
+    "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?=[/+_.-]*+[A-Za-z0-9])[A-Za-z0-9/+_.-]{8,128}[\"']?)",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
@@ -104,6 +107,17 @@ def _byte(stream: Column, i: Column) -> Column:
 _ALPHABETS = (("[0-9]", "0123456789"), ("[a-z]", "abcdefghijklmnopqrstuvwxyz"), ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
 
 
+def _wider(letters: str) -> Column:
+    """What is appended to the surrogate of ``kind, norm`` at ``attempt``: nothing before ``WIDEN``."""
+    stream = _stream("kind", "norm", F.col("attempt").cast("string"), F.lit("wider"))
+    many = F.greatest(F.lit(0), F.col("attempt") - (WIDEN - 1))
+    picked = F.transform(
+        F.sequence(F.lit(0), many),
+        lambda i: F.when(i < many, F.substring(F.lit(letters), _byte(stream, i) % len(letters) + 1, F.lit(1))).otherwise(""),
+    )
+    return F.array_join(picked, "")
+
+
 def _same_shape(text: Column, stream: Column, hexadecimal: Column | None = None) -> Column:
     """Each digit and letter replaced by one of its class; in hexadecimal texts letters stay below g."""
 
@@ -151,31 +165,32 @@ def surrogate() -> Column:
     kind, norm = F.col("kind"), F.col("norm")
     stream = _stream("kind", "norm", F.col("attempt").cast("string"))
     shaped = _same_shape(norm, stream)
+    digits, letters, syllables = _wider("0123456789"), _wider("0123456789abcdef"), _wider("aeiou")
     from_two = F.substring(F.lit("23456789"), _byte(stream, F.lit(60)) % 8 + 1, F.lit(1))
     phone = F.when(
         F.length(norm) == 10,
         F.concat(from_two, F.substring(shaped, 2, 2), F.translate(F.substring(shaped, 4, 1), "01", "57"), F.substring(shaped, 5, 99)),
     ).otherwise(F.concat(F.substring(norm, 1, 3), F.substring(shaped, 4, 99)))
-    head = F.concat(F.substring(norm, 1, 1), F.substring(shaped, F.lit(2), F.length(norm) - 2))
+    head = F.concat(F.substring(norm, 1, 1), F.substring(shaped, F.lit(2), F.length(norm) - 2), digits)
     card = F.concat(head, ((10 - _luhn(F.concat(head, F.lit("0"))) % 10) % 10).cast("string"))
     local = F.substring_index(norm, "@", 1)
     domain = F.substring_index(norm, "@", -1)
-    # A domain has one surrogate, whatever stands before it; later rounds change the local part alone.
+    # A domain has one surrogate, whatever stands before it; later rounds change and widen the local part alone.
     hidden = _same_shape(domain, _stream(F.lit("domain"), domain))
-    email = F.concat(_same_shape(local, stream), F.lit("@"), hidden, F.lit(".example"))
+    email = F.concat(_same_shape(local, stream), letters, F.lit("@"), hidden, F.lit(".example"))
     octets = [
         F.when(F.col("attempt") < 8, _byte(stream, F.lit(0)) % 15 + 240).otherwise(_byte(stream, F.lit(0)) % 223 + 1),
         *(_byte(stream, F.lit(i)) for i in (1, 2, 3)),
     ]
     return (
         F.when(kind == "email", email)
-        .when(kind == "phone", phone)
+        .when(kind == "phone", F.concat(phone, digits))
         .when(kind == "card", card)
-        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(shaped, 2, 99)))
+        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(shaped, 2, 99), digits))
         .when(kind == "ipv4", F.concat_ws(".", *(o.cast("string") for o in octets)))
-        .when(kind.isin("access_key", "iban"), F.concat(F.substring(norm, 1, F.when(kind == "iban", F.lit(2)).otherwise(F.lit(4))), _same_shape(F.substring(norm, F.when(kind == "iban", F.lit(3)).otherwise(F.lit(5)), F.lit(99)), stream)))
-        .when(kind == "secret", _same_shape(norm, stream, norm.rlike("^[0-9a-f]+$")))
-        .otherwise(_name(norm, kind, stream))
+        .when(kind.isin("access_key", "iban"), F.concat(F.substring(norm, 1, F.when(kind == "iban", F.lit(2)).otherwise(F.lit(4))), _same_shape(F.substring(norm, F.when(kind == "iban", F.lit(3)).otherwise(F.lit(5)), F.lit(99)), stream), digits))
+        .when(kind == "secret", F.concat(_same_shape(norm, stream, norm.rlike("^[0-9a-f]+$")), letters))
+        .otherwise(F.concat(_name(norm, kind, stream), syllables))
     )
 
 
@@ -202,7 +217,7 @@ def surrogates(entities: DataFrame) -> DataFrame:
 
 
 def _in_format(mention: Column, digits: Column) -> Column:
-    """``mention`` with its digits replaced, in order, by ``digits``."""
+    """``mention`` with its digits replaced, in order, by ``digits``; those left over follow its last digit."""
     start = F.struct(F.lit("").alias("o"), F.lit(1).alias("i"))
     return F.aggregate(
         F.split(mention, ""), start,
@@ -210,7 +225,7 @@ def _in_format(mention: Column, digits: Column) -> Column:
             c.rlike("[0-9]"),
             F.struct(F.concat(a["o"], F.substring(digits, a["i"], F.lit(1))).alias("o"), (a["i"] + 1).alias("i")),
         ).otherwise(F.struct(F.concat(a["o"], c).alias("o"), a["i"].alias("i"))),
-        lambda a: a["o"],
+        lambda a: F.concat(a["o"], F.substring(digits, a["i"], F.length(digits))),
     )
 
 
@@ -218,7 +233,7 @@ def rendered() -> Column:
     """The surrogate of a mention in the mention's own format."""
     m, kind, norm, s = (F.col(c) for c in ("mention", "kind", "norm", "surrogate"))
     digits = F.regexp_replace(m, r"\D", "")
-    country = F.substring(digits, F.lit(1), F.length(digits) - F.length(s))
+    country = F.substring(digits, F.lit(1), F.length(digits) - F.length(norm))
     value = F.regexp_extract(m, _VALUE, 1), F.regexp_extract(m, _VALUE, 3)
     title = F.regexp_extract(m, r"^(\S+ )", 1)
     upper, name = m == F.upper(m), F.regexp_replace(m, r"^\S+ ", "")
@@ -227,7 +242,7 @@ def rendered() -> Column:
         lambda a, c: F.when(c == " ", F.struct(F.concat(a["o"], c).alias("o"), a["i"].alias("i"))).otherwise(
             F.struct(F.concat(a["o"], F.substring(s, a["i"], F.lit(1))).alias("o"), (a["i"] + 1).alias("i"))
         ),
-        lambda a: a["o"],
+        lambda a: F.concat(a["o"], F.substring(s, a["i"], F.length(s))),
     )
     return (
         F.when(kind == "ipv4", s)

@@ -154,6 +154,17 @@ def test_corpus_surrogates_are_distinct(documents):
     assert pii.replaced(documents.limit(0)).count() == 0
 
 
+def test_every_entity_reaches_a_free_surrogate(make_docs):
+    # A form's blanks are no secret; 10 secrets and 100 numbers that are all texts of their shape.
+    rows = [(0, "Password: ________ token=--------------")] + [(i, f"Password: _______{i % 10}") for i in range(1, 11)]
+    rows += [(100 + i, f"call +1 22 {i:02d} now") for i in range(100)]
+    out = {r.doc_id: r for r in pii.replaced(make_docs(rows)).collect()}
+    assert out[0].text == rows[0][1] and out[0].n_entities == 0
+    for ids in (range(1, 11), range(100, 200)):
+        made = {out[i].text for i in ids}
+        assert len(made) == len(ids) and not made & {text for _, text in rows}
+
+
 # --- SentencePiece -----------------------------------------------------------------------------
 
 
