@@ -31,9 +31,9 @@ KEY = "surrogates-1"
 WIDEN = 8
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _LETTER = r"[\p{L}'’-]"
-#: Order matters: of two that match at one place the first is taken. All repetitions are bounded.
+#: Order matters: of two that match at one place the first is taken. Repetitions are bounded or possessive.
 PATTERNS = {
-    "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?=[/+_.-]*+[A-Za-z0-9])[A-Za-z0-9/+_.-]{8,128}[\"']?)",
+    "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?=[/+_.-]*+[A-Za-z0-9])[A-Za-z0-9/+_.-]{8,}+[\"']?)",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
@@ -94,10 +94,12 @@ def classified(mentions: DataFrame) -> DataFrame:
     return rows.withColumn("kind", F.when(F.col("kind") == "phone_plus", "phone").otherwise(F.col("kind")))
 
 
-def _stream(*parts: Column | str) -> Column:
-    """128 hexadecimal digits, keyed."""
+def _stream(*parts: Column | str, block: Column | None = None) -> Column:
+    """128 hexadecimal digits, keyed; others for each ``block``."""
     key = F.concat_ws("|", F.lit(KEY), *parts)
-    return F.concat(F.sha2(F.concat(key, F.lit("|0")), 256), F.sha2(F.concat(key, F.lit("|1")), 256))
+    first = F.lit(0) if block is None else block * 2
+    half = [F.sha2(F.concat(key, F.lit("|"), (first + i).cast("string")), 256) for i in (0, 1)]
+    return F.concat(*half)
 
 
 def _byte(stream: Column, i: Column) -> Column:
@@ -118,17 +120,25 @@ def _wider(letters: str) -> Column:
     return F.array_join(picked, "")
 
 
-def _same_shape(text: Column, stream: Column, hexadecimal: Column | None = None) -> Column:
-    """Each digit and letter replaced by one of its class; in hexadecimal texts letters stay below g."""
+def _same_shape(text: Column, *parts: Column | str, hexadecimal: Column | None = None) -> Column:
+    """Each digit and letter replaced by one of its class, by the streams of ``parts``, one for each 64
+    characters; in hexadecimal texts letters stay below g."""
 
-    def one(c: Column, i: Column) -> Column:
+    def one(c: Column, i: Column, stream: Column) -> Column:
         out = c
         for pattern, letters in _ALPHABETS:
             n = F.lit(len(letters)) if hexadecimal is None or letters[0] == "0" else F.when(hexadecimal, 6).otherwise(len(letters))
             out = F.when(c.rlike(pattern), F.substring(F.lit(letters), _byte(stream, i) % n + 1, F.lit(1))).otherwise(out)
         return out
 
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+    def block(chunk: Column, j: Column) -> Column:
+        shaped = F.transform(
+            F.array(_stream(*parts, block=j)),
+            lambda stream: F.array_join(F.transform(F.split(chunk, ""), lambda c, i: one(c, i, stream)), ""),
+        )
+        return shaped[0]
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s).{1,64}"), F.lit(0)), block), "")
 
 
 #: Syllables and endings that names are made from, per script and gender.
@@ -163,8 +173,8 @@ def _name(norm: Column, kind: Column, stream: Column) -> Column:
 def surrogate() -> Column:
     """The surrogate, in normal form, of ``kind, norm`` at ``attempt``."""
     kind, norm = F.col("kind"), F.col("norm")
-    stream = _stream("kind", "norm", F.col("attempt").cast("string"))
-    shaped = _same_shape(norm, stream)
+    keyed = ("kind", "norm", F.col("attempt").cast("string"))
+    stream, shaped = _stream(*keyed), _same_shape(norm, *keyed)
     digits, letters, syllables = _wider("0123456789"), _wider("0123456789abcdef"), _wider("aeiou")
     from_two = F.substring(F.lit("23456789"), _byte(stream, F.lit(60)) % 8 + 1, F.lit(1))
     phone = F.when(
@@ -176,8 +186,8 @@ def surrogate() -> Column:
     local = F.substring_index(norm, "@", 1)
     domain = F.substring_index(norm, "@", -1)
     # A domain has one surrogate, whatever stands before it; later rounds change and widen the local part alone.
-    hidden = _same_shape(domain, _stream(F.lit("domain"), domain))
-    email = F.concat(_same_shape(local, stream), letters, F.lit("@"), hidden, F.lit(".example"))
+    hidden = _same_shape(domain, F.lit("domain"), domain)
+    email = F.concat(_same_shape(local, *keyed), letters, F.lit("@"), hidden, F.lit(".example"))
     octets = [
         F.when(F.col("attempt") < 8, _byte(stream, F.lit(0)) % 15 + 240).otherwise(_byte(stream, F.lit(0)) % 223 + 1),
         *(_byte(stream, F.lit(i)) for i in (1, 2, 3)),
@@ -188,8 +198,8 @@ def surrogate() -> Column:
         .when(kind == "card", card)
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(shaped, 2, 99), digits))
         .when(kind == "ipv4", F.concat_ws(".", *(o.cast("string") for o in octets)))
-        .when(kind.isin("access_key", "iban"), F.concat(F.substring(norm, 1, F.when(kind == "iban", F.lit(2)).otherwise(F.lit(4))), _same_shape(F.substring(norm, F.when(kind == "iban", F.lit(3)).otherwise(F.lit(5)), F.lit(99)), stream), digits))
-        .when(kind == "secret", F.concat(_same_shape(norm, stream, norm.rlike("^[0-9a-f]+$")), letters))
+        .when(kind.isin("access_key", "iban"), F.concat(F.substring(norm, 1, F.when(kind == "iban", F.lit(2)).otherwise(F.lit(4))), _same_shape(F.substring(norm, F.when(kind == "iban", F.lit(3)).otherwise(F.lit(5)), F.lit(99)), *keyed), digits))
+        .when(kind == "secret", F.concat(_same_shape(norm, *keyed, hexadecimal=norm.rlike("^[0-9a-f]+$")), letters))
         .otherwise(F.concat(_name(norm, kind, stream), syllables))
     )
 

@@ -165,6 +165,19 @@ def test_every_entity_reaches_a_free_surrogate(make_docs):
         assert len(made) == len(ids) and not made & {text for _, text in rows}
 
 
+def test_long_secrets_are_replaced_whole(make_docs):
+    rng = np.random.default_rng(5)
+    head, *tails = ("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEF0123456789-_."), n)) for n in (130, 100, 870, 3000))
+    rows = [(i, f"token=eyJ{head}{tail} end") for i, tail in enumerate(tails)]
+    out = {r.doc_id: r.text for r in pii.replaced(make_docs(rows)).collect()}
+    for i, tail in enumerate(tails):
+        value = re.fullmatch(r"token=(\S+) end", out[i])[1]
+        assert len(value) == 133 + len(tail) and not any(tail[j : j + 20] in value for j in range(len(tail) - 19))
+        letters = [c for c in value if c.isalnum()]
+        assert len(set(zip(letters, letters[64:]))) > 30 and value[:64] != value[64:128]
+    assert len({text[:100] for text in out.values()}) == len(tails)
+
+
 # --- SentencePiece -----------------------------------------------------------------------------
 
 
