@@ -4,6 +4,13 @@ Entities are e-mail addresses, phone numbers, payment cards (valid by Luhn), IPv
 security numbers, bank accounts (IBAN), access keys, values of password, token and key assignments, and
 names after a form of address. All is done with built-in expressions.
 
+Mentions of one entity corefer. A name is known by its parts: "Mr. John Smith" and "Mr. Smith" share the
+surrogate of "smith", and a capitalised "John" or "Smith" elsewhere in the text gets it too; a form of
+address without gender follows the text's other mentions of the name. Numbers are brought to one form
+with country code, 1 where none is written. Not linked: names of texts that nowhere have them after a form
+of address, third and later words of a name, initials, names in small letters, numbers written with
+another trunk or exit prefix than "+".
+
 The corpus's distinct mentions are brought to a normal form (digits of a number, lower case of an
 address), so that all mentions of one entity have one surrogate, each in its own format. A surrogate
 is made from a keyed hash of type and normal form: digits stay digits, letters letters of their case,
@@ -31,6 +38,7 @@ KEY = "surrogates-1"
 WIDEN = 8
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _LETTER = r"[\p{L}'’-]"
+_NAME = rf"\p{{Lu}}{_LETTER}++(?: \p{{Lu}}{_LETTER}++)?"
 #: Order matters: of two that match at one place the first is taken. Repetitions are bounded or possessive.
 PATTERNS = {
     "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?=[/+_.-]*+[A-Za-z0-9])[A-Za-z0-9/+_.-]{8,}+[\"']?)",
@@ -42,14 +50,21 @@ PATTERNS = {
     "phone_plus": r"(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
     "card": r"(?<![\d.-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d])",
     "ipv4": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
-    "woman": rf"\b(?:Mrs|Ms|Miss|Frau|Señora|Madame|госпожа)\.? \p{{Lu}}{_LETTER}{{1,30}}(?: \p{{Lu}}{_LETTER}{{1,30}})?",
-    "man": rf"\b(?:Mr|Herr|Señor|Monsieur|господин)\.? \p{{Lu}}{_LETTER}{{1,30}}(?: \p{{Lu}}{_LETTER}{{1,30}})?",
+    "woman": rf"\b(?:Mrs|Ms|Miss|Frau|Señora|Sra|Dra|Madame|Mme|Mlle|госпожа)\.? {_NAME}",
+    "man": rf"\b(?:(?:Mr|Herr|Señor|Monsieur|господин)\.?|Sr\.|(?<!\p{{L}}\. ?)M\.) {_NAME}",
+    "person": rf"\b(?:Dr|Prof)\.? {_NAME}",
 }
 ANY = "|".join(PATTERNS.values())
 #: A text without such a character and without a form of address has no entity. This passes most texts
 #: by plain searches, which cost far less than the patterns.
 QUICK = "[0-9@=:]"
-ADDRESS = ("Mr", "Ms", "Miss", "Frau", "Herr", "Señor", "Madame", "Monsieur", "госпо")
+ADDRESS = ("Mr", "Ms", "Miss", "Frau", "Herr", "Señor", "Madame", "Monsieur", "госпо", "M. ", "Mme", "Mlle", "Sr.", "Sra", "Dr", "Prof")
+#: Kinds of names; "person" has no gender of its own and follows another mention in its text.
+NAMED = ("woman", "man", "person")
+#: What follows a name within its word: a possessive, quotes, a hyphen.
+_TAIL = r"(?:['’][sS])?['’-]*$"
+#: Country codes of the numbering plan.
+_CODE = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 _VALUE = r"""^(.*?[=:]\s*["']?)([^"'\s=:]+)(["']?)$"""
 _DIGITS = ("phone", "phone_plus", "ssn", "card", "ipv4")
 
@@ -84,9 +99,9 @@ def classified(mentions: DataFrame) -> DataFrame:
         F.when(F.col("kind") == "secret", F.regexp_extract(m, _VALUE, 2))
         .when(F.col("kind") == "email", F.lower(m))
         .when(F.col("kind") == "iban", F.regexp_replace(m, " ", ""))
-        .when(F.col("kind") == "phone", F.substring(digits, -10, 10))
+        .when(F.col("kind") == "phone", F.when(m.startswith("+"), digits).otherwise(F.concat(F.lit("1"), digits)))
         .when(F.col("kind").isin("phone_plus", "ssn", "card"), digits)
-        .when(F.col("kind").isin("woman", "man"), F.lower(bare))
+        .when(F.col("kind").isin(*NAMED), F.lower(bare))
         .otherwise(m)
     )
     rows = mentions.select("mention", kind.alias("kind")).where("kind IS NOT NULL").withColumn("norm", norm)
@@ -160,9 +175,9 @@ def _name(norm: Column, kind: Column, stream: Column) -> Column:
             pick = [
                 F.element_at(syllables, _byte(stream, i * 8 + j) % len(_NAMES[script][0]) + 1) for j in range(4)
             ]
-            end = F.when(kind == "woman", F.element_at(woman, _byte(stream, i * 8 + 5) % 4 + 1)).otherwise(
-                F.element_at(man, _byte(stream, i * 8 + 5) % 4 + 1)
-            )
+            end = F.when(kind == "woman", F.element_at(woman, _byte(stream, i * 8 + 5) % 4 + 1)).when(
+                kind == "man", F.element_at(man, _byte(stream, i * 8 + 5) % 4 + 1)
+            ).otherwise("")
             return F.concat(*pick, end)
 
         return F.array_join(F.transform(F.split(norm, " "), part), " ")
@@ -175,12 +190,14 @@ def surrogate() -> Column:
     kind, norm = F.col("kind"), F.col("norm")
     keyed = ("kind", "norm", F.col("attempt").cast("string"))
     stream, shaped = _stream(*keyed), _same_shape(norm, *keyed)
-    digits, letters, syllables = _wider("0123456789"), _wider("0123456789abcdef"), _wider("aeiou")
+    digits, letters = _wider("0123456789"), _wider("0123456789abcdef")
+    vowels = F.when(norm.rlike(r"\p{IsCyrillic}"), _wider("аеиоу")).otherwise(_wider("aeiou"))
     from_two = F.substring(F.lit("23456789"), _byte(stream, F.lit(60)) % 8 + 1, F.lit(1))
+    code = F.regexp_extract(norm, _CODE, 1)
     phone = F.when(
-        F.length(norm) == 10,
-        F.concat(from_two, F.substring(shaped, 2, 2), F.translate(F.substring(shaped, 4, 1), "01", "57"), F.substring(shaped, 5, 99)),
-    ).otherwise(F.concat(F.substring(norm, 1, 3), F.substring(shaped, 4, 99)))
+        (F.length(norm) == 11) & (code == "1"),
+        F.concat(F.lit("1"), from_two, F.substring(shaped, 3, 2), F.translate(F.substring(shaped, 5, 1), "01", "57"), F.substring(shaped, 6, 99)),
+    ).otherwise(F.concat(code, F.substring(shaped, F.length(code) + 1, F.length(norm))))
     head = F.concat(F.substring(norm, 1, 1), F.substring(shaped, F.lit(2), F.length(norm) - 2), digits)
     card = F.concat(head, ((10 - _luhn(F.concat(head, F.lit("0"))) % 10) % 10).cast("string"))
     local = F.substring_index(norm, "@", 1)
@@ -200,7 +217,7 @@ def surrogate() -> Column:
         .when(kind == "ipv4", F.concat_ws(".", *(o.cast("string") for o in octets)))
         .when(kind.isin("access_key", "iban"), F.concat(F.substring(norm, 1, F.when(kind == "iban", F.lit(2)).otherwise(F.lit(4))), _same_shape(F.substring(norm, F.when(kind == "iban", F.lit(3)).otherwise(F.lit(5)), F.lit(99)), *keyed), digits))
         .when(kind == "secret", F.concat(_same_shape(norm, *keyed, hexadecimal=norm.rlike("^[0-9a-f]+$")), letters))
-        .otherwise(F.concat(_name(norm, kind, stream), syllables))
+        .otherwise(F.concat(vowels, _name(norm, kind, stream)))
     )
 
 
@@ -241,12 +258,10 @@ def _in_format(mention: Column, digits: Column) -> Column:
 
 def rendered() -> Column:
     """The surrogate of a mention in the mention's own format."""
-    m, kind, norm, s = (F.col(c) for c in ("mention", "kind", "norm", "surrogate"))
-    digits = F.regexp_replace(m, r"\D", "")
-    country = F.substring(digits, F.lit(1), F.length(digits) - F.length(norm))
+    m, kind, s = (F.col(c) for c in ("mention", "kind", "surrogate"))
+    local = (kind == "phone") & ~m.startswith("+")
     value = F.regexp_extract(m, _VALUE, 1), F.regexp_extract(m, _VALUE, 3)
-    title = F.regexp_extract(m, r"^(\S+ )", 1)
-    upper, name = m == F.upper(m), F.regexp_replace(m, r"^\S+ ", "")
+    upper = m == F.upper(m)
     iban = F.aggregate(
         F.split(m, ""), F.struct(F.lit("").alias("o"), F.lit(1).alias("i")),
         lambda a, c: F.when(c == " ", F.struct(F.concat(a["o"], c).alias("o"), a["i"].alias("i"))).otherwise(
@@ -256,15 +271,49 @@ def rendered() -> Column:
     )
     return (
         F.when(kind == "ipv4", s)
-        .when(kind.isin("phone", "ssn", "card"), _in_format(m, F.concat(country, s)))
+        .when(kind.isin("phone", "ssn", "card"), _in_format(m, F.when(local, F.substring(s, F.lit(2), F.length(s))).otherwise(s)))
         .when(kind == "secret", F.concat(value[0], s, value[1]))
         .when(kind == "email", F.when(upper, F.upper(s)).otherwise(s))
         .when(kind == "iban", iban)
         .when(kind == "access_key", s)
-        .otherwise(F.concat(title, F.when(name == F.upper(name), F.upper(s)).otherwise(F.initcap(s))))
     )
 
 
+def _core(word: Column) -> Column:
+    return F.regexp_replace(word, _TAIL, "")
+
+
+def _name_words(mention: Column) -> Column:
+    return F.split(F.regexp_replace(mention, r"^\S+ ", ""), " ")
+
+
+def _renamed(word: Column, kind: Column, names: Column) -> Column:
+    """``word`` with the name in it replaced in its own case; null if ``names`` lacks it."""
+    core = _core(word)
+    new = F.element_at(names, F.concat(kind, F.lit("|"), F.lower(core)))
+    new = F.when((F.length(core) > 1) & (core == F.upper(core)), F.upper(new)).otherwise(F.initcap(new))
+    return F.concat(new, F.substring(word, F.length(core) + 1, F.length(word)))
+
+
+def _renamed_mention(mention: Column, names: Column) -> Column:
+    kind = F.when(mention.rlike(f"^(?:{PATTERNS['woman']})$"), "woman").when(mention.rlike(f"^(?:{PATTERNS['man']})$"), "man")
+    words = F.transform(_name_words(mention), lambda w: F.coalesce(_renamed(w, F.coalesce(kind, F.lit("")), names), w))
+    named = F.regexp_extract(mention, r"^(\S+ )", 1)
+    is_name = kind.isNotNull() | mention.rlike(f"^(?:{PATTERNS['person']})$")
+    return F.when((F.size(names) > 0) & is_name, F.concat(named, F.array_join(words, " ")))
+
+
+def _names_of_texts(each: DataFrame, mentions: DataFrame, names: DataFrame) -> DataFrame:
+    """``_key, mention, to``: ``kind|part`` of every name part of a text, and ``|part`` for mentions without gender."""
+    named = mentions.where(F.col("kind").isin(*NAMED))
+    parts = each.join(named.select("mention", "kind"), "mention").select("_key", "kind", F.explode(_name_words(F.col("mention"))).alias("word"))
+    parts = parts.select("_key", "kind", F.lower(_core(F.col("word"))).alias("norm")).distinct().join(names, ["kind", "norm"])
+    own = parts.where("kind != 'person'").select("_key", F.concat_ws("|", "kind", "norm").alias("mention"), F.col("surrogate").alias("to"))
+    best = F.min(F.struct(F.col("kind") == "person", "kind", "surrogate"))["surrogate"].alias("to")
+    bare = parts.groupBy("_key", "norm").agg(best)
+    return own.union(bare.select("_key", F.concat(F.lit("|"), F.col("norm")).alias("mention"), "to"))
+
+
 def replaced(docs: DataFrame) -> DataFrame:
     """``docs`` with surrogates in ``text``, and ``n_entities``: how many mentions were replaced.
 
@@ -279,25 +328,51 @@ def replaced(docs: DataFrame) -> DataFrame:
     found = stage_table(spark, found.where(F.size("mentions") > 0), "mentions")
     each = found.select("_key", F.explode(F.array_distinct("mentions")).alias("mention")).distinct()
     mentions = stage_table(spark, classified(each.select("mention").distinct()), "classified")
-    names = surrogates(mentions)
-    table = mentions.join(names, ["kind", "norm"]).select("mention", rendered().alias("to"))
+    is_name = F.col("kind").isin(*NAMED)
+    parts = mentions.where(is_name).select("kind", F.explode(_name_words(F.col("mention"))).alias("word"))
+    parts = parts.select("kind", F.lower(_core(F.col("word"))).alias("norm"))
+    names = surrogates(mentions.where(~is_name).select("kind", "norm").union(parts))
+    table = mentions.where(~is_name).join(names, ["kind", "norm"]).select("mention", rendered().alias("to"))
     table = stage_table(spark, table, "replacements")
-    by_text = each.join(table, "mention").groupBy("_key").agg(
-        F.map_from_entries(F.collect_list(F.struct("mention", "to"))).alias("_to")
+    rows = each.join(table, "mention").select("_key", "mention", "to", F.lit(False).alias("name"))
+    rows = rows.union(_names_of_texts(each, mentions, names).withColumn("name", F.lit(True)))
+    entry = F.struct("mention", "to")
+    by_text = rows.groupBy("_key").agg(
+        F.map_from_entries(F.collect_list(F.when(~F.col("name"), entry))).alias("_to"),
+        F.map_from_entries(F.collect_list(F.when(F.col("name"), entry))).alias("_names"),
     )
     by_text = stage_table(spark, by_text, "by_text")
 
     def put_together(x: Column) -> Column:
-        new = F.zip_with(
-            x["parts"], x["mentions"],
-            lambda part, m: F.concat(part, F.coalesce(F.element_at(x["to"], F.coalesce(m, F.lit(""))), m, F.lit(""))),
+        # Names found after a form of address are replaced wherever else they stand in the text.
+        words = lambda part: F.regexp_extract_all(part, F.lit(f"{_LETTER}+|[^\\p{{L}}'’-]+"), F.lit(0))
+        again = lambda w: F.when(w.rlike(r"^\p{Lu}.") & (F.length(_core(w)) > 1), _renamed(w, F.lit(""), x["names"]))
+        bare = F.transform(
+            x["parts"],
+            lambda part: F.when(
+                F.size(x["names"]) > 0,
+                F.array_join(F.transform(words(part), lambda w: F.coalesce(again(w), w)), ""),
+            ).otherwise(part),
+        )
+        n_bare = F.when(
+            F.size(x["names"]) > 0,
+            F.aggregate(
+                x["parts"], F.lit(0), lambda n, part: n + F.size(F.filter(words(part), lambda w: again(w).isNotNull()))
+            ),
+        ).otherwise(0)
+        to = F.transform(
+            x["mentions"], lambda m: F.coalesce(F.element_at(x["to"], m), _renamed_mention(m, x["names"]))
+        )
+        kept = F.zip_with(to, x["mentions"], lambda new, m: F.coalesce(new, m))
+        new = F.zip_with(bare, kept, lambda part, m: F.concat(part, F.coalesce(m, F.lit(""))))
+        return F.struct(
+            F.array_join(new, "").alias("text"), (F.size(F.filter(to, lambda t: t.isNotNull())) + n_bare).alias("n")
         )
-        hits = F.filter(x["mentions"], lambda m: F.map_contains_key(x["to"], m))
-        return F.struct(F.array_join(new, "").alias("text"), F.size(hits).alias("n"))
 
     cut = F.struct(
         F.split("text", ANY, -1).alias("parts"),
         F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("mentions"), F.col("_to").alias("to"),
+        F.col("_names").alias("names"),
     )
     row = F.struct(*own).alias("row")  # so that no column of the documents clashes
     some = docs.where(quick).select(row, key, "text").join(by_text.hint("merge"), "_key", "left")

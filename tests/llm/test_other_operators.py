@@ -178,6 +178,23 @@ def test_long_secrets_are_replaced_whole(make_docs):
     assert len({text[:100] for text in out.values()}) == len(tails)
 
 
+def test_partial_mentions_and_phone_forms_corefer(make_docs):
+    rows = [
+        (1, "Mr. John Smith met Mr. Smith. Later John Smith, SMITH's dog and Dr. Smith left; smith stays."),
+        (2, "Mme Dupont, M. Martin, Sra. Ruiz, Sr. Gil and Prof. Ode; at 9 A.M. Monday Dupont left."),
+        (3, "+1 (972) 555-8257, +44 (972) 555-8257, +1 9725558257, 972-555-8257"),
+    ]
+    out = {r.doc_id: r for r in pii.replaced(make_docs(rows)).collect()}
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Mr\. (\w+)\. Later (\w+) (\w+), (\w+)'s dog and Dr\. (\w+) left; smith stays\.", out[1].text)
+    john, smith = m[1], m[2]
+    assert m.groups() == (john, smith, smith, john, smith, smith.upper(), smith) and not {"John", "Smith"} & {john, smith}
+    assert out[1].n_entities == 6
+    m = re.fullmatch(r"Mme (\w+), M\. (\w+), Sra\. (\w+), Sr\. (\w+) and Prof\. (\w+); at 9 A\.M\. Monday (\w+) left\.", out[2].text)
+    assert m[6] == m[1] and not set(m.groups()) & {"Dupont", "Martin", "Ruiz", "Gil", "Ode"} and m[1][-1] == "a" and m[2][-1] in "nrsk"
+    us, uk, plain, local = (re.sub(r"\D", "", x) for x in out[3].text.split(", "))
+    assert us == plain == "1" + local != "19725558257" and uk[:2] == "44" and uk[2:] not in (local, "9725558257")
+
+
 # --- SentencePiece -----------------------------------------------------------------------------
 
 
