@@ -39,26 +39,40 @@ WIDEN = 8
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _LETTER = r"[\p{L}'’-]"
 _NAME = rf"\p{{Lu}}{_LETTER}++(?: \p{{Lu}}{_LETTER}++)?"
+_PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)"
+_SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
+_IPV4 = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)"
+#: First digits 3 to 6, and of those with 2 the series in use, so that a date is none.
+_FIRST = r"(?:2[2-7]|[3-6]\d)\d{2}"
+#: Cards as printed: groups of four, 4-6-5 and 4-6-4.
+_PRINTED = rf"{_FIRST}(?:(?:[ -]?\d{{4}}){{2}}[ -]?\d{{1,7}}|[ -]?\d{{6}}[ -]?\d{{4,5}})(?!\d)"
+#: What a run of digits doesn't go on into.
+_OTHER = rf"(?![ -](?:{_PHONE}|{_SSN}|{_IPV4}))"
+#: A printed card and what may be its last group, or any run of 13 to 19 digits with single spaces or hyphens.
+#: Which of its groups are the card is found by the check digit (``_card``).
+_CARD = rf"(?<![\d.-])(?:{_PRINTED}(?:{_OTHER}[ -]\d{{1,3}}(?!\d))?|(?:2[ -]?[2-7]|[3-6])(?:{_OTHER}(?![ -]{_PRINTED})[ -]?\d){{12,18}}(?!\d))"
 #: Order matters: of two that match at one place the first is taken. Repetitions are bounded or possessive.
 PATTERNS = {
     "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?=[/+_.-]*+[A-Za-z0-9])[A-Za-z0-9/+_.-]{8,}+[\"']?)",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)",
+    "ssn": _SSN,
+    "phone": _PHONE,
     "phone_plus": r"(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
-    "card": r"(?<![\d.-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d])",
-    "ipv4": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
+    "card": _CARD,
+    "ipv4": _IPV4,
     "woman": rf"\b(?:Mrs|Ms|Miss|Frau|Señora|Sra|Dra|Madame|Mme|Mlle|госпожа)\.? {_NAME}",
     "man": rf"\b(?:(?:Mr|Herr|Señor|Monsieur|господин)\.?|Sr\.|(?<!\p{{L}}\. ?)M\.) {_NAME}",
     "person": rf"\b(?:Dr|Prof)\.? {_NAME}",
 }
 ANY = "|".join(PATTERNS.values())
-#: A text without such a character and without a form of address has no entity. This passes most texts
+#: A text without such a character, a form of address or an access key's beginning has no entity. This passes most texts
 #: by plain searches, which cost far less than the patterns.
 QUICK = "[0-9@=:]"
 ADDRESS = ("Mr", "Ms", "Miss", "Frau", "Herr", "Señor", "Madame", "Monsieur", "госпо", "M. ", "Mme", "Mlle", "Sr.", "Sra", "Dr", "Prof")
+#: The first letters of access keys, which may have no digit.
+ACCESS = ("AKIA", "ASIA")
 #: Kinds of names; "person" has no gender of its own and follows another mention in its text.
 NAMED = ("woman", "man", "person")
 #: What follows a name within its word: a possessive, quotes, a hyphen.
@@ -71,7 +85,7 @@ _DIGITS = ("phone", "phone_plus", "ssn", "card", "ipv4")
 
 def may_have_entity(text: Column) -> Column:
     found = text.rlike(QUICK)
-    for word in ADDRESS:
+    for word in ADDRESS + ACCESS:
         found = found | text.contains(word)
     return found
 
@@ -89,6 +103,18 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(terms, F.lit(0), lambda total, x: total + x)
 
 
+def _card(mention: Column) -> Column:
+    """The longest run of whole groups of ``mention`` that is a card number, as it is written; null if none is."""
+    n, gap = F.length(mention), lambda i: F.substring(mention, i, F.lit(1)).isin(" ", "-")
+    places = F.sequence(F.lit(1), n)
+    starts = F.filter(places, lambda i: (i == 1) | gap(i - 1))
+    ends = F.filter(places, lambda j: (j == n) | gap(j + 1))
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(ends, lambda j: F.substring(mention, i, j - i + 1))))
+    shaped = F.filter(runs, lambda r: r.rlike(r"^(?:2[ -]?[2-7]|[3-6])(?:[ -]?\d){12,18}$"))
+    valid = F.filter(shaped, lambda r: _luhn(F.regexp_replace(r, r"\D", "")) % 10 == 0)
+    return F.array_max(F.transform(valid, lambda r: F.struct(F.length(F.regexp_replace(r, r"\D", "")).alias("n"), r.alias("run"))))["run"]
+
+
 def classified(mentions: DataFrame) -> DataFrame:
     """``mention, kind, norm`` of every mention that is an entity."""
     m = F.col("mention")
@@ -100,12 +126,13 @@ def classified(mentions: DataFrame) -> DataFrame:
         .when(F.col("kind") == "email", F.lower(m))
         .when(F.col("kind") == "iban", F.regexp_replace(m, " ", ""))
         .when(F.col("kind") == "phone", F.when(m.startswith("+"), digits).otherwise(F.concat(F.lit("1"), digits)))
-        .when(F.col("kind").isin("phone_plus", "ssn", "card"), digits)
+        .when(F.col("kind").isin("phone_plus", "ssn"), digits)
+        .when(F.col("kind") == "card", F.regexp_replace(_card(m), r"\D", ""))
         .when(F.col("kind").isin(*NAMED), F.lower(bare))
         .otherwise(m)
     )
     rows = mentions.select("mention", kind.alias("kind")).where("kind IS NOT NULL").withColumn("norm", norm)
-    rows = rows.where((F.col("kind") != "card") | ((_luhn(F.col("norm")) % 10 == 0) & F.length("norm").between(13, 19)))
+    rows = rows.where("norm IS NOT NULL")
     return rows.withColumn("kind", F.when(F.col("kind") == "phone_plus", "phone").otherwise(F.col("kind")))
 
 
@@ -260,6 +287,8 @@ def rendered() -> Column:
     """The surrogate of a mention in the mention's own format."""
     m, kind, s = (F.col(c) for c in ("mention", "kind", "surrogate"))
     local = (kind == "phone") & ~m.startswith("+")
+    card = _card(m)
+    at = F.position(card, m)
     value = F.regexp_extract(m, _VALUE, 1), F.regexp_extract(m, _VALUE, 3)
     upper = m == F.upper(m)
     iban = F.aggregate(
@@ -271,7 +300,8 @@ def rendered() -> Column:
     )
     return (
         F.when(kind == "ipv4", s)
-        .when(kind.isin("phone", "ssn", "card"), _in_format(m, F.when(local, F.substring(s, F.lit(2), F.length(s))).otherwise(s)))
+        .when(kind == "card", F.concat(F.substring(m, F.lit(1), at - 1), _in_format(card, s), F.substring(m, at + F.length(card), F.length(m))))
+        .when(kind.isin("phone", "ssn"), _in_format(m, F.when(local, F.substring(s, F.lit(2), F.length(s))).otherwise(s)))
         .when(kind == "secret", F.concat(value[0], s, value[1]))
         .when(kind == "email", F.when(upper, F.upper(s)).otherwise(s))
         .when(kind == "iban", iban)
