@@ -1,4 +1,8 @@
-"""Toxicity: a subsequence string-kernel SVM over sentences, with Nystroem landmarks.
+"""Toxicity: a subsequence string-kernel SVM over words, with Nystroem landmarks.
+
+The kernel compares words, not sentences: no subsequence crosses a space. So toxic phrases of harmless
+words aren't found, and an insult split into pieces of two or more letters ("id iot") is scored piece by
+piece. Sentences only gather words, and are counted after the verdict (``toxic_sentences``).
 
 A text is a bag of sentences, a sentence a bag of units. A unit is a word in lower case without
 punctuation, or several single characters in a row written apart ("i d i o t"). Two units are compared
@@ -8,8 +12,8 @@ by the units' norms. So an insult with inserted, doubled or missing characters s
 
 The kernel map is approximated on landmarks (Nystroem): k_L(u) K_LL^-1/2, a vector per unit. A linear
 SVM with squared hinge loss is trained on it by multiple-instance learning: labels are known for
-documents; a sentence of a clean document is clean with all its units, and a toxic document has at
-least one toxic sentence, known by its worst unit, which is chosen anew in every round. A sentence
+documents; a clean document is clean with all its units, and a toxic document has at
+least one toxic unit, its worst, which is chosen anew in every round. A sentence
 scores as its worst unit, a document as its worst sentence.
 
 As the kernel is linear in subsequence counts, the expansion over landmarks is added up once into one
@@ -38,7 +42,7 @@ from broadsheet.llm.common import held_out, labelled_sample, mix, shingles
 SAMPLE_DOCS, SAMPLE_CHARS = {1: 1500, 0: 2500}, 8000
 LANDMARKS = 256
 DECAY, SPAN = 0.6, 6
-#: Units longer than this are scored in overlapping windows.
+#: Units longer than this are learned and scored in overlapping windows.
 WINDOW = 22
 ALPHABET = 62
 ROUNDS = 4
@@ -209,7 +213,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     known: dict[str, int] = {}
     bags = []
     for text in texts:
-        units = dict.fromkeys(unit_of(w)[:WINDOW] for w in text_words(text or ""))
+        units = dict.fromkeys(part for w in text_words(text or "") for part in _windows(unit_of(w)))
         bags.append(np.array([known.setdefault(u, len(known)) for u in units if u], dtype=np.int64))
     units = list(known)
     letters: dict[str, int] = {}

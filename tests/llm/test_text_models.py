@@ -122,3 +122,13 @@ def test_structure_statistics():
     assert named["upper"] == pytest.approx(3 / 13) and named["digits"] == pytest.approx(2 / 13)
     assert named["symbols"] == pytest.approx(2 / 4) and named["lines"] == pytest.approx(1 / 4)
     assert (stats[1:] == 0).all() and set(owner.tolist()) == {0}
+
+
+def test_long_words_are_learned_whole():
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(rng.choice(list("abcdefhijklmnopq"), n))
+    heads = [word(22) for _ in range(120)]
+    plain = [" ".join(word(6) for _ in range(12)) for _ in range(240)]
+    texts = [f"{p} {h}grostuxyzwurg" for p, h in zip(plain, heads)] + [f"{p} {h}" for p, h in zip(plain[120:], heads)]
+    model = toxicity.fit(texts, [1] * 120 + [0] * 120)
+    assert model.margins(["grostuxyzwurg"])[0] > 0 > model.margins([heads[0]])[0]
