@@ -11,7 +11,7 @@ bound rules out. With a centre C, and R(y) the weight of what y shares with any
 with C, |x & y| <= |x & C| + R(y). In a group of copies edited at random R is about 0, so a text that
 is too far from C is too far from all others, without a look at them. Pairs within a class need no
 look, they can't change it. Together this gives the same classes as comparing all pairs that share a
-band.
+band by ``verified``, which drops pairs whose signatures agree too little without an exact look.
 """
 
 from __future__ import annotations
