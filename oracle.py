@@ -299,6 +299,22 @@ def marked(x: str, words: list[str]) -> str:
     return MARKS.format(x=x, q="[" + ", ".join(f"'{w}'" for w in words) + "]")
 
 
+def cut_to_window(x: str, words: list[str], length: int = 50) -> str:
+    """The window of ``length`` words of ``x`` with the most of ``words``, the first on ties."""
+    q = "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    ws = f"regexp_extract_all({x}, {RUN})"
+    hits = f"list_transform({ws}, lambda w: CASE WHEN list_has_any({tokens('w')}, {q}) THEN 1 ELSE 0 END)"
+    windows = (
+        f"list_transform(range(1, len({ws}) - {length - 2}), "
+        f"lambda i: [-list_sum({hits}[i:i + {length - 1}]), i])"
+    )
+    start = f"list_min({windows})[2]"
+    return (
+        f"CASE WHEN len({ws}) > {length} THEN array_to_string({ws}[{start}:{start} + {length - 1}], ' ') "
+        f"ELSE {x} END"
+    )
+
+
 def exact(words: list[str]) -> str:
     inlist = ", ".join(f"'{w}'" for w in words)
     return (
@@ -318,11 +334,12 @@ def fuzzy(words: list[str]) -> str:
 def search(scored: str, words: list[str], where: str = "true", order: str = "score DESC",
            offset: int = 0, limit: int = 10) -> str:
     title = marked("a.title", words) if words else "a.title"
+    summary = cut_to_window("a.summary", words) if words else "a.summary"
     return f"""
 , scored AS ({scored}), matches AS (
   SELECT s.ord, s.score, row_number() OVER (ORDER BY {order}, d.id) AS rank
   FROM scored s JOIN docs d ON d.ord = s.ord WHERE {where})
-SELECT m.rank, a.id, m.score, {title} AS title, a.summary, a.content, a.author, a.category,
+SELECT m.rank, a.id, m.score, {title} AS title, {summary} AS summary, a.content, a.author, a.category,
   a.published_at, a.source, a.word_count
 FROM matches m JOIN articles a ON a.ord = m.ord WHERE m.rank > {offset} AND m.rank <= {offset + limit}"""
 
@@ -485,7 +502,7 @@ def hybrid_page(words: list[str], vec_id: int, weight: float = 0.5, where: str =
     return fused(words, vec_id, weight, where, where_v) + f"""
 SELECT r.rank, a.id, r.hybrid_score, r.text_rank, r.vector_rank,
   CASE WHEN r.vector_rank IS NULL THEN {marked('a.title', words)} ELSE a.title END AS title,
-  CASE WHEN r.vector_rank IS NULL THEN a.summary END AS summary,
+  CASE WHEN r.vector_rank IS NULL THEN {cut_to_window('a.summary', words)} END AS summary,
   a.author, a.category, a.source, a.published_at, a.content, a.word_count
 FROM r JOIN articles a ON a.ord = r.ord WHERE r.rank > {offset} AND r.rank <= {offset + limit}"""
 
@@ -655,7 +672,7 @@ vector_ranks AS (SELECT query_id, id, distance, row_number() OVER (PARTITION BY
 oracle("workload_vector", "log_vectors vecs", VECTOR_RANKS + """
 SELECT l.query_id, r.rank, r.id, r.distance FROM log_vectors l JOIN vector_ranks r USING (query_id)
 WHERE l.has_text AND r.rank > l.offset_ AND r.rank <= l.offset_ + l.limit_""")
-oracle("workload_hybrid", "parsed parts docs log_vectors vecs", WORKLOAD + VECTOR_RANKS + f"""
+oracle("workload_hybrid", "parsed parts docs log_vectors vecs", WORKLOAD.format(parsed="parsed") + VECTOR_RANKS + f"""
 , text_list AS (SELECT query_id, id, rank FROM (SELECT s.query_id, d.id, row_number() OVER (
     PARTITION BY s.query_id ORDER BY s.score DESC, d.id) AS rank
   FROM scored s JOIN docs d ON d.ord = s.ord JOIN parsed q ON q.query_id = s.query_id AND {ALLOWED})
