@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import bagminhash, chat, minhash, mixing, pii, quality, rules, sentencepiece, toxicity, warc
+from broadsheet.llm import bagminhash, chat, manifest, minhash, mixing, pii, quality, rules, sentencepiece, toxicity, warc
 from broadsheet.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audited(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_factorisation_machine": op1_factorisation_machine,
     "op2_string_kernel": op2_string_kernel,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_transducer": op9_transducer,
     "op10_surrogates": op10_surrogates,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE: dict[str, str] = {
@@ -68,4 +73,5 @@ ORACLE: dict[str, str] = {
     "op5_reply_trees": chat.ORACLE_SQL,
     "op6_fair_queueing": mixing.oracle_sql(),
     "op7_threshold_rules": rules.oracle_sql(),
+    "op13_merkle_manifest": manifest.ORACLE_SQL,
 }
