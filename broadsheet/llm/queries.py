@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import bagminhash, chat, manifest, minhash, mixing, pii, quality, rules, sentencepiece, toxicity, warc
+from broadsheet.llm import bagminhash, chat, lexical, manifest, minhash, mixing, pii, quality, rules, sentencepiece, toxicity, warc
 from broadsheet.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_limited_accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.audited(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_transducer": op9_transducer,
     "op10_surrogates": op10_surrogates,
+    "op11_limited_accumulators": op11_limited_accumulators,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -73,5 +78,6 @@ ORACLE: dict[str, str] = {
     "op5_reply_trees": chat.ORACLE_SQL,
     "op6_fair_queueing": mixing.oracle_sql(),
     "op7_threshold_rules": rules.oracle_sql(),
+    "op11_limited_accumulators": lexical.ORACLE_SQL,
     "op13_merkle_manifest": manifest.ORACLE_SQL,
 }
