@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import bagminhash, chat, lexical, manifest, minhash, mixing, pii, quality, rules, sentencepiece, toxicity, warc
+from broadsheet.llm import bagminhash, chat, decontamination, lexical, manifest, minhash, mixing, pii, quality, rules, sentencepiece, toxicity, warc
 from broadsheet.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op11_limited_accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.audited(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_transducer": op9_transducer,
     "op10_surrogates": op10_surrogates,
     "op11_limited_accumulators": op11_limited_accumulators,
+    "op12_positional_index": op12_positional_index,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -79,5 +84,6 @@ ORACLE: dict[str, str] = {
     "op6_fair_queueing": mixing.oracle_sql(),
     "op7_threshold_rules": rules.oracle_sql(),
     "op11_limited_accumulators": lexical.ORACLE_SQL,
+    "op12_positional_index": decontamination.ORACLE_SQL,
     "op13_merkle_manifest": manifest.ORACLE_SQL,
 }
