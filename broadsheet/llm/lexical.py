@@ -264,6 +264,8 @@ class _Best:
         for repeats, docs, part, top in here:
             if creating and rest < least:
                 creating = False
+                if not touched:
+                    return  # nothing in this segment can come among the first k
             if not creating:
                 held = made[docs]
                 docs, part = docs[held], part[held]
