@@ -42,8 +42,13 @@ ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: str | Column) -> Column:
-    lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    """The words of a text as they stand in it."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ANY_WORD), F.lit(0))
+
+
+def small(word: Column) -> Column:
+    """A word with A-Z in small letters, other capitals kept. Most words are ASCII, where ``lower`` does that."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
 
 
 def n_words(text: str | Column) -> Column:
@@ -61,9 +66,11 @@ class Index:
     def __init__(self, docs: DataFrame, items: DataFrame):
         spark = docs.sparkSession
         cut = items.select(node_key("text").alias("item"), F.posexplode(words("text")).alias("q", "word"))
+        cut = cut.withColumn("word", small(F.col("word")))
         self.items = stage_table(spark, cut.distinct(), "items")
         terms = stage_table(spark, self.items.select("word").distinct(), "terms")
         placed = docs.select(node_key("text").alias("key"), F.posexplode(words("text")).alias("at", "word"))
+        placed = placed.withColumn("word", small(F.col("word")))
         self.postings = stage_table(spark, placed.join(_sent(terms), "word"), "postings")
         counts = self.postings.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         counts = terms.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
