@@ -1,25 +1,29 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-A model file is compiled into three parts. The *normaliser* puts one space in front and writes spaces
-as U+2581. The *piece transducer* reads the characters of a piece and writes its number; characters
-that no piece spells are read byte by byte by the *byte fallback*. A unigram model weighs a piece by
-minus its score. A merge (BPE) model has no such weights: there, two pieces may stand side by side
-only if merging their joined text gives back just these two, and a text has exactly one sequence in
-which all neighbours may stand so. So the third part is a *bigram acceptor* with weight 0 for allowed
-pairs and infinity for others; states of the composition carry the last piece. Encoding composes the
-input with these and takes the path of least weight in the tropical semiring (min, +).
-
-No piece has U+2581 after another character, so a text falls into words at the spaces, and equal words
-have equal paths. Words are composed in batches: one step advances all words of a batch by a character.
-
-A null text counts as empty; an empty text has no pieces. Decoding gives back every text exactly,
+A model file is compiled into three parts, which are composed with each text. The *normaliser* rewrites
+characters (a space becomes U+2581) and puts one space in front. The *piece transducer* reads the
+characters of a piece and writes its number; where a character is spelt by no piece, its one arc is the
+*byte fallback*, which writes the numbers of its bytes. A unigram model weighs a piece by minus its score. A
+merge (BPE) model has no such weights: there, two pieces may stand side by side only if merging their
+joined text gives back just these two, and a text has exactly one sequence in which all neighbours may
+stand so. So the third part is a *bigram acceptor* with weight 0 for allowed pairs and infinity for
+others; states of the composition carry the last piece. Encoding takes the path of least weight in the
+tropical semiring (min, +).
+
+States of the composition are made as the search reaches them. With weights 0 and infinity the least path
+is the one finite path: it is searched depth first, the longest piece first, and a place from which no
+finite path leads on is never entered again, so the search is linear in the length of the text. With
+weights of their own, places are relaxed from left to right. No piece has U+2581 after another character,
+so all paths pass the places before runs of spaces, and a worker keeps the paths between two such places.
+
+Defined results: a null text counts as empty; an empty text has no pieces; repeated rows are encoded alike
+and stay; an empty table gives none; a text of one very long word takes time in proportion to its length;
+columns of ``docs`` named as an output are replaced, all others stay. Decoding gives back every text exactly,
 except that a literal U+2581 in it comes back as a space.
 """
 
 from __future__ import annotations
 
-import bisect
-import itertools
 import re
 import struct
 import uuid
@@ -30,16 +34,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm.common import mix
-
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, BYTE = 1, 6
-#: Words that a task keeps with their pieces; texts taken together; states of a batch of words.
-CACHE_WORDS, BATCH_TEXTS, BATCH_STATES = 300_000, 512, 2_000_000
-#: Slots of the direct-mapped cache of pairs.
-PAIR_SLOTS = 1 << 21
+#: Words whose paths a worker keeps, their characters in all, and pairs of pieces; texts taken together.
+CACHE_WORDS, CACHE_CHARS, CACHE_PAIRS, BATCH_TEXTS = 300_000, 4_000_000, 1_000_000, 512
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -69,57 +69,26 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 @dataclass
 class Transducer:
-    """A compiled model; ``ids`` finds a piece's number by its text."""
+    """A compiled model; ``ids`` finds a piece's number by its text. ``rewrites`` are the normaliser's arcs."""
 
     pieces: list[str]
     kinds: list[int]
-    cost: np.ndarray
+    cost: list[float]
     merges: bool
     dummy_prefix: bool
     ids: dict[str, int] = field(default_factory=dict)
     byte_ids: dict[int, int] = field(default_factory=dict)
     unknown: int = 0
-    longest: int = 1
-    # For merge models: by rank, the two parts that a piece is merged from, and all pairs that merge.
-    rank: np.ndarray | None = None
-    parts: np.ndarray | None = None
-    pair_keys: np.ndarray | None = None
-    pair_ranks: np.ndarray | None = None
-    # Pieces by the hash of their characters, and the characters that are pieces.
-    hashes: np.ndarray | None = None
-    hash_ids: np.ndarray | None = None
-    spelt: np.ndarray | None = None
-
-
-def _step(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """The hash of a string and one more character."""
-    with np.errstate(over="ignore"):
-        return mix(h * np.uint64(0x9E3779B97F4A7C15) + codes.astype(np.uint64) + np.uint64(1))
-
-
-def _piece_hashes(t: Transducer) -> None:
-    ids = np.array(list(t.ids.values()), dtype=np.int32)
-    matrix, sizes = _codes(list(t.ids))
-    h, out = np.zeros(len(ids), dtype=np.uint64), np.zeros(len(ids), dtype=np.uint64)
-    for c in range(matrix.shape[1]):
-        h = _step(h, matrix[:, c])
-        out = np.where(sizes == c + 1, h, out)
-    order = np.argsort(out)
-    t.hashes, t.hash_ids = out[order], ids[order]
-    if (t.hashes[1:] == t.hashes[:-1]).any():
-        raise ValueError("two pieces have one hash")
-    t.spelt = np.zeros(0x110000, dtype=bool)
-    t.spelt[[ord(p) for p in t.ids if len(p) == 1]] = True
-
-
-def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of words, one row each, padded with 0, and the words' lengths."""
-    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    matrix = np.zeros((len(words), int(sizes.max(initial=0))), dtype=np.uint32)
-    matrix[np.arange(matrix.shape[1]) < sizes[:, None]] = np.frombuffer(
-        "".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32
-    )
-    return matrix, sizes
+    rewrites: list[tuple[str, str]] = field(default_factory=lambda: [(" ", SPACE)])
+    # All beginnings of pieces, with the piece's number or -1; by piece, the longest piece it begins with.
+    trie: dict[str, int] = field(default_factory=dict)
+    shorter: list[int] = field(default_factory=list)
+    # For merge models: ranks of pieces, the two parts that a piece is merged from, and the ranks of all
+    # pairs that merge, by left number times the number of pieces plus right number.
+    rank: list[int] = field(default_factory=list)
+    left: list[int] = field(default_factory=list)
+    right: list[int] = field(default_factory=list)
+    pairs: dict[int, int] = field(default_factory=dict)
 
 
 def compile_model(data: bytes) -> Transducer:
@@ -140,14 +109,23 @@ def compile_model(data: bytes) -> Transducer:
                 raise ValueError("only models that keep characters and all white space are supported")
     if model not in (UNIGRAM, BPE):
         raise ValueError(f"model type {model} is not supported")
-    t = Transducer(pieces, kinds, -np.array(scores), model == BPE, prefix)
+    t = Transducer(pieces, kinds, [-x for x in scores], model == BPE, prefix)
     t.ids = {p: i for i, p in enumerate(pieces) if kinds[i] == NORMAL}
     t.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(pieces) if kinds[i] == BYTE}
     t.unknown = kinds.index(2)
-    t.longest = max(map(len, t.ids), default=1)
     if t.merges:
         _compile_merges(t, scores)
-    _piece_hashes(t)
+    t.shorter = [-1] * len(pieces)
+    for piece, i in t.ids.items():
+        # Merging starts from single characters, so a piece of others never comes about.
+        if t.merges and not all(c in t.ids for c in piece):
+            continue
+        for end in range(1, len(piece)):
+            part = piece[:end]
+            known = t.trie.setdefault(part, t.ids.get(part, -1))
+            if known >= 0:
+                t.shorter[i] = known
+        t.trie[piece] = i
     return t
 
 
@@ -155,21 +133,19 @@ def _compile_merges(t: Transducer, scores: list[float]) -> None:
     n = len(t.pieces)
     # Single characters come before all merges; merges in order of score, best first.
     order = sorted(t.ids.values(), key=lambda i: (len(t.pieces[i]) > 1, -scores[i], i))
-    t.rank = np.full(n, n, dtype=np.int64)
-    t.rank[order] = np.arange(len(order))
-    pairs: dict[int, int] = {}
-    t.parts = np.stack([np.arange(n), np.arange(n)])
+    t.rank = [n] * n
+    for place, i in enumerate(order):
+        t.rank[i] = place
+    t.left, t.right = list(range(n)), list(range(n))
     for i in order:
         piece = t.pieces[i]
-        splits = [(t.ids.get(piece[:c]), t.ids.get(piece[c:])) for c in range(1, len(piece))]
-        for a, b in splits:
+        for c in range(1, len(piece)):
+            a, b = t.ids.get(piece[:c]), t.ids.get(piece[c:])
             if a is not None and b is not None:
-                pairs[a * n + b] = i
-        if len(piece) > 1:
-            at = _last_merge(t, piece)
-            t.parts[:, i] = (t.ids[piece[:at]], t.ids[piece[at:]]) if at else (i, i)
-    t.pair_keys = np.array(sorted(pairs), dtype=np.int64)
-    t.pair_ranks = t.rank[np.array([pairs[k] for k in sorted(pairs)], dtype=np.int64)]
+                t.pairs[a * n + b] = t.rank[i]
+        at = _last_merge(t, piece) if len(piece) > 1 else 0
+        if at:
+            t.left[i], t.right[i] = t.ids[piece[:at]], t.ids[piece[at:]]
 
 
 def merged(t: Transducer, text: str) -> list[str]:
@@ -202,39 +178,31 @@ def _last_merge(t: Transducer, piece: str) -> int:
     return len(parts[0]) if len(parts) == 2 else 0
 
 
-def allowed(t: Transducer, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def allowed(t: Transducer, left: int, right: int) -> bool:
     """The bigram acceptor: whether merging keeps the boundary between two pieces.
 
     Going back through the merges of both pieces, latest first, no pair of the pieces that touch at the
     boundary may merge before the next step.
     """
-    n = len(t.pieces)
-    ok = np.ones(len(left), dtype=bool)
-    live = np.arange(len(left))
-    a, b = left.astype(np.int64), right.astype(np.int64)
-    limit = np.full(len(left), 2 * n, dtype=np.int64)
-    whole = np.arange(n)
-    atom = (t.parts[0] == whole) & (t.parts[1] == whole)
-    while len(live):
-        key = a * n + b
-        at = np.minimum(np.searchsorted(t.pair_keys, key), len(t.pair_keys) - 1)
-        merges = (t.pair_keys[at] == key) & (2 * t.pair_ranks[at] < limit)
-        ok[live[merges]] = False
+    n, rank, limit = len(t.pieces), t.rank, 2 * len(t.pieces)
+    while True:
+        merge = t.pairs.get(left * n + right)
+        if merge is not None and 2 * merge < limit:
+            return False
         # The later of the two merges is undone. At equal rank the left one was made first, so it is
         # the right piece that is undone.
-        ra = np.where(atom[a], -1, 2 * t.rank[a])
-        rb = np.where(atom[b], -1, 2 * t.rank[b] + 1)
-        go = ~merges & ((ra >= 0) | (rb >= 0))
-        undo_left = ra > rb
-        limit = np.where(undo_left, ra, rb)
-        a = np.where(undo_left, t.parts[1][a], a)
-        b = np.where(undo_left, b, t.parts[0][b])
-        live, a, b, limit = live[go], a[go], b[go], limit[go]
-    return ok
+        a = 2 * rank[left] if t.left[left] != left else -1
+        b = 2 * rank[right] + 1 if t.left[right] != right else -1
+        if a < 0 and b < 0:
+            return True
+        if a > b:
+            left, limit = t.right[left], a
+        else:
+            right, limit = t.left[right], b
 
 
 class Encoder:
-    """Composes words with a transducer; keeps the paths of words and the pairs it has looked at."""
+    """Composes texts with a transducer; keeps the paths of words and the pairs it has looked at."""
 
     def __init__(self, transducer: Transducer):
         self.t = transducer
@@ -242,42 +210,48 @@ class Encoder:
             bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode()
             for p, k in zip(transducer.pieces, transducer.kinds)
         ]
-        self._forget()
-        self.pair_keys = np.full(PAIR_SLOTS, -1, dtype=np.int64)
-        self.pair_values = np.zeros(PAIR_SLOTS, dtype=bool)
-
-    def _forget(self) -> None:
-        # Word numbers, and where a word's pieces lie in the pool.
-        self.words: dict[str, int] = {}
-        self.starts, self.sizes, self.pool = (np.zeros(0, dtype=x) for x in (np.int64, np.int64, np.int32))
+        self.lengths = list(map(len, transducer.pieces))
+        # The weight of a fallback arc: more than any piece's, by what the format's own programs add.
+        self.unspelt = max((transducer.cost[i] for i in transducer.ids.values()), default=0.0) + 10.0
+        self.words: dict[str, list[int]] = {}
+        self.chars = 0
+        self.pairs: dict[int, bool] = {}
+        self.path = self._only_path if transducer.merges else self._least_path
 
     def split(self, text: str) -> list[str]:
         """The normalised text, cut before each run of spaces."""
         if not text:
             return []
-        if self.t.dummy_prefix and SPACE not in text and "  " not in text and text[0] != " " and text[-1] != " ":
-            return [SPACE + w for w in text.split(" ")]
-        text = text.replace(" ", SPACE)
-        return _WORDS.findall(SPACE + text if self.t.dummy_prefix else text)
+        for read, written in self.t.rewrites:
+            text = text.replace(read, written)
+        if self.t.dummy_prefix:
+            text = SPACE + text
+        if text[0] == SPACE and text[-1] != SPACE and SPACE * 2 not in text:
+            return [SPACE + w for w in text[1:].split(SPACE)]
+        return _WORDS.findall(text)
 
     def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Piece numbers of all texts one after another, and how many each text has."""
-        split = [self.split(t or "") for t in texts]
-        new = set().union(*split).difference(self.words)
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self._forget()
-            new = set().union(*split)
-        if new:
-            self._learn(list(new))
-        counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        get = self.words.__getitem__
-        number = np.fromiter((get(w) for words in split for w in words), dtype=np.int64, count=int(counts.sum()))
-        sizes = self.sizes[number]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) + np.repeat(self.starts[number] - (ends - sizes), sizes)
-        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
-        return self.pool[at], np.diff(bounds)
+        flat, sizes, known = [], [], self.words
+        for text in texts:
+            begin = len(flat)
+            for word in self.split(text or ""):
+                path = known.get(word)
+                if path is None:
+                    path = self._learn(word)
+                flat += path
+            sizes.append(len(flat) - begin)
+        return np.array(flat, dtype=np.int32), np.array(sizes, dtype=np.int64)
+
+    def _learn(self, word: str) -> list[int]:
+        path = self.path(word)
+        if len(word) <= CACHE_CHARS // 100:
+            if len(self.words) >= CACHE_WORDS or self.chars >= CACHE_CHARS:
+                self.words.clear()
+                self.chars = 0
+            self.words[word] = path
+            self.chars += len(word)
+        return path
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         flat, sizes = self.encode_flat(texts)
@@ -288,115 +262,78 @@ class Encoder:
         return text[1:] if self.t.dummy_prefix and text.startswith(" ") else text
 
     def _fallback(self, char: str) -> list[int]:
+        """The arc of a character that no piece spells."""
         known = self.t.byte_ids
-        return [known[b] for b in char.encode()] if known else [self.t.unknown]
-
-    def _learn(self, words: list[str]) -> None:
-        """Add the paths of new words. A path breaks at characters that no piece spells."""
-        spelt, cut = self.t.spelt, {}
-        parts: set[str] = set()
-        for word in words:
-            if all(spelt[c] for c in set(map(ord, word))):
-                parts.add(word)
-            else:
-                cut[word] = runs = self._runs(word)
-                parts.update(r for r in runs if spelt[ord(r[0])])
-        found: dict[str, list[int]] = {}
-        rest = sorted(parts, key=len)
-        at = 0
-        while at < len(rest):
-            # Words of about one length, so many that their states stay bounded.
-            most = max(1, BATCH_STATES // ((len(rest[at]) + 8) * (self.t.longest + 1)))
-            group = rest[at : at + most]
-            group = group[: bisect.bisect_right(group, len(rest[at]) + 8, key=len)]
-            at += len(group)
-            found.update(zip(group, self._paths(*_codes(group))))
-        paths = [
-            found[w] if w not in cut else [i for r in cut[w] for i in (found[r] if r in found else self._fallback(r))]
-            for w in words
-        ]
-        first = len(self.words)
-        self.words.update((w, first + i) for i, w in enumerate(words))
-        sizes = np.fromiter(map(len, paths), dtype=np.int64, count=len(paths))
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        flat = np.fromiter(itertools.chain.from_iterable(paths), dtype=np.int32, count=int(sizes.sum()))
-        self.pool = np.concatenate([self.pool, flat])
-
-    def _runs(self, word: str) -> list[str]:
-        """A word cut into runs of spelt characters and single others."""
-        spelt, runs, open_run = self.t.spelt, [], False
-        for c in word:
-            known = bool(spelt[ord(c)])
-            if known and open_run:
-                runs[-1] += c
-            else:
-                runs.append(c)
-            open_run = known
-        return runs
-
-    def _paths(self, matrix: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
-        """Least-weight paths of all words. State: position and last piece, known by the piece's length."""
-        t, (rows, n) = self.t, matrix.shape
-        if not rows:
-            return []
-        top = min(t.longest, n)
-        piece = np.full((rows, n + 1, top + 1), -1, dtype=np.int32)  # by end and length
-        for start in range(n):
-            live = np.flatnonzero(lengths > start)
-            h = np.zeros(len(live), dtype=np.uint64)
-            for size in range(1, min(top, n - start) + 1):
-                keep = lengths[live] >= start + size
-                live, h = live[keep], h[keep]
-                if not len(live):
+        return [known[b] for b in char.encode(errors="surrogatepass")] if known else [self.t.unknown]
+
+    def _only_path(self, word: str) -> list[int]:
+        """The one path of finite weight, depth first. A state is a place and the piece that ends there."""
+        t, pairs = self.t, self.pairs
+        trie, shorter, sizes, n = t.trie.get, t.shorter, self.lengths, len(t.pieces)
+        if len(pairs) >= CACHE_PAIRS:
+            pairs.clear()
+        end, at, last = len(word), 0, -1
+        arcs, places, dead = [], [], set()
+        while at < end:
+            piece, stop = -1, at + 1
+            while stop <= end:
+                known = trie(word[at:stop])
+                if known is None:
                     break
-                h = _step(h, matrix[live, start + size - 1])
-                at = np.minimum(np.searchsorted(t.hashes, h), len(t.hashes) - 1)
-                hit = t.hashes[at] == h
-                piece[live[hit], start + size, size] = t.hash_ids[at[hit]]
-        best = np.full((rows, n + 1, top + 1), np.inf, dtype=np.float32)
-        back = np.zeros((rows, n + 1, top + 1), dtype=np.int16)
-        best[:, 0, 0] = 0.0
-        for end in range(1, n + 1):
-            for size in range(1, min(end, top) + 1):
-                some = np.flatnonzero(piece[:, end, size] >= 0)
-                if not len(some):
-                    continue
-                start, now = end - size, piece[some, end, size]
-                before = best[some, start]
-                if t.merges and start:
-                    w, last = np.nonzero(np.isfinite(before))
-                    ok = self._allowed(piece[some[w], start, last], now[w])
-                    before[w[~ok], last[~ok]] = np.inf
-                take = before.argmin(axis=1)
-                best[some, end, size] = before[np.arange(len(some)), take] + (0.0 if t.merges else t.cost[now])
-                back[some, end, size] = take
-        every = np.arange(rows)
-        end, size = lengths.copy(), best[every, lengths].argmin(axis=1)
-        steps = []
-        while True:
-            live = end > 0
-            if not live.any():
-                break
-            steps.append(np.where(live, piece[every, end, size], -1))
-            before = back[every, end, size].astype(np.int64)
-            end, size = np.where(live, end - size, 0), np.where(live, before, 0)
-        path = np.stack(steps[::-1], axis=1)
-        first = (path < 0).sum(axis=1).tolist()
-        return [x[k:] for x, k in zip(path.tolist(), first)]
-
-    def _allowed(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        keys = left.astype(np.int64) * len(self.t.pieces) + right
-        slots = (mix(keys.astype(np.uint64)) & np.uint64(PAIR_SLOTS - 1)).astype(np.int64)
-        out = self.pair_values[slots]
-        miss = np.flatnonzero(self.pair_keys[slots] != keys)
-        if len(miss):
-            fresh, place = np.unique(keys[miss], return_inverse=True)
-            n = len(self.t.pieces)
-            values = allowed(self.t, fresh // n, fresh % n)
-            out[miss] = values[place]
-            self.pair_keys[slots[miss]], self.pair_values[slots[miss]] = keys[miss], out[miss]
-        return out
+                if known >= 0:
+                    piece = known
+                stop += 1
+            if piece < 0:  # the fallback is the only arc, and any piece may stand beside it
+                arcs.append(self._fallback(word[at]))
+                places.append(at)
+                at, last = at + 1, -1
+                continue
+            while True:
+                while piece >= 0:
+                    stop = at + sizes[piece]
+                    if stop not in dead:
+                        if last < 0:
+                            break
+                        key = last * n + piece
+                        fits = pairs.get(key)
+                        if fits is None:
+                            fits = pairs[key] = allowed(t, last, piece)
+                        if fits:
+                            break
+                    piece = shorter[piece]
+                if piece >= 0:
+                    break
+                # Nothing leads on from here: back to the arc before, and on with its next shorter piece.
+                dead.add(at)
+                if not arcs:
+                    raise ValueError("a text has no path: the model's pieces don't fit together")
+                arc, at = arcs.pop(), places.pop()
+                piece = shorter[arc] if type(arc) is int else -1
+                last = arcs[-1] if arcs and type(arcs[-1]) is int else -1
+            arcs.append(piece)
+            places.append(at)
+            at, last = stop, piece
+        return [i for arc in arcs for i in ((arc,) if type(arc) is int else arc)]
+
+    def _least_path(self, word: str) -> list[int]:
+        """The path of least weight, place by place."""
+        trie, ids, cost = self.t.trie.get, self.t.ids, self.t.cost
+        end = len(word)
+        best, back = [0.0] + [float("inf")] * end, [None] * (end + 1)
+        for at in range(end):
+            if word[at] not in ids and best[at] + self.unspelt < best[at + 1]:
+                best[at + 1], back[at + 1] = best[at] + self.unspelt, (at, self._fallback(word[at]))
+            for stop in range(at + 1, end + 1):
+                piece = trie(word[at:stop])
+                if piece is None:
+                    break
+                if piece >= 0 and best[at] + cost[piece] < best[stop]:
+                    best[stop], back[stop] = best[at] + cost[piece], (at, [piece])
+        out, at = [], end
+        while at:
+            at, arc = back[at]
+            out.append(arc)
+        return [i for arc in reversed(out) for i in arc]
 
 
 _ENCODERS: dict[str, Encoder] = {}

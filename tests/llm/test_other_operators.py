@@ -241,7 +241,23 @@ def test_bigram_acceptor_equals_merging(transducer):
     rng = np.random.default_rng(6)
     ids = rng.choice(list(transducer.ids.values()), (400, 2))
     want = [sentencepiece.merged(transducer, transducer.pieces[a] + transducer.pieces[b]) == [transducer.pieces[a], transducer.pieces[b]] for a, b in ids]
-    assert sentencepiece.allowed(transducer, ids[:, 0], ids[:, 1]).tolist() == want
+    assert [sentencepiece.allowed(transducer, int(a), int(b)) for a, b in ids] == want
+
+
+def test_long_words_take_time_in_proportion(transducer):
+    import time
+
+    rng = np.random.default_rng(8)
+    spent = []
+    for size in (20_000, 1_000_000):
+        word = "".join(rng.choice(list("abcdefghij漢"), size))
+        encoder = sentencepiece.Encoder(transducer)
+        encoder.encode([word[:20_000]])
+        start = time.process_time()
+        ids = encoder.encode([word])[0]
+        spent.append(time.process_time() - start)
+        assert encoder.decode(ids) == word
+    assert spent[0] < 0.5 and spent[1] < 50 * 0.5
 
 
 def test_unigram_takes_least_weight():
