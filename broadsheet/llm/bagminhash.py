@@ -27,8 +27,9 @@ K = 5
 THRESHOLD = 0.8
 #: 25 bands of 5: two texts with similarity 0.8 share a band with probability 0.99995.
 BANDS, ROWS = 25, 5
-#: Pairs that agree in fewer than this share of the components aren't read: 4.5 sigma from 0.8.
-SLACK = 0.64
+#: Pairs that agree in fewer than this share of the components aren't read: of those with similarity 0.8
+#: or more these are fewer than one in 10^9.
+SLACK = 0.56
 _UNIT = 2.0**-53
 _STEP, _TAG = np.uint64(0xD1342543DE82EF95), np.uint64(0x5851F42D4C957F2D)
 

@@ -9,9 +9,10 @@ What stars can miss is a link of two members that each differ from all centres.
 pairs of a bucket that stand in different classes are compared too, except for those that an exact
 bound rules out. With a centre C, and R(y) the weight of what y shares with any other text but not
 with C, |x & y| <= |x & C| + R(y). In a group of copies edited at random R is about 0, so a text that
-is too far from C is too far from all others, without a look at them. Pairs within a class need no
-look, they can't change it. Together this gives the same classes as comparing all pairs that share a
-band by ``verified``, which drops pairs whose signatures agree too little without an exact look.
+is too far from C is too far from most others, without a look at them. The rest have to differ from C
+in the same places: they are joined on rare parts of what C has and they have not (``unlinked_pairs``),
+never all with all. Pairs within a class need no look, they can't change it. Together this gives the
+same classes as comparing all pairs that share a band by ``verified``.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from broadsheet.llm.common import mix, shingles, stage_table
 
 #: Rounds of stars at any centre, before the one at the text that shares most with all others.
 STARS = 1
-#: R of a text above this share of the smallest text in its bucket is out of the ordinary.
-STRANGE = 0.02
 
 
 def node_key(text: str | Column) -> Column:
@@ -107,18 +106,20 @@ def agreement(a: str, b: str) -> Callable[[DataFrame], DataFrame]:
     return apply
 
 
+def counted_texts(texts: pa.Array, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct shingles of each text, sorted, and how often it has them."""
+    out = []
+    for first, last, hashes, owner in shingles(texts, k):
+        cuts = np.searchsorted(np.sort(owner), np.arange(last - first + 1))
+        order = np.argsort(owner, kind="stable")
+        out += [np.unique(hashes[order[i:j]], return_counts=True) for i, j in zip(cuts[:-1], cuts[1:])]
+    return out
+
+
 def overlap(k: int, weighted: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``a, b, both, jaccard`` of pairs: the exact overlap of ``text_a`` and ``text_b``, as multisets or sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted(text: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-            out = []
-            for first, last, hashes, owner in shingles(text, k):
-                cuts = np.searchsorted(np.sort(owner), np.arange(last - first + 1))
-                order = np.argsort(owner, kind="stable")
-                out += [np.unique(hashes[order[i:j]], return_counts=True) for i, j in zip(cuts[:-1], cuts[1:])]
-            return out
-
         for batch in batches:
             values, shared = [], []
             known: dict[bytes, tuple] = {}
@@ -127,7 +128,7 @@ def overlap(k: int, weighted: bool) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 new = list({x: i for i, x in enumerate(nodes) if x not in known}.items())
                 if new:
                     picked = batch.column(f"text_{side}").take(pa.array([i for _, i in new]))
-                    known.update(zip([x for x, _ in new], counted(picked)))
+                    known.update(zip([x for x, _ in new], counted_texts(picked, k)))
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
                 (ha, ca), (hb, cb) = known[a], known[b]
                 _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
@@ -256,11 +257,7 @@ def near_classes(
     members = members.select("key", "node")
     links, labels = None, None
 
-    def mixed(rows: DataFrame) -> DataFrame:
-        """Rows of buckets in which classes meet."""
-        roots = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-        return rows.join(roots.where(F.col("least") != F.col("most")).select("key"), "key")
-
+    mixed = mixed_roots
     def rooted(rows: DataFrame) -> DataFrame:
         rows = rows.select("key", "node")
         if labels is None:
@@ -296,30 +293,124 @@ def near_classes(
     known = rooted(placed.select("key", F.col("b").alias("node"))).select("key", F.col("node").alias("b"), "root")
     placed = mixed(placed.drop("root").join(known.distinct(), ["key", "b"]))
     placed = placed.join(both.select("a", "b", "both"), ["a", "b"], "left").withColumn("both", F.coalesce("both", "total"))
-    placed = placed.withColumn("extra", F.col("shared") - F.least("shared", "both"))  # R
-    needed_share = threshold / (1 + threshold)
-    # The smallest overlap that a link of x needs, as its partner is neither smaller than any in the
-    # bucket nor than J allows; a text that shares less than that with all others has none.
-    floor = needed_share * (F.col("total") + F.greatest(F.col("least"), threshold * F.col("total")))
-    small = STRANGE * F.col("least")
-    placed = placed.where(F.col("shared") >= floor - 1e-6).withColumns(
-        {"strange": F.col("extra") > small, "weak": (F.col("both") + small < floor - 1e-6) & (F.col("extra") <= small)}
-    )
-    placed = stage_table(spark, mixed(placed), "placed")
-    left, right = (
-        placed.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("b", "root", "shared", "total", "both", "extra", "strange", "weak")))
-        for s in "xy"
-    )
-    most = F.least("shared_x", "shared_y", "total_x", "total_y", F.col("both_x") + F.col("extra_y"), F.col("both_y") + F.col("extra_x"))
-    fits = (F.col("root_x") != F.col("root_y")) & (most >= needed_share * (F.col("total_x") + F.col("total_y")) - 1e-6)
-    # A weak text only has strange partners, so of the pairs of two texts that aren't strange only those
-    # of two that aren't weak are left.
-    firm = (left.where("NOT strange_x AND NOT weak_x"), right.where("NOT strange_y AND NOT weak_y"))
-    rest = firm[0].join(firm[1], "key").where(fits & (F.col("b_x") < F.col("b_y")))
-    odd = left.where("strange_x").join(right, "key").where(fits & (~F.col("strange_y") | (F.col("b_x") < F.col("b_y"))))
-    rest = rest.select("b_x", "b_y").union(odd.select(F.least("b_x", "b_y"), F.greatest("b_x", "b_y"))).toDF("a", "b").distinct()
-    rest = stage_table(spark, rest, "rest")
+    placed = stage_table(spark, placed.withColumn("extra", F.col("shared") - F.least("shared", "both")), "placed")  # R
+    rest = stage_table(spark, unlinked_pairs(placed, texts, threshold, k, weighted), "rest")
     if rest.isEmpty():
         return labels
     more = stage_table(spark, check(rest), "links").select("a", "b")
     return labels if more.isEmpty() else classes(spark, links.union(more))
+
+
+def unlinked_pairs(placed: DataFrame, texts: DataFrame, threshold: float, k: int, weighted: bool) -> DataFrame:
+    """``a, b``: all pairs of different classes under one centre that may be linked, by exact bounds.
+
+    ``placed`` is ``key, a, b, root, total, least, shared, both, extra`` of the members b of buckets with
+    centre a, both is what they share with it. Let D(x) be what the centre C has and x has not, d its
+    weight, e the weight of x outside C, s = t / (1 + t) and R as above. A link needs
+    |x & y| >= s (|x| + |y|), and |x & y| <= |C| - |D(x) | D(y)| + min(R(x), R(y)). So D(x) and D(y) must share
+
+        s (|x| + |y|) - |C| + d(x) + d(y) - R  >=  (1 - s) d(x) + s e(x) - R(x) - (1 - 2s) |C|,
+
+    and if y isn't linked with C, as at least one of two texts in different classes isn't, more than
+    (1 - s) d(x) + s e(x) - R(x). With the parts of every D in one order, two of them that share n parts
+    meet within the first d - n + 1 of each: an equality join on (centre, part) finds all pairs. Texts that
+    need share nothing, as R is large, are compared with all others of their centre.
+    """
+    spark = placed.sparkSession
+    s = threshold / (1 + threshold)
+    middle = placed.where(F.col("a") == F.col("b")).select("a", F.col("total").alias("size"), F.col("root").alias("top"))
+    # The smallest overlap that a link of x needs, as its partner is neither smaller than any in the
+    # bucket nor than J allows; a text that shares less than that with all others has none.
+    floor = s * (F.col("total") + F.greatest(F.col("least"), threshold * F.col("total")))
+    rows = mixed_roots(placed.where(F.col("shared") >= floor - 1e-6)).join(middle.distinct(), "a")
+    columns = ["a", "b", "root", "total", "shared", "both", "extra", "size", "top"]
+    missing, outside = F.col("size") - F.col("both"), F.col("total") - F.col("both")
+    base = (1 - s) * missing + s * outside - F.col("extra")
+    rows = rows.select(*columns).distinct().withColumns({
+        "linked": F.col("root") == F.col("top"), "missing": missing,
+        "far": F.floor(base - 1e-6) + 1, "near": F.ceil(base - (1 - 2 * s) * F.col("size") - 1e-6),
+    })
+    # Equal to the centre in all parts: as far from every other text as the centre is, so without a link.
+    rows = rows.where(~(F.col("linked") & (missing == 0) & (outside == 0) & (F.col("extra") == 0)))
+    rows = stage_table(spark, rows, "bounded")
+    prefix = lambda need: F.when(F.col(need) > 0, F.greatest(F.col("missing") - F.col(need) + 1, F.lit(0))).otherwise(0)
+    wanted = rows.withColumns({"far_parts": prefix("far"), "near_parts": F.when(F.col("linked"), 0).otherwise(prefix("near"))})
+    wanted = wanted.withColumn("parts", F.greatest("far_parts", "near_parts").cast("int")).where("parts > 0")
+    side = {c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"}
+    read = wanted.select("a", "b", "parts").join(side["a"], "a").join(side["b"], "b")
+    parts = read.select("a", "b", "parts", "text_a", "text_b").mapInArrow(
+        missing_parts(k, weighted), "a binary, b binary, place int, part long"
+    )
+    parts = stage_table(spark, parts.join(wanted, ["a", "b"]), "parts")
+
+    kept = ("b", "root", "total", "shared", "both", "extra")
+    names = [*kept, "linked", "far", "near"]
+
+    def named(df: DataFrame, suffix: str, *keys: str) -> DataFrame:
+        return df.select(*keys, *(F.col(c).alias(f"{c}_{suffix}") for c in names))
+
+    most = F.least("shared_x", "shared_y", "total_x", "total_y", F.col("both_x") + F.col("extra_y"), F.col("both_y") + F.col("extra_x"))
+    fits = (F.col("root_x") != F.col("root_y")) & (most >= s * (F.col("total_x") + F.col("total_y")) - 1e-6)
+    alone, held = F.col("linked") == F.lit(False), F.col("linked")
+    once = F.col("b_x") < F.col("b_y")
+    far, near = parts.where(F.col("place") < F.col("far_parts")), parts.where(F.col("place") < F.col("near_parts"))
+    on = ["a", "part"]
+    found = [
+        named(far.where(alone), "x", *on).join(named(far.where(alone), "y", *on), on).where(once & fits),
+        named(near.where(alone), "x", *on).join(named(far.where(held), "y", *on), on).where(fits),
+    ]
+    loose = F.when(F.col("linked_y"), F.col("near_x") <= 0).otherwise(F.col("far_x") <= 0)
+    odd = rows.where((F.col("far") <= 0) | (~F.col("linked") & (F.col("near") <= 0)))
+    found.append(named(odd, "x", "a").join(named(rows, "y", "a"), "a").where(fits & loose & ~(F.col("linked_x") & F.col("linked_y"))))
+    pairs = found[0].select("b_x", "b_y")
+    for more in found[1:]:
+        pairs = pairs.union(more.select("b_x", "b_y"))
+    return pairs.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
+
+
+def mixed_roots(rows: DataFrame) -> DataFrame:
+    """Rows of buckets in which classes meet."""
+    roots = rows.groupBy("key").agg(F.min("root").alias("lowest"), F.max("root").alias("highest"))
+    return rows.join(roots.where(F.col("lowest") != F.col("highest")).select("key"), "key")
+
+
+def missing_parts(k: int, weighted: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``a, b, place, part``: the first ``parts`` of what ``text_a`` has and ``text_b`` has not, in order of a hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[bytes, tuple] = {}
+            for side in "ab":
+                nodes = batch.column(side).to_pylist()
+                new = list({x: i for i, x in enumerate(nodes) if x not in known}.items())
+                if new:
+                    picked = batch.column(f"text_{side}").take(pa.array([i for _, i in new]))
+                    known.update(zip([x for x, _ in new], counted_texts(picked, k)))
+            place, part, row = [], [], []
+            wanted = batch.column("parts").to_pylist()
+            for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
+                (ha, ca), (hb, cb) = known[a], known[b]
+                if not weighted:
+                    ca, cb = np.ones(len(ca), np.int64), np.ones(len(cb), np.int64)
+                at = np.minimum(np.searchsorted(hb, ha), max(0, len(hb) - 1))
+                has = np.where(hb[at] == ha, cb[at], 0) if len(hb) else np.zeros(len(ha), np.int64)
+                short = np.maximum(ca - has, 0)
+                owner = np.repeat(np.arange(len(ha)), short)
+                # The number of a repeat, counted down from the centre's count.
+                repeat = np.arange(len(owner)) - np.repeat(np.cumsum(short) - short, short)
+                with np.errstate(over="ignore"):
+                    code = mix(ha[owner] + (ca[owner] - repeat).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                code = np.sort(code)[: wanted[i]]
+                part.append(code.astype(np.int64))
+                place.append(np.arange(len(code), dtype=np.int32))
+                row.append(np.full(len(code), i))
+            take = pa.array(np.concatenate(row)) if row else pa.array([], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("a").take(take), batch.column("b").take(take),
+                    pa.array(np.concatenate([np.zeros(0, np.int32), *place])), pa.array(np.concatenate([np.zeros(0, np.int64), *part])),
+                ],
+                names=["a", "b", "place", "part"],
+            )
+
+    return run
