@@ -65,11 +65,14 @@ class Index:
 
     def __init__(self, docs: DataFrame, items: DataFrame):
         spark = docs.sparkSession
-        cut = items.select(node_key("text").alias("item"), F.posexplode(words("text")).alias("q", "word"))
+        cut = items.select(node_key("text").alias("item"), "text")
+        cut = cut.select("item", F.posexplode(words("text")).alias("q", "word"))
         cut = cut.withColumn("word", small(F.col("word")))
         self.items = stage_table(spark, cut.distinct(), "items")
         terms = stage_table(spark, self.items.select("word").distinct(), "terms")
-        placed = docs.select(node_key("text").alias("key"), F.posexplode(words("text")).alias("at", "word"))
+        # The key comes first: beside the generator it would be worked out for every word.
+        keyed = docs.select(node_key("text").alias("key"), "text")
+        placed = keyed.select("key", F.posexplode(words("text")).alias("at", "word"))
         placed = placed.withColumn("word", small(F.col("word")))
         self.postings = stage_table(spark, placed.join(_sent(terms), "word"), "postings")
         counts = self.postings.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
