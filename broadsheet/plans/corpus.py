@@ -50,6 +50,31 @@ def bucket_count(spark: SparkSession, df: DataFrame) -> int:
     return max(1, min(max(floor, -(-size // BYTES_PER_BUCKET)), ceiling))
 
 
+def narrow(articles: DataFrame) -> DataFrame:
+    """The columns of ``docs``."""
+    return articles.select(
+        "ord",
+        "id",
+        "category",
+        "source",
+        "author",
+        tag_value(F.col("category")).alias("category_tag"),
+        tag_values(F.col("source")).alias("source_tags"),
+        tag_value(F.col("author")).alias("author_tag"),
+        tag_array_values(F.col("tags")).alias("tag_values"),
+        "published_ts",
+        "word_count",
+    )
+
+
+def directed(docs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The columns of ``vectors``, for ``(ord, vector)``. A null or zero vector has no direction."""
+    return docs.join(vectors, "ord").select(
+        "ord", "id", "vector", vector_ops.norm(F.col("vector")).alias("norm"),
+        "category_tag", "source_tags",
+    ).where(F.col("norm") > 0)
+
+
 class Corpus:
     """Tables of one article collection.
 
@@ -79,20 +104,7 @@ class Corpus:
     @built
     def docs(self) -> DataFrame:
         """The narrow columns of an article: filters, facets and dates, no text."""
-        narrow = self.articles.select(
-            "ord",
-            "id",
-            "category",
-            "source",
-            "author",
-            tag_value(F.col("category")).alias("category_tag"),
-            tag_values(F.col("source")).alias("source_tags"),
-            tag_value(F.col("author")).alias("author_tag"),
-            tag_array_values(F.col("tags")).alias("tag_values"),
-            "published_ts",
-            "word_count",
-        )
-        return self.store.write_bucketed("docs", narrow, self.buckets)
+        return self.store.write_bucketed("docs", narrow(self.articles), self.buckets)
 
     @built
     def postings(self) -> DataFrame:
@@ -122,11 +134,7 @@ class Corpus:
         """
         if self._raw_vectors is None:
             raise ValueError("this corpus has no vectors")
-        joined = self.docs.join(self._raw_vectors, "ord").select(
-            "ord", "id", "vector", vector_ops.norm(F.col("vector")).alias("norm"),
-            "category_tag", "source_tags",
-        ).where(F.col("norm") > 0)
-        return self.store.write_bucketed("vectors", joined, self.buckets)
+        return self.store.write_bucketed("vectors", directed(self.docs, self._raw_vectors), self.buckets)
 
     @built
     def suggestions(self) -> DataFrame:

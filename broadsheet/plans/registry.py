@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +26,11 @@ from broadsheet.operators import (
 from broadsheet.operators.filters import Filters
 from broadsheet.plans import textindex, workload
 from broadsheet.plans.corpus import corpus
+from broadsheet.plans.generations import LiveCorpus
 from broadsheet.schemas import ARTICLE_COLUMNS, KEY_PREFIX
 from broadsheet.sources.query_log import lookup_log, phrase_log, query_log, query_vectors, typed_words
 from broadsheet.sources.raw_news import raw_news, read_raw_news, table
+from broadsheet.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,6 +107,32 @@ def upsert_articles(spark, sf_dir):
     return merged.select("id", "title", "category", "word_count")
 
 
+def revised(spark, sf_dir) -> LiveCorpus:
+    """A live index over the corpus: World articles were given a new title twice, Sports articles once."""
+    base = corpus(spark, sf_dir)
+    stored = base.articles.select(*ARTICLE_COLUMNS)
+    batches = F.when(F.col("category") == "World", 2).when(F.col("category") == "Sports", 1)
+    changes = stored.filter(batches.isNotNull()).withColumn("batch", F.explode(F.sequence(F.lit(1), batches)))
+    title = F.concat(F.lit("Revised edition "), F.col("batch").cast("string"), F.lit(" of the "), F.col("category"))
+    live = LiveCorpus(base, Store(spark, f"{base.store.path}/live-{uuid.uuid4().hex}"))
+    for number, category in enumerate(("Sports", "World")):
+        part = changes.filter(F.col("category") == category).withColumn("title", title)
+        live.upsert(part.select(*ARTICLE_COLUMNS, "batch"), "batch", batch=number)
+    return live
+
+
+@query
+def upsert_search(spark, sf_dir):
+    """Changed articles are found by their new words, with the statistics of the changed index."""
+    return textsearch.search(revised(spark, sf_dir), "the edition of", limit=50)
+
+
+@query
+def upsert_terms(spark, sf_dir):
+    """Document frequencies after the change: words of replaced titles count no more."""
+    return textindex.document_frequency(revised(spark, sf_dir).term_stats, ["title", "summary"])
+
+
 # --- index and lookup --------------------------------------------------------------------------
 
 

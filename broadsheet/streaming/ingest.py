@@ -6,6 +6,8 @@ after a failure writes the same rows to the same place.
 * ``accepted/batch_id=n``: title, date key, position and article number of the rows that were loaded
 * ``articles/batch_id=n``: the articles
 * ``loads/batch_id=n``: one row with the number of loaded articles, written last
+
+``StreamIndex`` takes a stream of changed articles into a live index, one generation per micro-batch.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from broadsheet.operators import ingest
 from broadsheet.operators.skew import sized_join
+from broadsheet.plans.generations import LiveCorpus
 from broadsheet.schemas import ARTICLE, ARTICLE_COLUMNS, RAW_NEWS
 from broadsheet.sources.raw_news import file_position, with_file_order
 
@@ -101,3 +104,32 @@ class StreamIngest:
 
     def articles(self) -> DataFrame:
         return self.spark.read.schema(ARTICLE).parquet(f"{self.path}/articles").select(*ARTICLE_COLUMNS)
+
+
+class StreamIndex:
+    """Whole articles from files into a live index: searchable as soon as their batch is done.
+
+    A batch that runs again after a failure finds its number in the index's state and changes nothing.
+    Generations are merged into one every ``compact_every`` batches.
+    """
+
+    def __init__(self, live: LiveCorpus, compact_every: int = 8):
+        self.live, self.compact_every = live, compact_every
+
+    def load(self, changes: DataFrame, batch_id: int) -> None:
+        """Within a batch the article of the last file, by path, and the last row in it wins."""
+        placed = changes.select(*ARTICLE_COLUMNS, F.struct("file_path", "row_index").alias("place"))
+        self.live.upsert(placed, "place", batch_id)
+        if len(self.live.state["generations"]) >= self.compact_every:
+            self.live.compact()
+
+    def start(self, input_path: str, checkpoint: str, max_files: int = 100) -> StreamingQuery:
+        source = self.live.spark.readStream.schema(ARTICLE).option("maxFilesPerTrigger", max_files)
+        return (
+            source.parquet(input_path)
+            .select("*", "_metadata.file_path", "_metadata.row_index")
+            .writeStream.foreachBatch(self.load)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )

@@ -170,8 +170,9 @@ cte("log_vectors", "parsed", """
 SELECT l.*, e.embedding::DOUBLE[] AS v FROM parsed l JOIN embeddings e ON e.vec_id = l.vec_id""")
 
 
-def statement(needs: str, body: str) -> str:
-    """The body behind the tables it needs, in order of definition."""
+def statement(needs: str, body: str, changed: str | None = None) -> str:
+    """The body behind the tables it needs, in order of definition. ``changed`` redefines the articles, over
+    the stored ones, for all tables made from them."""
     wanted: set[str] = set()
 
     def add(name: str) -> None:
@@ -182,14 +183,17 @@ def statement(needs: str, body: str) -> str:
     for name in needs.split():
         add(name)
     chain = ", ".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in CTES if n in wanted)
+    if changed:
+        stored = f"articles AS MATERIALIZED ({CTES['articles'][1]})"
+        chain = chain.replace(stored, f"stored_{stored}, articles AS MATERIALIZED ({changed})")
     return f"WITH {chain} {body}" if chain else body
 
 
 ORACLE: dict[str, str] = {}
 
 
-def oracle(name: str, needs: str, body: str) -> None:
-    ORACLE[name] = statement(needs, body)
+def oracle(name: str, needs: str, body: str, changed: str | None = None) -> None:
+    ORACLE[name] = statement(needs, body, changed)
 
 
 # --- ingest ------------------------------------------------------------------------------------
@@ -361,6 +365,12 @@ oracle("search_paged", NEEDS, search(exact(THE_OF), THE_OF, offset=20, limit=15)
 oracle("search_all_recent", "docs articles",
        search("SELECT ord, 0.0::DOUBLE AS score FROM docs", [], order="d.published_ts DESC"))
 oracle("fuzzy_search", NEEDS, search(fuzzy(["thing", "onthe"]), ["thing", "onthe"]))
+REVISED = """
+SELECT * REPLACE (CASE category WHEN 'World' THEN 'Revised edition 2 of the World'
+  WHEN 'Sports' THEN 'Revised edition 1 of the Sports' ELSE title END AS title) FROM stored_articles"""
+EDITION = ["the", "edition", "of"]
+oracle("upsert_search", NEEDS, search(exact(EDITION), EDITION, limit=50), REVISED)
+oracle("upsert_terms", "head_df", "SELECT term, df FROM head_df", REVISED)
 MARK_WORDS = ["the", "of", "der", "le"]
 oracle("highlight_title", "articles", f"SELECT id, {marked('title', MARK_WORDS)} AS title FROM articles")
 
