@@ -5,8 +5,10 @@ Three shapes, chosen by the size of the query side:
 * one query vector: a literal in a column expression, filtered scan, top-k. No shuffle of vectors.
 * a bounded table of query vectors (measured): sent to all tasks; every task keeps its best k per
   query while it streams its part of the corpus, and only those rows are shuffled.
-* a large table: both sides are cut into blocks of bounded size by a hash of the key, and each pair
-  of blocks is one task with one matrix product and a local best k.
+* a large table: both sides fall into cells around sampled pivots. A query is compared with its own
+  cell, then with the cells that its k-th distance so far can reach, by the triangle inequality; cells are
+  cut into blocks of bounded size, and each pair of blocks is one task. Where vectors have no structure, as
+  random ones in many dimensions, bounds rule nothing out and all pairs are looked at.
 
 Query and corpus sides are ``(key, vector)``; results are ``(query key, ord, distance)``. Queries may carry
 filter lists, which apply before the distance.
@@ -14,6 +16,7 @@ filter lists, which apply before the distance.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.operators.skew import top_per_key
+from broadsheet.sources.store import scratch_table
 
 PLACES = 6
 QUERY_BYTES = 32 * 1024 * 1024
 BLOCK_ROWS = 4096
+#: Pivots of a large join: the square root of the rows, at most so many.
+MAX_PIVOTS = 1024
 
 
 # --- one query ---------------------------------------------------------------------------------
@@ -88,11 +94,6 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / length[:, None]
 
 
-def _distances(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Rounded distances, one row per query; adding zero turns a negative zero into zero."""
-    return np.round(1.0 - queries @ rows.T, PLACES) + 0.0
-
-
 class _Allowed:
     """Which corpus rows each query may see, by its category and source lists; empty lists allow all.
 
@@ -120,52 +121,63 @@ class _Allowed:
 
 
 class _Best:
-    """Running best k per query over steps of corpus rows, ordered by (distance, ord)."""
+    """Running best k per query over steps of corpus rows, ordered by (distance, ord).
+
+    A step is screened by one product in single precision against the k-th best so far, less the error
+    that such a product can have; only pairs that pass are worked out in double precision.
+    """
 
-    def __init__(self, keys: np.ndarray, units: np.ndarray, k: int, rule: str):
+    def __init__(self, keys: np.ndarray, units: np.ndarray, k: int, rule: str, bounds: np.ndarray | None = None):
+        """``bounds``: distances that each query's k-th neighbour doesn't pass, where known."""
         self.keys, self.units, self.k, self.rule = keys, units, k, rule
-        self.distance = np.full((len(keys), 0), np.inf)
-        self.ord = np.zeros((len(keys), 0), dtype=np.int64)
+        self.single = units.astype(np.float32)
+        self.slack = 4e-6 + 2.0**-23 * (units.shape[1] if units.ndim == 2 else 0)
+        self.least = np.full(len(keys), -np.inf)
+        if bounds is not None:
+            self.least = np.where(np.isnan(bounds), -np.inf, 1.0 - bounds)
+        self.query = np.zeros(0, dtype=np.int64)
+        self.distance = np.zeros(0)
+        self.ord = np.zeros(0, dtype=np.int64)
 
     def add(self, ords: np.ndarray, units: np.ndarray, allowed: np.ndarray | None = None) -> None:
-        if not len(ords):
+        if not len(ords) or not len(self.keys):
             return
-        by_ord = np.argsort(ords, kind="stable")
-        ords, units = ords[by_ord], units[by_ord]
-        found = _distances(self.units, units)
+        found = self.single @ units.astype(np.float32).T
         if self.rule == "not_self":
-            found[self.keys[:, None] == ords[None, :]] = np.inf
+            found[self.keys[:, None] == ords[None, :]] = -np.inf
         elif self.rule == "earlier":
-            found[ords[None, :] >= self.keys[:, None]] = np.inf
+            found[ords[None, :] >= self.keys[:, None]] = -np.inf
         if allowed is not None:
-            found[~allowed[:, by_ord]] = np.inf
-        ords = np.broadcast_to(ords, found.shape)
-        if found.shape[1] > self.k:
-            # Distances are whole millionths, so distance and place make one exact integer to select by.
-            place = np.where(np.isfinite(found), np.rint(found * 10**PLACES), 1 << 40)
-            code = place.astype(np.int64) * found.shape[1] + np.arange(found.shape[1])
-            near = np.argpartition(code, self.k, axis=1)[:, : self.k]
-            found = np.take_along_axis(found, near, axis=1)
-            ords = np.take_along_axis(ords, near, axis=1)
-        distance = np.concatenate([self.distance, found], axis=1)
-        ords = np.concatenate([self.ord, ords], axis=1)
-        order = np.lexsort((ords, distance), axis=1)[:, : self.k]
-        self.distance = np.take_along_axis(distance, order, axis=1)
-        self.ord = np.take_along_axis(ords, order, axis=1)
+            found[~allowed] = -np.inf
+        least = self.least
+        open_ended = np.flatnonzero(~np.isfinite(least))
+        if len(open_ended) and found.shape[1] > self.k:
+            near = -np.partition(-found[open_ended], self.k - 1, axis=1)[:, self.k - 1]
+            least = least.copy()
+            least[open_ended] = near
+        query, row = np.nonzero((found >= (least - self.slack)[:, None]) & np.isfinite(found))
+        if not len(query):
+            return
+        exact = np.einsum("ij,ij->i", self.units[query], units[row])
+        distance = np.round(1.0 - exact, PLACES) + 0.0  # adding zero turns a negative zero into zero
+        query = np.concatenate([self.query, query])
+        distance, ord_ = np.concatenate([self.distance, distance]), np.concatenate([self.ord, ords[row]])
+        order = np.lexsort((ord_, distance, query))
+        query, distance, ord_ = query[order], distance[order], ord_[order]
+        first = np.searchsorted(query, np.arange(len(self.keys)))
+        place = np.arange(len(query)) - first[query]
+        keep = place < self.k
+        self.query, self.distance, self.ord = query[keep], distance[keep], ord_[keep]
+        last = place == self.k - 1
+        self.least[query[last]] = np.maximum(self.least[query[last]], 1.0 - distance[last])
 
     def frame(self) -> pd.DataFrame:
-        keep = np.isfinite(self.distance)
-        return pd.DataFrame(
-            {
-                "query_key": np.repeat(self.keys, keep.sum(axis=1)),
-                "ord": self.ord[keep],
-                "distance": self.distance[keep],
-            }
-        )
+        return pd.DataFrame({"query_key": self.keys[self.query], "ord": self.ord, "distance": self.distance})
 
 
 RESULT_SCHEMA = "query_key long, ord long, distance double"
-STEP_ROWS = 1024
+#: A step's matrix of queries and rows has at most so many numbers.
+STEP_CELLS, STEP_ROWS = 1 << 23, 1024
 
 
 FILTER_LISTS = ["category_list", "source_list"]
@@ -173,8 +185,9 @@ FILTERED = ["category_tag", "source_tags"]
 
 
 def _add_steps(top: _Best, table: pa.RecordBatch | pa.Table, allowed: _Allowed | None) -> None:
-    for start in range(0, table.num_rows, STEP_ROWS):
-        part = table.slice(start, STEP_ROWS)
+    rows_at_once = max(16, min(STEP_ROWS, STEP_CELLS // max(1, len(top.keys))))
+    for start in range(0, table.num_rows, rows_at_once):
+        part = table.slice(start, rows_at_once)
         ords = np.asarray(part.column("ord")).astype(np.int64)
         rows = allowed.rows(part) if allowed else None
         top.add(ords, _unit(_matrix(part.column("vector"))), rows)
@@ -199,44 +212,133 @@ def _with_sent_queries(
     return corpus.mapInArrow(best, RESULT_SCHEMA)
 
 
-def _with_blocks(
-    corpus: DataFrame, queries: DataFrame, k: int, rule: str, n_rows: int, n_queries: int,
-    block_rows: int, filtered: bool,
-) -> DataFrame:
-    row_blocks = max(1, -(-n_rows // block_rows))
-    query_blocks = max(1, -(-n_queries // block_rows))
+def _empty_result() -> pa.Table:
+    types = {"query_key": pa.int64(), "ord": pa.int64(), "distance": pa.float64()}
+    return pa.table({name: pa.array([], kind) for name, kind in types.items()})
+
+
+def _chords(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Straight-line distances of unit vectors, which obey the triangle inequality as cosines don't."""
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (units @ pivots.T)))
+
+
+def _in_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``df`` with ``cell``, the nearest pivot, and ``radius``, the chord to it."""
+    sent = df.sparkSession.sparkContext.broadcast(pivots)
+    names = df.columns
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chords = _chords(_unit(_matrix(batch.column("vector"))), sent.value) if batch.num_rows else np.zeros((0, 1))
+            cell = chords.argmin(axis=1)
+            radius = chords[np.arange(len(cell)), cell]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(cell, pa.int32()), pa.array(radius, pa.float64())],
+                names=[*names, "cell", "radius"],
+            )
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(place, f"{fields}, cell int, radius double")
 
-    def copies(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    def block(key: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+def visits(bounded: DataFrame, pivots: np.ndarray, radii: np.ndarray) -> DataFrame:
+    """``(query_key, cell)``: the cells besides its own that may hold a neighbour of a query.
 
-    left = queries.select(
-        *queries.columns, block("query_key", query_blocks).alias("qb"), copies(row_blocks).alias("cb")
+    ``bounded`` is ``(query_key, vector, cell, bound)``. A row of a cell is at least as far from the query as
+    the pivot, less the cell's radius; and as the row is nearer to its pivot than to the query's, it lies
+    beyond the plane half way between the two. Cells that are farther than the bound are left out.
+    """
+    sent = bounded.sparkSession.sparkContext.broadcast((pivots, radii, _chords(pivots, pivots)))
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, radii, between = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            chords = _chords(_unit(_matrix(batch.column("vector"))), pivots)
+            own = np.asarray(batch.column("cell"))
+            bound = np.asarray(batch.column("bound").fill_null(2.0)).astype(np.float64)
+            most = np.sqrt(2.0 * (bound + 1e-6)) + 1e-6
+            least = chords - radii[None, :]
+            apart = between[own]
+            home = chords[np.arange(len(own)), own]
+            plane = (chords**2 - home[:, None] ** 2) / (2.0 * np.where(apart > 1e-9, apart, np.inf))
+            near = (np.maximum(least, plane) <= most[:, None]) & (radii >= 0)[None, :]
+            near[np.arange(len(own)), own] = False
+            query, cell = np.nonzero(near)
+            keys = batch.column("query_key").take(pa.array(query))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(cell, pa.int32())], names=["query_key", "cell"])
+
+    return bounded.select("query_key", "vector", "cell", "bound").mapInArrow(reach, "query_key long, cell int")
+
+
+def _met(rows: DataFrame, asked: DataFrame, sizes: dict[int, int], k: int, rule: str, block_rows: int, filtered: bool) -> DataFrame:
+    """The best k rows of every query in the cells that it visits.
+
+    ``rows`` has ``cell``; ``asked`` is one row per query and visited cell, with the query's bound. Rows and
+    queries of a cell are cut into blocks of about ``block_rows``, by a hash, and every pair of blocks is one
+    task; a cell with a third of all rows is many blocks.
+    """
+    spark = rows.sparkSession
+    visiting = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cut = [(c, -(-sizes.get(c, 0) // block_rows), -(-n // block_rows)) for c, n in visiting.items() if sizes.get(c, 0)]
+    if not cut:
+        return spark.createDataFrame([], RESULT_SCHEMA)
+    cuts = F.broadcast(spark.createDataFrame(cut, "cell int, row_blocks int, query_blocks int"))  # one row per cell
+
+    def block(key: str, blocks: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.col(blocks)).cast("int")
+
+    def copies(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+    left = asked.join(cuts, "cell").select(
+        *asked.columns, block("query_key", "query_blocks").alias("qb"), copies("row_blocks").alias("rb")
     )
-    right = corpus.select(
-        *corpus.columns, block("ord", row_blocks).alias("cb"), copies(query_blocks).alias("qb")
+    right = rows.join(cuts, "cell").select(
+        *rows.columns, block("ord", "row_blocks").alias("rb"), copies("query_blocks").alias("qb")
     )
 
     def best(q: pa.Table, c: pa.Table) -> pa.Table:
         if not q.num_rows or not c.num_rows:
-            empty = pd.DataFrame({"query_key": [], "ord": [], "distance": []})
-            return pa.Table.from_pandas(
-                empty.astype({"query_key": "int64", "ord": "int64", "distance": "float64"}),
-                preserve_index=False,
-            )
+            return _empty_result()
         keys = q.column("query_key").to_numpy().astype(np.int64)
-        top = _Best(keys, _unit(_matrix(q.column("vector"))), k, rule)
+        bounds = q.column("bound").to_pandas().to_numpy(dtype=np.float64, na_value=np.nan)
+        top = _Best(keys, _unit(_matrix(q.column("vector"))), k, rule, bounds)
         lists = [q.column(name).to_pylist() for name in FILTER_LISTS] if filtered else None
         _add_steps(top, c, _Allowed(*lists) if lists else None)
-        return pa.Table.from_pandas(top.frame(), preserve_index=False)
+        return pa.Table.from_pandas(top.frame(), schema=_empty_result().schema, preserve_index=False)
 
-    return (
-        left.groupBy("qb", "cb")
-        .cogroup(right.groupBy("qb", "cb"))
-        .applyInArrow(best, RESULT_SCHEMA)
-    )
+    return left.groupBy("cell", "qb", "rb").cogroup(right.groupBy("cell", "qb", "rb")).applyInArrow(best, RESULT_SCHEMA)
+
+
+def _with_cells(
+    corpus: DataFrame, queries: DataFrame, k: int, rule: str, n_rows: int, block_rows: int, filtered: bool,
+) -> DataFrame:
+    """All neighbours by cells around sampled pivots: first in a query's own cell, then, with the k-th
+    distance found there as a bound, in the cells that the bound reaches."""
+    spark = corpus.sparkSession
+    most = max(1, min(MAX_PIVOTS, math.isqrt(n_rows)))
+    drawn = corpus.orderBy(F.xxhash64("ord"), "ord").limit(most).select("vector").collect()
+    if not drawn:
+        return spark.createDataFrame([], RESULT_SCHEMA)
+    pivots = _unit(np.array([r["vector"] for r in drawn], dtype=np.float64))
+    rows = scratch_table(spark, _in_cells(corpus, pivots), "cells")
+    shapes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("r")).collect()
+    sizes, radii = {r["cell"]: r["n"] for r in shapes}, np.full(len(pivots), -1.0)
+    for r in shapes:
+        radii[r["cell"]] = r["r"]
+    asked = scratch_table(spark, _in_cells(queries, pivots), "queries")
+    rows = rows.drop("radius")
+    home = asked.drop("radius").withColumn("bound", F.lit(None).cast("double"))
+    found = scratch_table(spark, _met(rows, home, sizes, k, rule, block_rows, filtered), "home")
+    best = top_per_key(found, ["query_key"], by_distance(), k)
+    bounds = best.filter(F.col("rank") == k).select("query_key", F.col("distance").alias("bound"))
+    bounded = asked.drop("radius").join(bounds, "query_key", "left")
+    bounded = scratch_table(spark, bounded, "bounded")
+    there = scratch_table(spark, visits(bounded, pivots, radii), "visits")
+    away = there.join(bounded.drop("cell"), "query_key").select(home.columns)
+    return found.unionByName(_met(rows, away, sizes, k, rule, block_rows, filtered))
 
 
 def nearest(
@@ -267,7 +369,5 @@ def nearest(
             return corpus.sparkSession.createDataFrame([], RESULT_SCHEMA + ", rank long")
         found = _with_sent_queries(corpus, rows, k, rule, filtered)
     else:
-        found = _with_blocks(
-            corpus, queries, k, rule, corpus.count(), size["n"], block_rows, filtered
-        )
+        found = _with_cells(corpus, queries, k, rule, corpus.count(), block_rows, filtered)
     return top_per_key(found, ["query_key"], by_distance(), k)

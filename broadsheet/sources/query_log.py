@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.functions.text import words
+from broadsheet.operators.ingest import numbered
 from broadsheet.schemas import ALL
 from broadsheet.sources.raw_news import table
 
@@ -14,10 +15,9 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One search request per user turn of ``conversations``, with varied parameters.
 
     The text is the whole turn; filters, order and page vary with the conversation so that every
-    branch is used, and the vectors with all rows of ``embeddings``.
+    branch is used.
     """
     turns = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
-    vectors = max(1, table(spark, sf_dir, "embeddings").count())
     n = F.col("conv_id") + F.col("turn")
     return turns.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
@@ -34,7 +34,6 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(False).alias("fuzzy"),
         F.when(n % 6 == 5, 3).otherwise(0).cast("int").alias("offset"),
         F.lit(10).cast("int").alias("limit"),
-        (F.col("conv_id") % vectors).alias("vec_id"),
     )
 
 
@@ -56,11 +55,21 @@ def typed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query log with the vector of each request."""
-    vectors = table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.col("embedding").alias("vector")
-    )
-    return query_log(spark, sf_dir).join(vectors, "vec_id", "left")
+    """Requests with a vector: every request of the log and every row of ``embeddings`` is used.
+
+    Both are numbered; those whose numbers agree modulo the smaller count make one request.
+    """
+    log = query_log(spark, sf_dir)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    least = max(1, min(log.count(), vectors.count()))
+    number = (F.col("number") - 1) % least
+
+    def dealt(rows: DataFrame, key: str) -> DataFrame:
+        places = numbered(rows.select(F.col(key).alias("ord"))).select(F.col("ord").alias(key), number.alias("place"))
+        return rows.join(places, key)
+
+    both = dealt(log, "query_id").join(dealt(vectors, "vec_id"), "place")
+    return both.withColumn("query_id", F.col("query_id") * 1_000_000 + F.col("vec_id")).drop("place", "vec_id")
 
 
 def lookup_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,12 +8,20 @@ because they live in shared storage.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from broadsheet.session import shared_dir
 
 
+def scratch_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: an intermediate result that outlives executors."""
+    path = f"{shared_dir(spark)}/broadsheet-{spark.sparkContext.applicationId}/scratch/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class Store:
     """Named parquet tables under one folder."""
 

@@ -145,8 +145,7 @@ SELECT conv_id * 1000 + turn AS query_id, text,
     ELSE 'All' END AS categories,
   CASE (conv_id + turn) % 7 WHEN 3 THEN 'VICE,Wired' WHEN 4 THEN ' Unknown ' ELSE 'All' END AS sources,
   CASE (conv_id + turn) % 4 WHEN 1 THEN 'date_desc' WHEN 3 THEN 'date_asc' ELSE 'relevance' END AS sort,
-  CASE WHEN (conv_id + turn) % 6 = 5 THEN 3 ELSE 0 END AS offset_, 10 AS limit_,
-  conv_id % (SELECT greatest(count(*), 1) FROM embeddings) AS vec_id
+  CASE WHEN (conv_id + turn) % 6 = 5 THEN 3 ELSE 0 END AS offset_, 10 AS limit_
 FROM conversations WHERE role = 'user'""")
 
 def parsed(log: str) -> str:
@@ -167,7 +166,11 @@ FROM (SELECT *, unnest(range(greatest(1, (len(ws) + 2) // 3))) AS i
 cte("parsed_phrases", "phrases", parsed("phrases"))
 
 cte("log_vectors", "parsed", """
-SELECT l.*, e.embedding::DOUBLE[] AS v FROM parsed l JOIN embeddings e ON e.vec_id = l.vec_id""")
+SELECT l.* EXCLUDE (query_id, place), l.query_id * 1000000 + e.vec_id AS query_id, e.embedding::DOUBLE[] AS v
+FROM (SELECT *, row_number() OVER (ORDER BY query_id) - 1 AS place FROM parsed) l,
+  (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings) e,
+  (SELECT least((SELECT count(*) FROM parsed), (SELECT count(*) FROM embeddings)) AS least) m
+WHERE l.place % m.least = e.place % m.least""")
 
 
 def statement(needs: str, body: str, changed: str | None = None) -> str:
@@ -682,10 +685,10 @@ vector_ranks AS (SELECT query_id, id, distance, row_number() OVER (PARTITION BY
 oracle("workload_vector", "log_vectors vecs", VECTOR_RANKS + """
 SELECT l.query_id, r.rank, r.id, r.distance FROM log_vectors l JOIN vector_ranks r USING (query_id)
 WHERE l.has_text AND r.rank > l.offset_ AND r.rank <= l.offset_ + l.limit_""")
-oracle("workload_hybrid", "parsed parts docs log_vectors vecs", WORKLOAD.format(parsed="parsed") + VECTOR_RANKS + f"""
+oracle("workload_hybrid", "parts docs log_vectors vecs", WORKLOAD.format(parsed="log_vectors") + VECTOR_RANKS + f"""
 , text_list AS (SELECT query_id, id, rank FROM (SELECT s.query_id, d.id, row_number() OVER (
     PARTITION BY s.query_id ORDER BY s.score DESC, d.id) AS rank
-  FROM scored s JOIN docs d ON d.ord = s.ord JOIN parsed q ON q.query_id = s.query_id AND {ALLOWED})
+  FROM scored s JOIN docs d ON d.ord = s.ord JOIN log_vectors q ON q.query_id = s.query_id AND {ALLOWED})
   WHERE rank <= 10),
 vector_list AS (SELECT query_id, id, rank FROM vector_ranks WHERE rank <= 10),
 fused AS (SELECT coalesce(t.query_id, v.query_id) AS query_id, coalesce(t.id, v.id) AS id,

@@ -270,6 +270,41 @@ def test_nearest_against_brute_force(spark, rule, query_bytes):
     assert {(r.query_key, r.ord, r.distance, r.rank) for r in got} == want
 
 
+def test_far_cells_are_not_visited(spark, monkeypatch):
+    """On vectors in clusters the bound saves most distances, without changing the answer."""
+    from broadsheet.operators import vectors as module
+
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(30, 16))
+    data = np.repeat(middle, 20, axis=0) + 0.05 * rng.normal(size=(600, 16))
+    data = data.astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "ord long, vector array<float>")
+    written = {}
+    keep = module.scratch_table
+    monkeypatch.setattr(module, "scratch_table", lambda s, d, name: written.setdefault(name, keep(s, d, name)))
+    queries = df.select(F.col("ord").alias("query_key"), "vector")
+    got = {(r.query_key, r.ord, r.distance) for r in nearest(df, queries, 3, "not_self", query_bytes=0, block_rows=64).collect()}
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    far = np.round(1 - unit @ unit.T, 6) + 0.0
+    want = {
+        (q, j, float(far[q, j]))
+        for q in range(600) for j in sorted((j for j in range(600) if j != q), key=lambda j: (far[q, j], j))[:3]
+    }
+    assert got == want
+    sizes = written["cells"].groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    met = written["queries"].select("query_key", "cell").union(written["visits"])
+    looked_at = met.join(sizes, "cell").agg(F.sum("n").alias("n")).first()["n"]
+    assert looked_at < 600 * 600 / 3
+    assert met.count() < 600 * sizes.count() / 3
+
+
+def test_every_embedding_is_a_request(spark, sf_dir):
+    log = query_vectors(spark, sf_dir)
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    assert log.select("vector").distinct().count() == n and log.select("text").distinct().count() > 1
+    assert log.select("query_id").distinct().count() == log.count()
+
+
 def test_similar_all_equals_similar_one(c):
     every = {}
     for r in similar.similar_to_each(c, k=5).collect():
