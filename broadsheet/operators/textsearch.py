@@ -1,4 +1,9 @@
-"""Text search over the index: matching, relevance, order, page, result rows."""
+"""Text search over the index: matching, relevance, order, page, result rows.
+
+A search opens only buckets that hold all its words, by ``term_blocks``. For a page by relevance the
+buckets are taken in order of the most that an article in them can score: the best are read first, and of
+the others only those that can still beat the last score of the page.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +19,7 @@ from broadsheet.operators.skew import sized_join
 from broadsheet.plans.corpus import Corpus
 from broadsheet.plans.textindex import document_frequency, in_fields
 from broadsheet.schemas import SEARCH_FIELDS
+from broadsheet.sources.store import bucket_of_file
 
 # Pages up to this many rows are looked up by literal key, which lets the scan skip all other buckets.
 PAGE_ROWS = 1000
@@ -27,11 +33,42 @@ RESULT_COLUMNS = [
 # --- matching and scoring ----------------------------------------------------------------------
 
 
-def matching_postings(corpus: Corpus, terms: list[str], fields: list[str]) -> DataFrame:
-    """Postings of literal terms, with the weighted count and length over ``fields``."""
+def bounded_buckets(corpus: Corpus, terms: list[str]) -> DataFrame | None:
+    """``(bucket, bound)``: the buckets that hold all terms, and the most that they add up to there in title
+    and summary; null where a term stands in other fields only. None where the corpus has no such table."""
+    if corpus.term_blocks is None or not terms:
+        return None
+    blocks = corpus.term_blocks.filter(F.col("term").isin(terms))
+    # At most one row per query word.
+    idf = document_frequency(corpus.term_stats.filter(F.col("term").isin(terms)), SEARCH_FIELDS).select(
+        "term", scoring.idf(F.col("df"), corpus.totals["n"]).alias("idf")
+    )
+    found = blocks.join(F.broadcast(idf), "term", "left").groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.count("most").alias("held"), F.sum(F.col("most") * F.col("idf")).alias("bound")
+    )
+    held = F.when(F.col("held") == len(terms), F.col("bound"))
+    return found.filter(F.col("n") == len(terms)).select("bucket", held.alias("bound"))
+
+
+def buckets_of(corpus: Corpus, terms: list[str], fields: list[str]) -> list[int] | None:
+    """Buckets that can match, by number: at most as many as there are. None means all."""
+    bounds = bounded_buckets(corpus, terms)
+    if bounds is None:
+        return None
+    if set(fields) <= set(SEARCH_FIELDS):
+        bounds = bounds.filter(F.col("bound").isNotNull())
+    return [r["bucket"] for r in bounds.select("bucket").collect()]
+
+
+def matching_postings(
+    corpus: Corpus, terms: list[str], fields: list[str], buckets: list[int] | None = None
+) -> DataFrame:
+    """Postings of literal terms in some buckets, with the weighted count and length over ``fields``."""
+    scan = corpus.postings_for(fields)
+    if buckets is not None and len(buckets) < corpus.buckets:
+        scan = scan.filter(bucket_of_file().isin(buckets) if buckets else F.lit(False))
     return (
-        corpus.postings_for(fields)
-        .filter(F.col("term").isin(terms))
+        scan.filter(F.col("term").isin(terms))
         .select(
             "term", "ord",
             scoring.weighted("tf", fields).alias("tf"),
@@ -45,7 +82,7 @@ def match_all_words(corpus: Corpus, text: str, fields: list[str] = SEARCH_FIELDS
     """``ord`` of the articles in which every word of ``text`` occurs in some field of ``fields``."""
     terms = literal_tokens(corpus.spark, text)
     return (
-        matching_postings(corpus, terms, fields)
+        matching_postings(corpus, terms, fields, buckets_of(corpus, terms, fields))
         .groupBy("ord")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter((F.col("n") == len(terms)) & F.lit(bool(terms)))
@@ -53,9 +90,13 @@ def match_all_words(corpus: Corpus, text: str, fields: list[str] = SEARCH_FIELDS
     )
 
 
-def exact_scores(corpus: Corpus, text: str, fields: list[str]) -> DataFrame:
-    """``(ord, score)`` of the articles that hold all words. Grouped inside the buckets."""
+def exact_scores(
+    corpus: Corpus, text: str, fields: list[str], buckets: list[int] | None = None
+) -> DataFrame:
+    """``(ord, score)`` of the articles, in some buckets, that hold all words. Grouped inside the buckets."""
     terms = literal_tokens(corpus.spark, text)
+    if buckets is None:
+        buckets = buckets_of(corpus, terms, fields)
     # At most one row per query word.
     idf = document_frequency(corpus.term_stats.filter(F.col("term").isin(terms)), fields).select(
         "term", scoring.idf(F.col("df"), corpus.totals["n"]).alias("idf")
@@ -64,7 +105,7 @@ def exact_scores(corpus: Corpus, text: str, fields: list[str]) -> DataFrame:
         F.col("tf"), F.col("dl"), F.col("idf"), corpus.average_length(fields)
     )
     return (
-        matching_postings(corpus, terms, fields)
+        matching_postings(corpus, terms, fields, buckets)
         .join(F.broadcast(idf), "term")
         .groupBy("ord")
         .agg(scoring.rounded(F.sum(part)).alias("score"), F.count(F.lit(1)).alias("n"))
@@ -132,8 +173,9 @@ def match_set(
     fuzzy: bool = False,
     fields: list[str] = SEARCH_FIELDS,
     with_date: bool = False,
+    buckets: list[int] | None = None,
 ) -> DataFrame:
-    """``(ord, score[, published_ts])`` of every match, before order and page.
+    """``(ord, score[, published_ts])`` of every match, in some buckets, before order and page.
 
     Filters and dates come from the narrow ``docs`` table, which shares the bucketing of the
     postings; it is left out when neither is needed.
@@ -143,13 +185,35 @@ def match_set(
     narrow = corpus.docs if condition is None else corpus.docs.filter(condition)
     if not has_text(text):
         return narrow.select(*columns, F.lit(0.0).alias("score"))
-    score = fuzzy_scores if fuzzy else exact_scores
-    scored = score(corpus, text, fields)
+    scored = fuzzy_scores(corpus, text, fields) if fuzzy else exact_scores(corpus, text, fields, buckets)
     if condition is None and not with_date:
         return scored
     return scored.join(narrow.select(*columns), "ord")
 
 
+def best_buckets(
+    corpus: Corpus, text: str, filters: Filters, k: int, first: int | None = None
+) -> list[int] | None:
+    """The buckets that the ``k`` best matches by relevance can lie in; None means all.
+
+    The ``first`` buckets with the highest bounds are searched for their k-th score; scores are rounded,
+    so a bound counts with the last place to spare.
+    """
+    bounds = bounded_buckets(corpus, literal_tokens(corpus.spark, text))
+    if bounds is None:
+        return None
+    first = first or corpus.spark.sparkContext.defaultParallelism
+    order = [F.desc("bound"), F.asc("bucket")]
+    found = bounds.filter(F.col("bound").isNotNull()).orderBy(*order).collect()
+    if len(found) <= first:
+        return [r["bucket"] for r in found]
+    tried = [r["bucket"] for r in found[:first]]
+    matches = match_set(corpus, text, filters, buckets=tried)
+    scores = [r["score"] for r in matches.orderBy(F.desc("score")).limit(k).select("score").collect()]
+    least = scores[-1] if len(scores) == k else 0.0
+    return tried + [r["bucket"] for r in found[first:] if r["bound"] + 2 * 10**-scoring.PLACES >= least]
+
+
 def order_columns(sort: str) -> list[Column]:
     """Unknown orders mean relevance."""
     if sort == "date_desc":
@@ -199,10 +263,11 @@ def search(
     fields: list[str] = SEARCH_FIELDS,
 ) -> DataFrame:
     """One page of results: ``rank, id, score`` and the eight result columns."""
-    matches = match_set(
-        corpus, text, Filters(categories, sources, authors), fuzzy, fields,
-        with_date=sort in ("date_desc", "date_asc"),
-    )
+    filters, by_date = Filters(categories, sources, authors), sort in ("date_desc", "date_asc")
+    buckets = None
+    if has_text(text) and not fuzzy and not by_date and set(fields) == set(SEARCH_FIELDS):
+        buckets = best_buckets(corpus, text, filters, offset + limit)
+    matches = match_set(corpus, text, filters, fuzzy, fields, by_date, buckets)
     page = page_of(matches, order_columns(sort), offset, limit).select("ord", "rank", "score")
     found = fetch(corpus, page, RESULT_COLUMNS, limit)
     if highlight and has_text(text):

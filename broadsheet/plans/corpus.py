@@ -25,7 +25,7 @@ BUCKETED = {
     "postings": (("term",), ("head",)),
     "vectors": (("ord",), ()),
 }
-TABLES = [*BUCKETED, "term_stats", "suggestions"]
+TABLES = [*BUCKETED, "term_stats", "term_blocks", "suggestions"]
 LAYOUT = "name string, columns string, buckets int"
 
 _open: dict[tuple[str, str], "Corpus"] = {}
@@ -121,6 +121,11 @@ class Corpus:
         stats = textindex.term_stats(self.postings)
         return self.store.write("term_stats", stats.repartitionByRange("term").sortWithinPartitions("term"))
 
+    @built
+    def term_blocks(self) -> DataFrame:
+        blocks = textindex.term_blocks(self.postings, self.buckets, self.average_length(SEARCH_FIELDS))
+        return self.store.write("term_blocks", blocks.repartitionByRange("term").sortWithinPartitions("term"))
+
     @built
     def totals(self) -> dict[str, int]:
         """Article count and field lengths: one row, read to the driver once."""

@@ -21,7 +21,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.operators import suggest
@@ -29,7 +29,7 @@ from broadsheet.operators.skew import sized_join
 from broadsheet.plans import textindex
 from broadsheet.plans.corpus import BUCKETED, Corpus, directed, narrow
 from broadsheet.schemas import ARTICLE_COLUMNS, TEXT_FIELDS
-from broadsheet.sources.store import Store
+from broadsheet.sources.store import Store, bucket_of, bucket_of_file
 
 #: Up to this many tombstones, 8 bytes each, are sent to all tasks; more are joined in their buckets.
 SENT_TOMBSTONES = 1 << 22
@@ -41,16 +41,6 @@ COUNTS = ["n", *[f"len_{f}" for f in TEXT_FIELDS]]
 DELTAS = {"term_stats": (["term", "mask"], ["n"]), "suggestions": (["suggestion"], ["score"]), "totals": ([], COUNTS)}
 
 
-def bucket_of(ord_column: str, buckets: int) -> Column:
-    """The bucket that Spark writes a row to."""
-    return F.pmod(F.hash(ord_column), F.lit(buckets))
-
-
-def bucket_of_file() -> Column:
-    """The bucket of a scanned row by its file's name; as a filter it keeps other files unopened."""
-    return F.regexp_extract(F.col("_metadata.file_name"), r"_(\d{5})\.c", 1).cast("int")
-
-
 def summed(parts: list[DataFrame], keys: list[str], values: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
 
@@ -176,6 +166,11 @@ class LiveCorpus(Corpus):
             self._tables["totals"] = {c: self.base.totals[c] + more[c] for c in COUNTS}
         return self._tables["totals"]
 
+    @property
+    def term_blocks(self) -> None:
+        """Buckets of a live index aren't one table's, so searches read them all."""
+        return None
+
     # --- changes -------------------------------------------------------------------------------
 
     def _write(self, prefix: str, name: str, df: DataFrame) -> DataFrame:

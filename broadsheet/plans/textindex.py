@@ -9,6 +9,9 @@
 * ``term_stats``: per term and set of fields, the number of articles. Summing the sets that touch the
   searched fields gives the exact document frequency for any choice of fields.
 * totals: article count and total length of each field, one row.
+* ``term_blocks``: per term and bucket of articles, the largest saturated count that an article of the
+  bucket has in title and summary, null where it only occurs elsewhere. It tells which buckets hold a rare
+  word, and, times the word's weight, the most that a bucket can add to a score.
 """
 
 from __future__ import annotations
@@ -16,8 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from broadsheet.functions import scoring
 from broadsheet.functions.text import tokens
 from broadsheet.schemas import FIELD_BITS, SEARCH_FIELDS, TEXT_FIELDS
+from broadsheet.sources.store import bucket_of
 
 
 def _tagged(field: str, bit: int) -> Column:
@@ -59,6 +64,15 @@ def term_stats(postings_table: DataFrame) -> DataFrame:
     return postings_table.groupBy("term", mask.alias("mask")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def term_blocks(postings_table: DataFrame, buckets: int, average: float) -> DataFrame:
+    """``(term, bucket, most)``. A bucket is read by one task, so only one row per term and bucket is shuffled."""
+    tf, dl = scoring.weighted("tf", SEARCH_FIELDS), scoring.weighted("len", SEARCH_FIELDS)
+    part = scoring.contribution(tf, dl, F.lit(1.0), average)
+    return postings_table.groupBy("term", bucket_of("ord", buckets).alias("bucket")).agg(
+        F.max(F.when(F.col("head") == 1, part)).alias("most")
+    )
+
+
 def field_mask(fields: list[str]) -> int:
     unknown = set(fields) - set(TEXT_FIELDS)
     if unknown:

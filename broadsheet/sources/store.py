@@ -10,11 +10,22 @@ from __future__ import annotations
 import hashlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from broadsheet.session import shared_dir
 
 
+def bucket_of(key: str, buckets: int) -> Column:
+    """The bucket that Spark writes a row to."""
+    return F.pmod(F.hash(key), F.lit(buckets))
+
+
+def bucket_of_file() -> Column:
+    """The bucket of a scanned row by its file's name; as a filter it keeps other files unopened."""
+    return F.regexp_extract(F.col("_metadata.file_name"), r"_(\d{5,})\.c", 1).cast("int")
+
+
 def scratch_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: an intermediate result that outlives executors."""
     path = f"{shared_dir(spark)}/broadsheet-{spark.sparkContext.applicationId}/scratch/{name}-{uuid.uuid4().hex}"

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from broadsheet.operators import suggest, textsearch
 from broadsheet.plans import textindex
 from broadsheet.plans.corpus import Corpus, narrow
-from broadsheet.plans.generations import LiveCorpus, bucket_of, bucket_of_file
+from broadsheet.plans.generations import LiveCorpus
 from broadsheet.schemas import ARTICLE, ARTICLE_COLUMNS
 from broadsheet.sources.raw_news import raw_news, table
-from broadsheet.sources.store import Store
+from broadsheet.sources.store import Store, bucket_of, bucket_of_file
 from broadsheet.streaming.ingest import StreamIndex
 
 BUCKETS = 16

@@ -4,11 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from broadsheet.operators import textsearch
+from broadsheet.operators.filters import Filters
 from broadsheet.plans import textindex
 from broadsheet.plans.corpus import Corpus
 from broadsheet.session import shared_dir
 from broadsheet.sources.raw_news import raw_news, table
-from broadsheet.sources.store import Store
+from broadsheet.sources.store import Store, bucket_of
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +64,47 @@ def test_page_lookup_prunes_buckets(built):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def files_read(df):
+    """Files that the scan of a plan without shuffles opened."""
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return leaf.metrics().get("numFiles").get().value()
+
+
+def test_a_rare_word_opens_only_its_buckets(built, spark):
+    c = Corpus.attach(spark, built.store.path)
+    head = c.postings.filter("head = 1")
+    held = head.groupBy("term").agg(F.count_distinct(bucket_of("ord", 5)).alias("b"), F.first("ord").alias("ord"))
+    rare = held.filter((F.col("b") == 1) & F.col("term").rlike("^[a-z]{4,}$")).orderBy("term").first()
+    spread = held.filter("b = 5").orderBy("term").first()["term"]
+    fields = ["title", "summary"]
+
+    def read(term):
+        buckets = textsearch.buckets_of(c, [term], fields)
+        return len(buckets), files_read(textsearch.matching_postings(c, [term], fields, buckets))
+
+    everything = files_read(textsearch.matching_postings(c, [spread], fields))
+    assert read(rare["term"]) == (1, everything / 5) and read(spread) == (5, everything)
+    assert textsearch.match_all_words(c, rare["term"]).count() >= 1
+    assert textsearch.match_all_words(c, f"{rare['term']} nowhereatall").count() == 0
+
+
+@pytest.mark.parametrize("text", ["the of", "le", "der und", "that with by"])
+@pytest.mark.parametrize("categories", [None, "Politics"])
+def test_best_buckets_hold_the_page(built, text, categories):
+    filters = Filters(categories)
+    order = [F.desc("score"), F.asc("ord")]
+    whole = textsearch.match_set(built, text, filters).orderBy(*order)
+    for k in (1, 3, 10):
+        buckets = textsearch.best_buckets(built, text, filters, k, first=1)
+        found = textsearch.match_set(built, text, filters, buckets=buckets).orderBy(*order).limit(k)
+        assert found.collect() == whole.limit(k).collect()
+
+
+def test_bounds_hold_and_leave_buckets_out(built):
+    scores = textsearch.match_set(built, "le").groupBy(bucket_of("ord", 5).alias("bucket")).agg(F.max("score").alias("top"))
+    bounds = textsearch.bounded_buckets(built, ["le"])
+    assert scores.join(bounds, "bucket").filter("top > bound + 1e-6").isEmpty()
+    assert scores.join(bounds, "bucket").count() == scores.count()
