@@ -10,9 +10,9 @@ pairs of a bucket that stand in different classes are compared too, except for t
 bound rules out. With a centre C, and R(y) the weight of what y shares with any other text but not
 with C, |x & y| <= |x & C| + R(y). In a group of copies edited at random R is about 0, so a text that
 is too far from C is too far from most others, without a look at them. The rest have to differ from C
-in the same places: they are joined on rare parts of what C has and they have not (``unlinked_pairs``),
-never all with all. Pairs within a class need no look, they can't change it. Together this gives the
-same classes as comparing all pairs that share a band by ``verified``.
+in the same places: blocks of them are compared by what C has and they have not (``unlinked_pairs``),
+and only pairs that pass the bound are made. Pairs within a class need no look, they can't change it.
+Together this gives the same classes as comparing all pairs that share a band by ``verified``.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from broadsheet.llm.common import mix, shingles, stage_table
 
 #: Rounds of stars at any centre, before the one at the text that shares most with all others.
 STARS = 1
+#: Texts of a block in the last round, and parts that a matrix of such a block has at once.
+PAIR_ROWS, PART_COLUMNS = 512, 8192
 
 
 def node_key(text: str | Column) -> Column:
@@ -302,19 +305,17 @@ def near_classes(
 
 
 def unlinked_pairs(placed: DataFrame, texts: DataFrame, threshold: float, k: int, weighted: bool) -> DataFrame:
-    """``a, b``: all pairs of different classes under one centre that may be linked, by exact bounds.
+    """``a, b``: all pairs of different classes under one centre that may be linked, by an exact bound.
 
     ``placed`` is ``key, a, b, root, total, least, shared, both, extra`` of the members b of buckets with
-    centre a, both is what they share with it. Let D(x) be what the centre C has and x has not, d its
-    weight, e the weight of x outside C, s = t / (1 + t) and R as above. A link needs
-    |x & y| >= s (|x| + |y|), and |x & y| <= |C| - |D(x) | D(y)| + min(R(x), R(y)). So D(x) and D(y) must share
+    centre a, both is what they share with it. Let D(x) be what the centre C has and x has not, d its weight
+    and R as above. As |x & y| <= |C| - d(x) - d(y) + |D(x) & D(y)| + min(R(x), R(y)), a link needs
 
-        s (|x| + |y|) - |C| + d(x) + d(y) - R  >=  (1 - s) d(x) + s e(x) - R(x) - (1 - 2s) |C|,
+        |D(x) & D(y)| >= s (|x| + |y|) - |C| + d(x) + d(y) - min(R(x), R(y)),  s = t / (1 + t).
 
-    and if y isn't linked with C, as at least one of two texts in different classes isn't, more than
-    (1 - s) d(x) + s e(x) - R(x). With the parts of every D in one order, two of them that share n parts
-    meet within the first d - n + 1 of each: an equality join on (centre, part) finds all pairs. Texts that
-    need share nothing, as R is large, are compared with all others of their centre.
+    At least one of the two isn't linked with C, as they stand in different classes. These and all members
+    of a centre are cut into blocks of ``PAIR_ROWS``; a task takes two blocks, has the overlaps of all D in
+    them as one matrix product, and returns the pairs that pass.
     """
     spark = placed.sparkSession
     s = threshold / (1 + threshold)
@@ -323,49 +324,72 @@ def unlinked_pairs(placed: DataFrame, texts: DataFrame, threshold: float, k: int
     # bucket nor than J allows; a text that shares less than that with all others has none.
     floor = s * (F.col("total") + F.greatest(F.col("least"), threshold * F.col("total")))
     rows = mixed_roots(placed.where(F.col("shared") >= floor - 1e-6)).join(middle.distinct(), "a")
-    columns = ["a", "b", "root", "total", "shared", "both", "extra", "size", "top"]
-    missing, outside = F.col("size") - F.col("both"), F.col("total") - F.col("both")
-    base = (1 - s) * missing + s * outside - F.col("extra")
-    rows = rows.select(*columns).distinct().withColumns({
-        "linked": F.col("root") == F.col("top"), "missing": missing,
-        "far": F.floor(base - 1e-6) + 1, "near": F.ceil(base - (1 - 2 * s) * F.col("size") - 1e-6),
-    })
+    rows = rows.select("a", "b", "root", "total", "shared", "both", "extra", "size", "top").distinct()
+    linked = F.col("root") == F.col("top")
     # Equal to the centre in all parts: as far from every other text as the centre is, so without a link.
-    rows = rows.where(~(F.col("linked") & (missing == 0) & (outside == 0) & (F.col("extra") == 0)))
-    rows = stage_table(spark, rows, "bounded")
-    prefix = lambda need: F.when(F.col(need) > 0, F.greatest(F.col("missing") - F.col(need) + 1, F.lit(0))).otherwise(0)
-    wanted = rows.withColumns({"far_parts": prefix("far"), "near_parts": F.when(F.col("linked"), 0).otherwise(prefix("near"))})
-    wanted = wanted.withColumn("parts", F.greatest("far_parts", "near_parts").cast("int")).where("parts > 0")
+    same = linked & (F.col("both") == F.col("size")) & (F.col("both") == F.col("total")) & (F.col("extra") == 0)
+    rows = stage_table(spark, rows.where(~same).withColumn("linked", linked).drop("top"), "bounded")
     side = {c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"}
-    read = wanted.select("a", "b", "parts").join(side["a"], "a").join(side["b"], "b")
-    parts = read.select("a", "b", "parts", "text_a", "text_b").mapInArrow(
-        missing_parts(k, weighted), "a binary, b binary, place int, part long"
+    read = rows.select("a", "b").join(side["a"], "a").join(side["b"], "b").select("a", "b", "text_a", "text_b")
+    parts = read.mapInArrow(missing_parts(k, weighted), "a binary, b binary, parts array<long>")
+    rows = stage_table(spark, parts.join(rows, ["a", "b"]), "parts")
+    blocks = rows.groupBy("a").agg(
+        F.ceil(F.count(F.when(~F.col("linked"), 1)) / PAIR_ROWS).cast("int").alias("left_blocks"),
+        F.ceil(F.count(F.lit(1)) / PAIR_ROWS).cast("int").alias("right_blocks"),
     )
-    parts = stage_table(spark, parts.join(wanted, ["a", "b"]), "parts")
-
-    kept = ("b", "root", "total", "shared", "both", "extra")
-    names = [*kept, "linked", "far", "near"]
-
-    def named(df: DataFrame, suffix: str, *keys: str) -> DataFrame:
-        return df.select(*keys, *(F.col(c).alias(f"{c}_{suffix}") for c in names))
-
-    most = F.least("shared_x", "shared_y", "total_x", "total_y", F.col("both_x") + F.col("extra_y"), F.col("both_y") + F.col("extra_x"))
-    fits = (F.col("root_x") != F.col("root_y")) & (most >= s * (F.col("total_x") + F.col("total_y")) - 1e-6)
-    alone, held = F.col("linked") == F.lit(False), F.col("linked")
-    once = F.col("b_x") < F.col("b_y")
-    far, near = parts.where(F.col("place") < F.col("far_parts")), parts.where(F.col("place") < F.col("near_parts"))
-    on = ["a", "part"]
-    found = [
-        named(far.where(alone), "x", *on).join(named(far.where(alone), "y", *on), on).where(once & fits),
-        named(near.where(alone), "x", *on).join(named(far.where(held), "y", *on), on).where(fits),
-    ]
-    loose = F.when(F.col("linked_y"), F.col("near_x") <= 0).otherwise(F.col("far_x") <= 0)
-    odd = rows.where((F.col("far") <= 0) | (~F.col("linked") & (F.col("near") <= 0)))
-    found.append(named(odd, "x", "a").join(named(rows, "y", "a"), "a").where(fits & loose & ~(F.col("linked_x") & F.col("linked_y"))))
-    pairs = found[0].select("b_x", "b_y")
-    for more in found[1:]:
-        pairs = pairs.union(more.select("b_x", "b_y"))
-    return pairs.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
+    blocks = stage_table(spark, blocks.where("left_blocks > 0"), "blocks")
+    block = lambda n: F.pmod(F.xxhash64("b"), F.col(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cut = rows.join(blocks, "a")
+    left = cut.where(~F.col("linked")).select(*rows.columns, block("left_blocks").alias("i"), copies("right_blocks").alias("j"))
+    again = [F.col(c).alias(c) for c in rows.columns]  # columns of their own, as both sides are one table
+    right = cut.select(*again, block("right_blocks").alias("j"), copies("left_blocks").alias("i"))
+    met = left.groupBy("a", "i", "j").cogroup(right.groupBy("a", "i", "j"))
+    return met.applyInArrow(possible_links(s), "a binary, b binary").distinct()
+
+
+def possible_links(s: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """``a, b``: the pairs of two blocks under one centre that the bound leaves."""
+    none = pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+
+    def columns(rows: pa.Table) -> tuple:
+        parts = rows.column("parts").combine_chunks()
+        if isinstance(parts, pa.ChunkedArray):
+            parts = pa.concat_arrays(parts.chunks)
+        number = lambda c: np.asarray(rows.column(c)).astype(np.float64)
+        return parts.flatten().to_numpy(), np.asarray(pc.list_value_length(parts)), *map(number, ("total", "shared", "both", "extra"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return none
+        (px, nx, tx, hx, bx, rx), (py, ny, ty, hy, by, ry) = columns(left), columns(right)
+        size = left.column("size")[0].as_py()
+        known, place = np.unique(np.concatenate([px, py]), return_inverse=True)
+        at_x, at_y = place[: len(px)], place[len(px) :]
+        row_x, row_y = np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)
+        shared = np.zeros((len(nx), len(ny)), dtype=np.float32)
+        for first in range(0, len(known), PART_COLUMNS):
+            dense = []
+            for at, row, n in ((at_x, row_x, len(nx)), (at_y, row_y, len(ny))):
+                here = (at >= first) & (at < first + PART_COLUMNS)
+                m = np.zeros((n, min(PART_COLUMNS, len(known) - first)), dtype=np.float32)
+                m[row[here], at[here] - first] = 1.0
+                dense.append(m)
+            shared += dense[0] @ dense[1].T
+        needed = s * (tx[:, None] + ty[None, :])
+        most = size - (size - bx)[:, None] - (size - by)[None, :] + shared + np.minimum(rx[:, None], ry[None, :])
+        most = np.minimum(most, np.minimum(hx[:, None], hy[None, :]))
+        x, y = np.nonzero(most >= needed - 1e-6)
+        nodes_x, nodes_y = left.column("b").to_pylist(), right.column("b").to_pylist()
+        roots_x, roots_y = left.column("root").to_pylist(), right.column("root").to_pylist()
+        linked = right.column("linked").to_pylist()
+        pairs = [
+            (min(nodes_x[i], nodes_y[j]), max(nodes_x[i], nodes_y[j])) for i, j in zip(x.tolist(), y.tolist())
+            if roots_x[i] != roots_y[j] and (linked[j] or nodes_x[i] < nodes_y[j])
+        ]
+        return pa.table({"a": pa.array([p for p, _ in pairs], pa.binary()), "b": pa.array([q for _, q in pairs], pa.binary())})
+
+    return run
 
 
 def mixed_roots(rows: DataFrame) -> DataFrame:
@@ -375,7 +399,7 @@ def mixed_roots(rows: DataFrame) -> DataFrame:
 
 
 def missing_parts(k: int, weighted: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``a, b, place, part``: the first ``parts`` of what ``text_a`` has and ``text_b`` has not, in order of a hash."""
+    """``a, b, parts``: what ``text_a`` has and ``text_b`` has not, by a hash of the shingle and its repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -386,9 +410,8 @@ def missing_parts(k: int, weighted: bool) -> Callable[[Iterator[pa.RecordBatch]]
                 if new:
                     picked = batch.column(f"text_{side}").take(pa.array([i for _, i in new]))
                     known.update(zip([x for x, _ in new], counted_texts(picked, k)))
-            place, part, row = [], [], []
-            wanted = batch.column("parts").to_pylist()
-            for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
+            parts = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
                 (ha, ca), (hb, cb) = known[a], known[b]
                 if not weighted:
                     ca, cb = np.ones(len(ca), np.int64), np.ones(len(cb), np.int64)
@@ -400,17 +423,12 @@ def missing_parts(k: int, weighted: bool) -> Callable[[Iterator[pa.RecordBatch]]
                 repeat = np.arange(len(owner)) - np.repeat(np.cumsum(short) - short, short)
                 with np.errstate(over="ignore"):
                     code = mix(ha[owner] + (ca[owner] - repeat).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                code = np.sort(code)[: wanted[i]]
-                part.append(code.astype(np.int64))
-                place.append(np.arange(len(code), dtype=np.int32))
-                row.append(np.full(len(code), i))
-            take = pa.array(np.concatenate(row)) if row else pa.array([], pa.int64())
+                parts.append(code.astype(np.int64))
+            ends = np.cumsum([0, *map(len, parts)])
+            flat = np.concatenate([np.zeros(0, np.int64), *parts])
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("a").take(take), batch.column("b").take(take),
-                    pa.array(np.concatenate([np.zeros(0, np.int32), *place])), pa.array(np.concatenate([np.zeros(0, np.int64), *part])),
-                ],
-                names=["a", "b", "place", "part"],
+                [batch.column("a"), batch.column("b"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+                names=["a", "b", "parts"],
             )
 
     return run
