@@ -75,8 +75,18 @@ def list_parameter(c: Column) -> Column:
     return F.when(c.isNull() | (c == "All"), none).otherwise(tag_values(c))
 
 
-def highlight(c: Column, query_tokens: Column) -> Column:
-    """Wrap every word of ``c`` that is a query token in mark tags.
+def is_near(token: Column, query_tokens: Column, distance: int = 0) -> Column:
+    """Is a token one of the query's, or, with a distance, within so many edits of one of them?"""
+    if not distance:
+        return F.array_contains(query_tokens, token)
+    return F.exists(
+        query_tokens,
+        lambda w: (F.abs(F.length(token) - F.length(w)) <= distance) & (F.levenshtein(token, w, distance) >= 0),
+    )
+
+
+def highlight(c: Column, query_tokens: Column, distance: int = 0) -> Column:
+    """Wrap every word of ``c`` that matches a query token in mark tags.
 
     The text is split into alternating runs of word and non-word characters and joined again, so
     nothing but the tags is added.
@@ -85,7 +95,7 @@ def highlight(c: Column, query_tokens: Column) -> Column:
     marked = F.transform(
         runs,
         lambda r: F.when(
-            F.array_contains(query_tokens, F.lower(r)),
+            is_near(F.lower(r), query_tokens, distance) & (F.regexp_count(r, F.lit(TOKEN)) > 0 if distance else F.lit(True)),
             F.concat(F.lit(MARK_OPEN), r, F.lit(MARK_CLOSE)),
         ).otherwise(r),
     )
@@ -98,10 +108,13 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), lambda x: body(x))[0]
 
 
-def _hits(all_words: Column, query_tokens: Column) -> Column:
-    return F.transform(
-        all_words, lambda w: F.when(F.arrays_overlap(tokens(w), query_tokens), 1).otherwise(0)
-    )
+def _hits(all_words: Column, query_tokens: Column, distance: int = 0) -> Column:
+    def hit(w: Column) -> Column:
+        if not distance:
+            return F.arrays_overlap(tokens(w), query_tokens)
+        return F.exists(tokens(w), lambda t: is_near(t, query_tokens, distance))
+
+    return F.transform(all_words, lambda w: F.when(hit(w), 1).otherwise(0))
 
 
 def _best_start(hits: Column, length: int) -> Column:
@@ -124,11 +137,11 @@ def _best_start(hits: Column, length: int) -> Column:
     return F.aggregate(starts, begin, slide, lambda acc: acc["start"])
 
 
-def snippet(c: Column, query_tokens: Column, length: int = 50) -> Column:
+def snippet(c: Column, query_tokens: Column, length: int = 50, distance: int = 0) -> Column:
     """The best window of ``length`` words; a text that is not longer comes back unchanged."""
 
     def cut(ws: Column) -> Column:
-        start = _let(_hits(ws, query_tokens), lambda hits: _best_start(hits, length))
+        start = _let(_hits(ws, query_tokens, distance), lambda hits: _best_start(hits, length))
         window = F.array_join(F.slice(ws, start + 1, length), " ")
         return F.when(F.size(ws) > length, window)
 

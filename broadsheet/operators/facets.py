@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.operators.filters import Filters, has_text
 from broadsheet.operators.skew import top_per_key
-from broadsheet.operators.textsearch import match_all_words
+from broadsheet.operators.textsearch import RESULT_COLUMNS, fetch, match_all_words
 from broadsheet.plans.corpus import Corpus
 from broadsheet.schemas import ALL, TEXT_FIELDS, UNKNOWN
 
@@ -107,16 +107,17 @@ def trending_tags(
     )
 
 
-def top_stories(corpus: Corpus, limit: int = 3) -> DataFrame:
+def newest_keys(corpus: Corpus, limit: int) -> DataFrame:
     order = (F.desc("published_ts"), F.asc("ord"))
     newest = corpus.docs.select("ord", "id", "category", "published_ts").orderBy(*order).limit(limit)
-    return newest.select(
-        F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"),
-        "id", "category", "published_ts",
-    )
+    return newest.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-def category_sections(corpus: Corpus, categories: int = 5, per_category: int = 3) -> DataFrame:
+def top_stories(corpus: Corpus, limit: int = 3) -> DataFrame:
+    return newest_keys(corpus, limit).select("rank", "id", "category", "published_ts")
+
+
+def section_keys(corpus: Corpus, categories: int, per_category: int) -> DataFrame:
     """The newest articles of the largest categories.
 
     Only ``per_category`` rows per task and category are shuffled, so a dominant category does not
@@ -130,10 +131,24 @@ def category_sections(corpus: Corpus, categories: int = 5, per_category: int = 3
     return (
         top_per_key(docs, ["category_tag"], newest, per_category)
         .join(F.broadcast(top), "category_tag")
-        .select(
-            "section", F.initcap("category_tag").alias("category"), "rank", "id", "published_ts"
-        )
+        .select("section", F.initcap("category_tag").alias("shown"), "rank", "ord", "id", "published_ts")
+    )
+
+
+def category_sections(corpus: Corpus, categories: int = 5, per_category: int = 3) -> DataFrame:
+    keys = section_keys(corpus, categories, per_category)
+    return keys.select("section", F.col("shown").alias("category"), "rank", "id", "published_ts")
+
+
+def homepage(corpus: Corpus, stories: int = 3, categories: int = 5, per_category: int = 3) -> DataFrame:
+    """The homepage as result rows: section 0 has the newest articles of all, 1 and on the largest
+    categories. ``(section, shown, rank, id)`` and the eight result fields, unmarked."""
+    top = newest_keys(corpus, stories).select(
+        F.lit(0).cast("long").alias("section"), F.lit(ALL).alias("shown"), "rank", "ord"
     )
+    keys = section_keys(corpus, categories, per_category).select("section", "shown", "rank", "ord")
+    rows = fetch(corpus, top.unionByName(keys), RESULT_COLUMNS, stories + categories * per_category)
+    return rows.select("section", "shown", "rank", "id", *RESULT_COLUMNS)
 
 
 def index_stats(corpus: Corpus) -> DataFrame:

@@ -271,15 +271,16 @@ def search(
     page = page_of(matches, order_columns(sort), offset, limit).select("ord", "rank", "score")
     found = fetch(corpus, page, RESULT_COLUMNS, limit)
     if highlight and has_text(text):
-        found = present(found, literal_tokens(corpus.spark, text))
+        found = present(found, literal_tokens(corpus.spark, text), FUZZY_DISTANCE if fuzzy else 0)
     return found.select("rank", "id", "score", *RESULT_COLUMNS)
 
 
-def present(results: DataFrame, terms: list[str]) -> DataFrame:
-    """Mark query words in titles and cut summaries to their best window."""
-    query = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
-    return results.withColumn("title", highlight_words(F.col("title"), query)).withColumn(
-        "summary", snippet(F.col("summary"), query)
+def present(results: DataFrame, terms: list[str] | Column, distance: int = 0) -> DataFrame:
+    """Mark query words in titles, or for a fuzzy search all words that match one, and cut summaries to
+    their best window. ``terms`` may be a column, where rows belong to different requests."""
+    query = terms if isinstance(terms, Column) else F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+    return results.withColumn("title", highlight_words(F.col("title"), query, distance)).withColumn(
+        "summary", snippet(F.col("summary"), query, distance=distance)
     )
 
 

@@ -376,6 +376,12 @@ def homepage_sections(spark, sf_dir):
     return facets.category_sections(corpus(spark, sf_dir))
 
 
+@query
+def homepage(spark, sf_dir):
+    """Top stories and sections as whole result rows."""
+    return facets.homepage(corpus(spark, sf_dir))
+
+
 # --- vector and hybrid -------------------------------------------------------------------------
 
 
@@ -508,6 +514,19 @@ def workload_phrases(spark, sf_dir):
     return workload.search_all(corpus(spark, sf_dir), phrase_log(spark, sf_dir))
 
 
+@query
+def workload_pages(spark, sf_dir):
+    """The result pages of the phrases with all display fields; every second request is fuzzy."""
+    log = phrase_log(spark, sf_dir).withColumn("fuzzy", F.col("query_id") % 2 == 1)
+    return workload.search_pages(corpus(spark, sf_dir), log)
+
+
+@query
+def workload_facets(spark, sf_dir):
+    """Counts per category under every word of every user turn; words of one letter restrict nothing."""
+    return workload.category_counts_all(corpus(spark, sf_dir), phrase_log(spark, sf_dir, 1))
+
+
 @query
 def workload_fuzzy(spark, sf_dir):
     """Every user turn, searched with spelling tolerance."""

@@ -164,6 +164,10 @@ SELECT * EXCLUDE (query_id, text, ws, i), query_id * 1000000 + i AS query_id,
 FROM (SELECT *, unnest(range(greatest(1, (len(ws) + 2) // 3))) AS i
   FROM (SELECT *, regexp_extract_all(text, {RUN}) AS ws FROM log))""")
 cte("parsed_phrases", "phrases", parsed("phrases"))
+cte("single_words", "log", f"""
+SELECT * EXCLUDE (query_id, text, ws, i), query_id * 1000000 + i AS query_id, coalesce(ws[i + 1], '') AS text
+FROM (SELECT *, unnest(range(greatest(1, len(ws)))) AS i FROM (SELECT *, regexp_extract_all(text, {RUN}) AS ws FROM log))""")
+cte("parsed_words", "single_words", parsed("single_words"))
 
 cte("log_vectors", "parsed", """
 SELECT l.* EXCLUDE (query_id, place), l.query_id * 1000000 + e.vec_id AS query_id, e.embedding::DOUBLE[] AS v
@@ -296,21 +300,45 @@ SELECT query_id,
 
 # --- text search -------------------------------------------------------------------------------
 
+def plain(x: str) -> str:
+    """The letters outside ASCII that occur in these texts, one byte each: tokens are lower case, so
+    capitals are free, and the byte-wise edit distance becomes the distance in characters."""
+    return f"translate({x}, 'ßäçèéêíñóöü', 'ABCDEFGHIJK')"
+
+
 MARKS = (
     r"array_to_string(list_transform(regexp_extract_all({x}, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+'), "
     "lambda r: CASE WHEN list_contains({q}, lower(r)) THEN '<mark>' || r || '</mark>' ELSE r END), '')"
 )
 
 
-def marked(x: str, words: list[str]) -> str:
-    return MARKS.format(x=x, q="[" + ", ".join(f"'{w}'" for w in words) + "]")
+def word_list(words: list[str] | str) -> str:
+    """A list of words, or the name of a column that holds one."""
+    return words if isinstance(words, str) else "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
 
+def is_near(t: str, q: str) -> str:
+    """Whether a token is within two edits of a word of a list, and is a word at all."""
+    return (
+        f"(regexp_matches({t}, {TOK}) AND len(list_filter({q}, lambda y: abs(length(y) - length({t})) <= 2 "
+        f"AND levenshtein({plain('y')}, {plain(t)}) <= 2)) > 0)"
+    )
+
+
+def marked(x: str, words: list[str] | str, fuzzy: bool = False) -> str:
+    if fuzzy:
+        runs = f"regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+')"
+        test = is_near("lower(r)", word_list(words))
+        return f"array_to_string(list_transform({runs}, lambda r: CASE WHEN {test} THEN '<mark>' || r || '</mark>' ELSE r END), '')"
+    return MARKS.format(x=x, q=word_list(words))
 
-def cut_to_window(x: str, words: list[str], length: int = 50) -> str:
+
+def cut_to_window(x: str, words: list[str] | str, fuzzy: bool = False, length: int = 50) -> str:
     """The window of ``length`` words of ``x`` with the most of ``words``, the first on ties."""
-    q = "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    q = word_list(words)
     ws = f"regexp_extract_all({x}, {RUN})"
-    hits = f"list_transform({ws}, lambda w: CASE WHEN list_has_any({tokens('w')}, {q}) THEN 1 ELSE 0 END)"
+    hit = f"len(list_filter({tokens('w')}, lambda t: {is_near('t', q)})) > 0" if fuzzy else f"list_has_any({tokens('w')}, {q})"
+    hits = f"list_transform({ws}, lambda w: CASE WHEN {hit} THEN 1 ELSE 0 END)"
     windows = (
         f"list_transform(range(1, len({ws}) - {length - 2}), "
         f"lambda i: [-list_sum({hits}[i:i + {length - 1}]), i])"
@@ -339,9 +367,9 @@ def fuzzy(words: list[str]) -> str:
 
 
 def search(scored: str, words: list[str], where: str = "true", order: str = "score DESC",
-           offset: int = 0, limit: int = 10) -> str:
-    title = marked("a.title", words) if words else "a.title"
-    summary = cut_to_window("a.summary", words) if words else "a.summary"
+           offset: int = 0, limit: int = 10, fuzzy: bool = False) -> str:
+    title = marked("a.title", words, fuzzy) if words else "a.title"
+    summary = cut_to_window("a.summary", words, fuzzy) if words else "a.summary"
     return f"""
 , scored AS ({scored}), matches AS (
   SELECT s.ord, s.score, row_number() OVER (ORDER BY {order}, d.id) AS rank
@@ -367,7 +395,7 @@ oracle("search_date_asc", NEEDS, search(exact(DER_UND), DER_UND, order="d.publis
 oracle("search_paged", NEEDS, search(exact(THE_OF), THE_OF, offset=20, limit=15))
 oracle("search_all_recent", "docs articles",
        search("SELECT ord, 0.0::DOUBLE AS score FROM docs", [], order="d.published_ts DESC"))
-oracle("fuzzy_search", NEEDS, search(fuzzy(["thing", "onthe"]), ["thing", "onthe"]))
+oracle("fuzzy_search", NEEDS, search(fuzzy(["thing", "onthe"]), ["thing", "onthe"], fuzzy=True))
 REVISED = """
 SELECT * REPLACE (CASE category WHEN 'World' THEN 'Revised edition 2 of the World'
   WHEN 'Sports' THEN 'Revised edition 1 of the Sports' ELSE title END AS title) FROM stored_articles"""
@@ -446,6 +474,16 @@ oracle("trending_tags_first50", "docs", TREND.format(ranked(
 oracle("homepage_top_stories", "docs", """
 SELECT row_number() OVER (ORDER BY published_ts DESC, id) AS rank, id, category, published_ts
 FROM docs ORDER BY published_ts DESC, id LIMIT 3""")
+oracle("homepage", "docs articles", f"""
+, top AS ({ranked(BY_CATEGORY, 5)}), newest AS (
+  SELECT d.ord, d.category_tag, row_number() OVER (PARTITION BY d.category_tag ORDER BY d.published_ts DESC, d.id) AS rank
+  FROM docs d), keys AS (
+  SELECT 0::BIGINT AS section, 'All' AS shown, row_number() OVER (ORDER BY published_ts DESC, id) AS rank, ord FROM docs
+  QUALIFY rank <= 3
+  UNION ALL SELECT t.rank, {TITLED.format('t.name')}, n.rank, n.ord FROM newest n JOIN top t ON t.name = n.category_tag
+  WHERE n.rank <= 3)
+SELECT k.section, k.shown, k.rank, a.id, a.title, a.summary, a.content, a.author, a.category, a.published_at, a.source,
+  a.word_count FROM keys k JOIN articles a ON a.ord = k.ord""")
 oracle("homepage_sections", "docs", f"""
 , top AS ({ranked(BY_CATEGORY, 5)}), newest AS (
   SELECT *, row_number() OVER (PARTITION BY category_tag ORDER BY published_ts DESC, id) AS r FROM docs)
@@ -655,12 +693,6 @@ oracle("workload_phrases", "parsed_phrases parts docs",
        WORKLOAD.format(parsed="parsed_phrases") + PAGED.format(parsed="parsed_phrases"))
 
 
-def plain(x: str) -> str:
-    """The letters outside ASCII that occur in these texts, one byte each: tokens are lower case, so
-    capitals are free, and the byte-wise edit distance becomes the distance in characters."""
-    return f"translate({x}, 'ßäçèéêíñóöü', 'ABCDEFGHIJK')"
-
-
 oracle("workload_fuzzy", "parsed head_df parts docs", f"""
 , asked AS (SELECT * FROM parsed),
 needed AS (SELECT query_id, unnest(terms) AS word, len(terms) AS n FROM asked WHERE has_text),
@@ -675,6 +707,42 @@ scored AS (SELECT query_id, ord, round(sum(best), 6) AS score FROM (
   UNION ALL SELECT q.query_id, d.ord, 0.0::DOUBLE FROM asked q, docs d WHERE NOT q.has_text)
 """ + PAGED.format(parsed="asked"))
 
+def shown_page(part: str, fuzzy: bool) -> str:
+    return f"""
+SELECT p.query_id, p.rank, p.id, p.score, {marked('a.title', 'q.terms', fuzzy)} AS title,
+  {cut_to_window('a.summary', 'q.terms', fuzzy)} AS summary, a.content, a.author, a.category, a.published_at, a.source,
+  a.word_count FROM {part} p JOIN parsed_phrases q ON q.query_id = p.query_id JOIN articles a ON a.id = p.id
+WHERE {'' if fuzzy else 'NOT '}(p.query_id % 2 = 1)"""
+
+
+NEAR_SCORED = f"""
+, needed AS (SELECT query_id, unnest(terms) AS word, len(terms) AS n FROM parsed_phrases WHERE has_text AND query_id % 2 = 1),
+close AS (SELECT w.word, t.term FROM (SELECT DISTINCT word FROM needed) w JOIN head_df t
+  ON abs(length(w.word) - length(t.term)) <= 2 AND levenshtein({plain('w.word')}, {plain('t.term')}) <= 2),
+exact_terms AS (SELECT query_id, unnest(terms) AS term, len(terms) AS n FROM parsed_phrases
+  WHERE has_text AND query_id % 2 = 0),
+scored AS (SELECT query_id, ord, round(sum(best), 6) AS score FROM (
+    SELECT n.query_id, n.word, any_value(n.n) AS n, p.ord, max(p.part) AS best
+    FROM needed n JOIN close c ON c.word = n.word JOIN parts p ON p.term = c.term
+    GROUP BY n.query_id, n.word, p.ord) GROUP BY query_id, ord HAVING count(*) = any_value(n)
+  UNION ALL SELECT t.query_id, p.ord, round(sum(p.part), 6) FROM exact_terms t JOIN parts p ON p.term = t.term
+  GROUP BY t.query_id, p.ord HAVING count(*) = any_value(t.n)
+  UNION ALL SELECT q.query_id, d.ord, 0.0::DOUBLE FROM parsed_phrases q, docs d WHERE NOT q.has_text)"""
+oracle("workload_pages", "parsed_phrases head_df parts docs articles", NEAR_SCORED + PAGED.format(parsed="parsed_phrases").replace(
+    "SELECT query_id, rank, id, score FROM ranked", ", shown AS (SELECT query_id, rank, id, score FROM ranked") + ")"
+    + shown_page("shown", False) + " UNION ALL " + shown_page("shown", True))
+oracle("workload_facets", "parsed_words postings docs", """
+, held AS (SELECT DISTINCT term, ord FROM postings),
+matches AS (SELECT q.query_id, h.ord FROM (SELECT query_id, unnest(terms) AS term, len(terms) AS n FROM parsed_words
+    WHERE has_text) q JOIN held h ON h.term = q.term GROUP BY q.query_id, h.ord HAVING count(*) = any_value(q.n)),
+found AS (SELECT q.query_id, d.category_tag, count(*) AS n FROM matches m JOIN parsed_words q ON q.query_id = m.query_id
+  JOIN docs d ON d.ord = m.ord WHERE len(q.source_list) = 0 OR list_has_any(q.source_list, d.source_tags) GROUP BY ALL
+  UNION ALL SELECT q.query_id, d.category_tag, count(*) FROM parsed_words q JOIN docs d
+    ON len(q.source_list) = 0 OR list_has_any(q.source_list, d.source_tags) WHERE NOT q.has_text GROUP BY ALL)
+SELECT q.query_id, """ + TITLED.format("c.name") + """ AS name, coalesce(f.n, 0)::BIGINT AS n
+FROM parsed_words q CROSS JOIN (SELECT DISTINCT category_tag AS name FROM docs) c
+LEFT JOIN found f ON f.query_id = q.query_id AND f.category_tag = c.name""")
+
 ALLOWED = """(len(q.category_list) = 0 OR list_contains(q.category_list, d.category_tag))
   AND (len(q.source_list) = 0 OR list_has_any(q.source_list, d.source_tags))"""
 VECTOR_RANKS = f"""
