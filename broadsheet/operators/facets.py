@@ -13,6 +13,7 @@ from broadsheet.operators.filters import Filters, has_text
 from broadsheet.operators.skew import top_per_key
 from broadsheet.operators.textsearch import RESULT_COLUMNS, fetch, match_all_words
 from broadsheet.plans.corpus import Corpus
+from broadsheet.plans.textindex import SKETCH_ERROR
 from broadsheet.schemas import ALL, TEXT_FIELDS, UNKNOWN
 
 HIDDEN_CATEGORY = "other"
@@ -151,6 +152,28 @@ def homepage(corpus: Corpus, stories: int = 3, categories: int = 5, per_category
     return rows.select("section", "shown", "rank", "id", *RESULT_COLUMNS)
 
 
+def distinct_terms(corpus: Corpus) -> DataFrame:
+    """``(name, num_terms, within_bound)`` per category, and for all of them under ``All``.
+
+    ``num_terms`` is exact, at the price of a shuffle of all terms. Beside it stands the estimate, merged
+    from a sketch of fixed size per category; ``within_bound`` tells whether it is off by no more than three
+    standard errors.
+    """
+    rows = corpus.postings.select("ord", "term").join(corpus.docs.select("ord", "category_tag"), "ord")
+    pairs = rows.select("category_tag", "term").distinct()
+    exact = pairs.groupBy(F.col("category_tag").alias("name")).agg(F.count(F.lit(1)).alias("num_terms"))
+    exact = exact.unionByName(
+        corpus.term_stats.agg(F.count_distinct("term").alias("num_terms")).select(F.lit(ALL).alias("name"), "num_terms")
+    )
+    each = corpus.sketches.select(F.col("category_tag").alias("name"), F.hll_sketch_estimate("sketch").alias("estimate"))
+    merged = corpus.sketches.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+    estimates = each.unionByName(merged.select(F.lit(ALL).alias("name"), "estimate"))
+    error = F.abs(F.col("estimate") - F.col("num_terms"))
+    bound = F.greatest(SKETCH_ERROR * F.col("num_terms"), F.lit(1.0))
+    # Ten categories at most.
+    return exact.join(F.broadcast(estimates), "name").select("name", "num_terms", (error <= bound).alias("within_bound"))
+
+
 def index_stats(corpus: Corpus) -> DataFrame:
     """Articles, distinct terms and postings (one per term, field and article)."""
     stats = corpus.term_stats

@@ -20,6 +20,8 @@ if TYPE_CHECKING:
 
 MIN_PREFIX = 2
 LIMIT = 7
+#: Characters of the deepest nodes of the completion trie.
+TRIE_CHARS = 24
 TOPIC_CHARS = 40
 SPARSE = 3
 SPELL_DISTANCE = 1
@@ -44,30 +46,50 @@ def suggestion_type(c: Column) -> Column:
     return F.when(F.length(c) > TOPIC_CHARS, "article").otherwise("topic")
 
 
+def completions(suggestions: DataFrame, limit: int = LIMIT, depth: int = TRIE_CHARS) -> DataFrame:
+    """``(key, position, suggestion)``: a trie as a table, with the best ``limit`` entries of every node.
+
+    A node is the lower-case beginning of a suggestion, of ``MIN_PREFIX`` to ``depth`` characters. Built once
+    per dictionary, from rows bounded by its size times ``depth``; a prefix is then a lookup.
+    """
+    low = F.lower(F.col("suggestion"))
+    lengths = F.sequence(F.lit(MIN_PREFIX), F.least(F.length(low), F.lit(depth)))
+    nodes = suggestions.filter(F.length(low) >= MIN_PREFIX).select(
+        "suggestion", "score", F.explode(F.transform(lengths, lambda n: F.substr(low, F.lit(1), n))).alias("key")
+    )
+    best = top_per_key(nodes, ["key"], [F.desc("score"), F.asc("suggestion")], limit, rank="position")
+    return best.select("key", "position", "suggestion")
+
+
+def deep_completions(suggestions: DataFrame, keys: DataFrame, limit: int, depth: int, max_bytes=None) -> DataFrame:
+    """The same rows for ``keys`` longer than the trie is deep: suggestions meet them in the node of their
+    first ``depth`` characters and are compared from there."""
+    low = F.lower(F.col("suggestion"))
+    held = suggestions.filter(F.length(low) > depth).select("suggestion", "score", F.substring(low, 1, depth).alias("node"))
+    wanted = keys.select("key", F.substring("key", 1, depth).alias("node"))
+    met = sized_join(held, wanted, ["node"], max_bytes=max_bytes).filter(F.startswith(low, F.col("key")))
+    best = top_per_key(met, ["key"], [F.desc("score"), F.asc("suggestion")], limit, rank="position")
+    return best.select("key", "position", "suggestion")
+
+
 def complete_each(
-    suggestions: DataFrame, prefixes: DataFrame, limit: int = LIMIT, max_bytes: int | None = None
+    suggestions: DataFrame, prefixes: DataFrame, limit: int = LIMIT, max_bytes: int | None = None,
+    trie: DataFrame | None = None, depth: int = TRIE_CHARS,
 ) -> DataFrame:
     """``(query_id, rank, suggestion, type)`` for a table ``(query_id, prefix)``.
 
     The best ``limit`` are taken first and repeats by letter case dropped after that, so fewer may
-    come back. Entries are keyed by their leading characters for each prefix length that is asked
-    for, so the join is an equality; a prefix has no candidates but its own matches.
+    come back. Prefixes are looked up in ``trie``, as ``completions`` makes it for ``limit`` and ``depth``,
+    which is built here where none is given; longer ones are searched below their last node.
     """
     wanted = prefixes.filter(F.length("prefix") >= MIN_PREFIX).select(
         "query_id", F.lower("prefix").alias("key")
     )
     distinct = wanted.select("key").distinct()
-    lengths = sorted(
-        r["n"] for r in distinct.select(F.length("key").alias("n")).distinct().collect()
-    )
-    low = F.lower(F.col("suggestion"))
-    keys = F.array_distinct(F.array(*[F.substring(low, 1, n) for n in lengths]))
-    keyed = suggestions.select(
-        "suggestion", "score", F.explode(keys.cast("array<string>")).alias("key")
-    )
-    top = top_per_key(
-        sized_join(keyed, distinct, ["key"], max_bytes=max_bytes),
-        ["key"], [F.desc("score"), F.asc("suggestion")], limit, rank="position",
+    trie = completions(suggestions, limit, depth) if trie is None else trie
+    in_trie = F.length("key") <= depth
+    top = sized_join(trie, distinct.filter(in_trie), ["key"], max_bytes=max_bytes).unionByName(
+        deep_completions(suggestions, distinct.filter(~in_trie), limit, depth, max_bytes)
     )
     first = Window.partitionBy("key", F.lower("suggestion")).orderBy("position")
     again = Window.partitionBy("key").orderBy("position")
@@ -236,7 +258,7 @@ def complete_with_spelling(
     suggestions are found and it is not one of them."""
     typed = queries.select("query_id", F.col("text").alias("prefix"))
     found = (
-        complete_each(corpus.suggestions, typed, limit)
+        complete_each(corpus.suggestions, typed, limit, trie=corpus.completions if limit == LIMIT else None)
         .groupBy("query_id")
         .agg(
             F.count(F.lit(1)).alias("n"),

@@ -25,7 +25,7 @@ BUCKETED = {
     "postings": (("term",), ("head",)),
     "vectors": (("ord",), ()),
 }
-TABLES = [*BUCKETED, "term_stats", "term_blocks", "suggestions"]
+TABLES = [*BUCKETED, "term_stats", "term_blocks", "suggestions", "completions"]
 LAYOUT = "name string, columns string, buckets int"
 
 _open: dict[tuple[str, str], "Corpus"] = {}
@@ -126,6 +126,13 @@ class Corpus:
         blocks = textindex.term_blocks(self.postings, self.buckets, self.average_length(SEARCH_FIELDS))
         return self.store.write("term_blocks", blocks.repartitionByRange("term").sortWithinPartitions("term"))
 
+    @built
+    def sketches(self) -> DataFrame:
+        """``(category_tag, sketch)``: the distinct terms of a category as a sketch that merges with others."""
+        rows = self.postings.select("ord", "term").join(self.docs.select("ord", "category_tag"), "ord")
+        sketch = F.hll_sketch_agg("term", F.lit(textindex.SKETCH_BITS)).alias("sketch")
+        return self.store.write("sketches", rows.groupBy("category_tag").agg(sketch))
+
     @built
     def totals(self) -> dict[str, int]:
         """Article count and field lengths: one row, read to the driver once."""
@@ -145,6 +152,12 @@ class Corpus:
     def suggestions(self) -> DataFrame:
         return self.store.write("suggestions", suggest.dictionary(self.articles))
 
+    @built
+    def completions(self) -> DataFrame:
+        """The completion trie, sorted by key, so that a lookup skips the row groups of other keys."""
+        nodes = suggest.completions(self.suggestions)
+        return self.store.write("completions", nodes.repartitionByRange("key").sortWithinPartitions("key"))
+
     def save_layout(self) -> None:
         """Build every table and note how they are laid out, so that another session can attach."""
         tables = {name: getattr(self, name) for name in TABLES if name != "vectors" or self.has_vectors}

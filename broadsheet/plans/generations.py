@@ -158,6 +158,10 @@ class LiveCorpus(Corpus):
     def suggestions(self) -> DataFrame:
         return self._counted("suggestions")
 
+    @property
+    def completions(self) -> DataFrame:
+        return suggest.completions(self.suggestions)
+
     @property
     def totals(self) -> dict[str, int]:
         if "totals" not in self._tables:

@@ -159,6 +159,12 @@ def index_stats(spark, sf_dir):
     return facets.index_stats(corpus(spark, sf_dir))
 
 
+@query
+def index_sketches(spark, sf_dir):
+    """Distinct terms per category and over all: exact, and whether the merged sketches' estimate holds its bound."""
+    return facets.distinct_terms(corpus(spark, sf_dir))
+
+
 @query
 def get_articles(spark, sf_dir):
     """One lookup per vector id, with and without the key prefix; some ids do not exist."""
@@ -462,7 +468,8 @@ def suggestion_dictionary(spark, sf_dir):
 @query
 def autocomplete(spark, sf_dir):
     typed = typed_words(spark, sf_dir).withColumnRenamed("text", "prefix")
-    return suggest.complete_each(corpus(spark, sf_dir).suggestions, typed)
+    c = corpus(spark, sf_dir)
+    return suggest.complete_each(c.suggestions, typed, trie=c.completions)
 
 
 @query

@@ -24,6 +24,10 @@ from broadsheet.functions.text import tokens
 from broadsheet.schemas import FIELD_BITS, SEARCH_FIELDS, TEXT_FIELDS
 from broadsheet.sources.store import bucket_of
 
+#: Sketches of distinct terms have 2^12 registers: a standard error of 1.04 / 2^6, about 1.6 %.
+SKETCH_BITS = 12
+SKETCH_ERROR = 3 * 1.04 / 2 ** (SKETCH_BITS / 2)
+
 
 def _tagged(field: str, bit: int) -> Column:
     return F.transform(F.col(field), lambda t: F.struct(t.alias("term"), F.lit(bit).alias("bit")))

@@ -243,6 +243,10 @@ oracle("index_terms", "head_df", "SELECT term, df FROM head_df")
 oracle("index_stats", "postings articles", """
 SELECT (SELECT count(*) FROM articles) AS num_docs, count(DISTINCT term) AS num_terms,
   count(*) AS num_postings FROM postings""")
+oracle("index_sketches", "postings docs", """
+, held AS (SELECT DISTINCT d.category_tag, p.term FROM postings p JOIN docs d ON d.ord = p.ord)
+SELECT category_tag AS name, count(*) AS num_terms, true AS within_bound FROM held GROUP BY 1
+UNION ALL SELECT 'All', count(DISTINCT term), true FROM held""")
 oracle("get_articles", "articles", """
 , ids AS (SELECT printf('nw_%07d', vec_id * 3 + 1) AS id, vec_id % 2 = 0 AS prefixed FROM embeddings)
 SELECT CASE WHEN prefixed THEN 'article:' || i.id ELSE i.id END AS requested,

@@ -429,6 +429,66 @@ def test_edit_distance_join(spark, d, max_bytes):
     assert len(got) == len(want) and {(r["word"], r["term"]) for r in got} == want
 
 
+@pytest.mark.parametrize("depth", [2, 3, 24])
+def test_completions_of_any_depth(spark, depth):
+    rows = [(f"{a}{b}{c_}" * n, (i * 7) % 5 + n) for i, (a, b, c_) in enumerate("abc bac Abd aBc zz- éaé".replace("-", "y").split()) for n in (1, 2, 12)]
+    dictionary = spark.createDataFrame([(s, int(n)) for s, n in dict(rows).items()], "suggestion string, score long")
+    typed = sorted({s[:n] for s, _ in rows for n in range(1, len(s) + 1)} | {"zq", "abcq"})
+    log = spark.createDataFrame(list(enumerate(typed)), "query_id long, prefix string")
+    got = {}
+    for r in suggest.complete_each(dictionary, log, 3, depth=depth).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.suggestion))
+    for i, prefix in enumerate(typed):
+        best = sorted(((-n, s) for s, n in dict(rows).items() if s.lower().startswith(prefix.lower())))[:3] if len(prefix) > 1 else []
+        seen, want = set(), []
+        for _, s in best:
+            if s.lower() not in seen:
+                seen.add(s.lower())
+                want.append((len(want) + 1, s))
+        assert sorted(got.get(i, [])) == want
+
+
+def test_a_deep_page_leaves_short_ones_as_they_are(c, spark):
+    """Requests of one depth class keep as many rows before the shuffle, whatever others ask for."""
+    short = [(i, w, "All", "All", "relevance", False, 0, 10) for i, w in enumerate(("the", "le", "der"))]
+    deep = [(9, "the", "All", "All", "relevance", False, 5000, 10), (10, "of", "All", "All", "relevance", False, 20, 15)]
+    schema = "query_id long, text string, categories string, sources string, sort string, fuzzy boolean, offset int, limit int"
+    both = workload.search_all(c, spark.createDataFrame(short + deep, schema))
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    limits = sorted({int(n) for n in re.findall(r"<= (\d+)\)", plan)})
+    assert 10 in limits and 35 in limits and 5010 in limits
+    got = {(r.query_id, r.rank, r.id, r.score) for r in both.collect()}
+    alone = {(r.query_id, r.rank, r.id, r.score) for r in workload.search_all(c, spark.createDataFrame(short, schema)).collect()}
+    assert alone == {r for r in got if r[0] < 9}
+    one = textsearch.search(c, "of", offset=20, limit=15).collect()
+    assert {(r["rank"], r["id"], r["score"]) for r in one} == {r[1:] for r in got if r[0] == 10}
+
+
+def test_bulk_pages_equal_single_pages(c, spark):
+    schema = "query_id long, text string, categories string, sources string, sort string, fuzzy boolean, offset int, limit int"
+    rows = [
+        (1, "the of", "All", "All", "relevance", False, 0, 5), (2, "thing", "All", "All", "relevance", True, 0, 5),
+        (3, "", "Politics", "All", "date_desc", False, 0, 4), (4, "The OF", "All", "All", "relevance", False, 0, 5),
+    ]
+    got = workload.search_pages(c, spark.createDataFrame(rows, schema)).collect()
+    for query_id, text, categories, sources, sort, fuzzy, offset, limit in rows:
+        one = textsearch.search(c, text, categories, sources, fuzzy=fuzzy, sort=sort, offset=offset, limit=limit)
+        want = sorted(tuple(r) for r in one.collect())
+        assert sorted(tuple(r)[1:] for r in got if r.query_id == query_id) == want
+    assert any("<mark>" in r.title for r in got if r.query_id == 2)
+
+
+def test_bulk_facets_equal_single_counts(c, spark):
+    schema = "query_id long, text string, categories string, sources string, sort string, fuzzy boolean, offset int, limit int"
+    rows = [(i, t, "Politics", s, "date_desc", False, 5, 5) for i, (t, s) in enumerate([
+        ("the of", "All"), ("that with by", "VICE,Wired, Unknown"), ("", "VICE,Unknown"), ("x", "All"), ("nosuchword", "All"), ("--", "All"), ("the of", "All"),
+    ])]
+    got = workload.category_counts_all(c, spark.createDataFrame(rows, schema)).collect()
+    for query_id, text, _, sources, *_ in rows:
+        want = {tuple(r) for r in facets.category_counts(c, text, sources).collect()}
+        assert {(r.name, r.n) for r in got if r.query_id == query_id} == want
+
+
 def test_autocomplete(c, spark):
     dictionary = spark.createDataFrame(
         [("Tech", 9), ("tech", 8), ("Technology", 7), ("Tea", 6), ("x" * 40, 3), ("x" * 41, 2)],
