@@ -11,7 +11,9 @@ with high probability; a text with an empty component is done again with a later
 no point, so the signature doesn't depend on the bound.
 
 Null texts count as empty. Equal texts are one class, texts without words too if they are equal.
-Texts of fewer than ``k`` words are one shingle.
+Texts of fewer than ``k`` words are one shingle. Repeated rows and equal ids stay rows of their own, in one
+class where their texts are linked; very long texts are read whole, in pieces; an empty table gives no row;
+all columns pass in ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations

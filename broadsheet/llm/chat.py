@@ -9,6 +9,10 @@ A path is written as ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn. Inside r
 kept from being read as control: between ``<`` and ``|`` one backslash is added to those that stand
 there (also if none does), and reading takes one away. In roles a line break is written ``\\n`` and a
 backslash twice. The loss mask is a list of spans of the written string: the texts of assistant turns.
+
+Null texts and roles count as empty; rows of one turn stand in order of role and text; very long texts are
+kept whole; a conversation is one row of the output, so it is put together in one task; an empty table gives
+no row; other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ equal places estimates the Jaccard similarity of two shingle sets. ``near_duplic
 into bands, joins texts that agree in a band, and verifies the exact Jaccard similarity.
 
 Null counts as empty. Texts without words have the fingerprint of the empty set, all of them the same;
-texts of fewer than ``K`` words have one shingle, all their words.
+texts of fewer than ``K`` words have one shingle, all their words. Repeated rows and ties of ids follow one
+another in order of their text; rows with a null id come last; very long texts are read whole, in pieces; an
+empty table gives no row; other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations

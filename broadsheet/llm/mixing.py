@@ -12,7 +12,7 @@ narrowing an interval of finish times over sums per sub-interval; only a few tho
 sorted together. Rows equal in id and text have one place in the order and are taken or left together.
 
 A null text has size 0; readings without words change nothing and are not taken. Null is a source of
-its own, the last one. All functions here are built-in expressions.
+its own, the last one. An empty table gives no row; columns of any name pass. All functions here are built-in expressions.
 """
 
 from __future__ import annotations

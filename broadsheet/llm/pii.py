@@ -22,7 +22,8 @@ entities, a surrogate grows by a character a round after some rounds. The one th
 those of one round the one with the smaller normal form, keeps its surrogate.
 
 Null texts stay null and empty ones empty. Equal texts are treated once and stay equal. Documents
-without an entity pass unchanged. Rows may repeat; all columns pass.
+without an entity pass unchanged. Rows may repeat; very long texts are read whole; an empty table gives no
+row; all columns pass, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ summed over the factors. It is trained by AdaGrad on the logistic loss, on a bou
 many documents of either label. Labels, language, source and id are no inputs.
 
 Null texts count as empty, a null ``n_chars`` as the length of the text. Empty texts have all
-statistics 0 and get the score that the machine gives to that.
+statistics 0 and get the score that the machine gives to that. Repeated rows are scored alike and stay;
+very long texts are read whole; an empty table gives no row; without labels of both kinds every score is
+the machine's start. Columns other than id, text and ``n_chars`` aren't read, whatever their names.
 """
 
 from __future__ import annotations

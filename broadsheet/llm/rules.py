@@ -5,8 +5,9 @@ the text is read once, row by row, without shuffle or user function. Values that
 share are bound by a one-element ``transform``, as an expression named twice would be computed twice,
 and one used inside a lambda for every element.
 
-A null text counts as empty: it has no words and fails the base rule. Repeated rows are judged alike;
-other columns are not read.
+A null text counts as empty: it has no words and fails the base rule. Repeated rows are judged alike
+and stay; very long texts are read whole; an empty table gives no row; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ weight per three characters. Scoring a unit is then a sum over its subsequences:
 comparing it with all landmarks.
 
 Null, empty and wordless texts score as the clean end: they have no sentence. Repeated rows are scored
-alike; extra columns are not read.
+alike; very long texts are read whole; an empty table gives no row; extra columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations

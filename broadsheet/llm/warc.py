@@ -7,8 +7,10 @@ by its offset range, building a level is one aggregation over groups bounded by
 never over a file. The audit compares the roots of files, goes down only where nodes differ or one is
 missing, and compares records in the lowest differing ranges alone.
 
-Rows equal in place and digest count once.
-Null contents have a null digest: in a replica such a record is ``missing``.
+Rows equal in place and digest count once, so repeated pages are one record; equal ids are told apart by URL
+and digest. Null URLs and contents count as empty, and a page of empty content is a record like others; very
+long contents are hashed in place. A record that one replica lacks is ``missing``. An empty table has no
+record, and no root differs. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -132,13 +134,13 @@ def fixity(pages: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = rf"""
-WITH p AS (SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS h, substr(md5(coalesce(url, '')), 1, 2) AS mark, url FROM pages),
+WITH p AS (SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS h, substr(md5(coalesce(url, '')), 1, 2) AS mark, url, html FROM pages),
 r AS (SELECT DISTINCT page_id, url, mark,
              strlen('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || u
                     || chr(13) || chr(10) || 'Content-Length: ' || strlen(h) || repeat(chr(13) || chr(10), 2) || h || repeat(chr(13) || chr(10), 2)) AS length,
              sha256('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || u
                     || chr(13) || chr(10) || 'Content-Length: ' || strlen(h) || repeat(chr(13) || chr(10), 2) || h || repeat(chr(13) || chr(10), 2)) AS digest,
-             (mark = '00' AND h <> '' AND substr(h, 1, 1) <> '?') AS changed FROM p),
+             (mark = '00' AND html IS NOT NULL AND substr(h, 1, 1) <> '?') AS changed FROM p),
 f AS (SELECT *, 'pages-' || coalesce(floor(page_id / {FILE_PAGES})::BIGINT, -1) || '-0' AS file FROM r)
 SELECT page_id, file, (sum(length) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, url NULLS FIRST, digest ROWS UNBOUNDED PRECEDING) - length)::BIGINT AS "offset",
        length::BIGINT AS length, digest,
