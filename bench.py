@@ -22,6 +22,7 @@ HEADLINES = [
     "trending_tags", "homepage_sections", "vector_search", "vector_search_filtered", "similar_articles",
     "similar_all", "hybrid_search", "autocomplete", "spellcheck", "autocomplete_spell", "snippet_content",
     "cache_hits", "embedding_reuse", "workload_search", "workload_vector", "workload_hybrid",
+    "get_articles", "homepage", "upsert_search", "workload_phrases", "workload_pages", "workload_facets",
 ]
 
 
@@ -37,7 +38,10 @@ def timed(work) -> float:
 
 def build(spark, sf_dir) -> None:
     c = corpus(spark, sf_dir)
-    for part in (c.articles, c.docs, c.postings, c.term_stats, c.totals, c.vectors, c.suggestions):
+    for part in (
+        c.articles, c.docs, c.postings, c.term_stats, c.totals, c.term_blocks, c.vectors, c.suggestions, c.completions,
+        c.edit_keys,
+    ):
         assert part is not None
 
 

@@ -25,6 +25,8 @@ TRIE_CHARS = 24
 TOPIC_CHARS = 40
 SPARSE = 3
 SPELL_DISTANCE = 1
+#: The distance that keys are stored for, and the most near terms that a search names one by one.
+EDIT_DISTANCE, LITERAL_TERMS = 2, 1000
 
 
 # --- dictionary and autocomplete ---------------------------------------------------------------
@@ -170,6 +172,37 @@ def probe_keys(word: Column, distance: int) -> Column:
     return F.array_distinct(F.array_compact(keys))
 
 
+def key_text(key: Column) -> Column:
+    """A segment key as one string, to sort and look up by."""
+    return F.concat_ws(":", key["length"].cast("string"), key["index"].cast("string"), key["segment"])
+
+
+def edit_keys(terms: DataFrame, distance: int = EDIT_DISTANCE) -> DataFrame:
+    """``(key, term)``: the stored side of the edit-distance join, one row per segment of a distinct term."""
+    keys = F.transform(segment_keys(F.col("term"), distance), key_text)
+    return terms.select(F.explode(keys).alias("key"), "term")
+
+
+def near_pairs(corpus: "Corpus", words: list[str], distance: int) -> list[tuple[str, str]] | None:
+    """The terms within ``distance`` edits of a few words, by the stored keys, as ``(word, term)``.
+
+    The keys of the words are literals, so the scan skips all other row groups of the sorted table. None
+    where the corpus has no such table for the distance, or where more than ``LITERAL_TERMS`` terms are near.
+    """
+    if corpus.edit_keys is None or distance != EDIT_DISTANCE or not words:
+        return None
+    probes = [F.transform(probe_keys(F.lit(w), distance), key_text) for w in words]
+    keys = corpus.spark.range(1).select(F.array_distinct(F.flatten(F.array(*probes))).alias("k")).first()["k"]
+    term = F.col("term")
+    near = F.filter(
+        F.array(*[F.lit(w) for w in words]),
+        lambda w: (F.abs(F.length(term) - F.length(w)) <= distance) & (F.levenshtein(term, w, distance) >= 0),
+    )
+    held = corpus.edit_keys.filter(F.col("key").isin(keys)).select("term").distinct()
+    rows = held.filter(F.size(near) > 0).select("term", near.alias("words")).limit(LITERAL_TERMS + 1).collect()
+    return None if len(rows) > LITERAL_TERMS else [(w, r["term"]) for r in rows for w in r["words"]]
+
+
 def near_terms(
     vocabulary: DataFrame, words: DataFrame, distance: int, max_bytes: int | None = None
 ) -> DataFrame:

@@ -7,6 +7,7 @@ the others only those that can still beat the last score of the page.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,9 +17,10 @@ from broadsheet.functions.text import highlight as highlight_words
 from broadsheet.functions.text import literal_tokens, snippet
 from broadsheet.operators.filters import Filters, has_text
 from broadsheet.operators.skew import sized_join
+from broadsheet.operators.suggest import near_pairs
 from broadsheet.plans.corpus import Corpus
 from broadsheet.plans.textindex import document_frequency, in_fields
-from broadsheet.schemas import SEARCH_FIELDS
+from broadsheet.schemas import SEARCH_FIELDS, local_table
 from broadsheet.sources.store import bucket_of_file
 
 # Pages up to this many rows are looked up by literal key, which lets the scan skip all other buckets.
@@ -115,13 +117,22 @@ def exact_scores(
 
 
 def fuzzy_terms(
-    corpus: Corpus, text: str, fields: list[str], distance: int = FUZZY_DISTANCE
+    corpus: Corpus, text: str, fields: list[str], distance: int = FUZZY_DISTANCE,
+    pairs: list[tuple[str, str]] | None = None,
 ) -> DataFrame:
     """``(word, term, df)``: vocabulary terms within ``distance`` edits of each query word.
 
-    The words are literals, so the vocabulary is filtered in one scan, without a join.
+    ``pairs``, or the stored edit keys, name the terms, and only their statistics are read. Where too many
+    are near, or no keys are stored, the vocabulary is filtered in one scan, without a join.
     """
     words = literal_tokens(corpus.spark, text)
+    if pairs is None:
+        pairs = near_pairs(corpus, words, distance)
+    stats = corpus.term_stats.filter(in_fields(fields))
+    if pairs is not None:
+        named = local_table(corpus.spark, pairs, word=pa.string(), term=pa.string())  # bounded by LITERAL_TERMS
+        stats = stats.filter(F.col("term").isin(sorted({t for _, t in pairs})) if pairs else F.lit(False))
+        return stats.join(F.broadcast(named), "term").groupBy("word", "term").agg(F.sum("n").alias("df"))
     term = F.col("term")
     near = F.filter(
         F.array(*[F.lit(w) for w in words]).cast("array<string>"),
@@ -129,29 +140,45 @@ def fuzzy_terms(
         & (F.levenshtein(term, w, distance) >= 0),
     )
     return (
-        corpus.term_stats.filter(in_fields(fields))
-        .select("term", "n", F.explode(near).alias("word"))
+        stats.select("term", "n", F.explode(near).alias("word"))
         .groupBy("word", "term")
         .agg(F.sum("n").alias("df"))
     )
 
 
+def fuzzy_buckets(corpus: Corpus, pairs: list[tuple[str, str]], words: int, fields: list[str]) -> list[int] | None:
+    """Buckets with a near term of every word; None means all."""
+    if corpus.term_blocks is None or not pairs:
+        return None
+    named = local_table(corpus.spark, pairs, word=pa.string(), term=pa.string())
+    blocks = corpus.term_blocks.filter(F.col("term").isin(sorted({t for _, t in pairs})))
+    if set(fields) <= set(SEARCH_FIELDS):
+        blocks = blocks.filter(F.col("most").isNotNull())
+    held = blocks.join(F.broadcast(named), "term").groupBy("bucket").agg(F.count_distinct("word").alias("n"))
+    return [r["bucket"] for r in held.filter(F.col("n") == words).select("bucket").collect()]
+
+
 def fuzzy_scores(
     corpus: Corpus, text: str, fields: list[str], distance: int = FUZZY_DISTANCE
 ) -> DataFrame:
     """``(ord, score)``: per query word the best-scoring near term, all words required."""
     words = literal_tokens(corpus.spark, text)
-    near = fuzzy_terms(corpus, text, fields, distance).select(
+    pairs = near_pairs(corpus, words, distance)
+    near = fuzzy_terms(corpus, text, fields, distance, pairs).select(
         "word", "term", scoring.idf(F.col("df"), corpus.totals["n"]).alias("idf")
     )
     part = scoring.contribution(
         F.col("tf"), F.col("dl"), F.col("idf"), corpus.average_length(fields)
     )
-    hits = corpus.postings_for(fields).select(
-        "term", "ord",
-        scoring.weighted("tf", fields).alias("tf"),
-        scoring.weighted("len", fields).alias("dl"),
-    )
+    if pairs is not None:
+        buckets = fuzzy_buckets(corpus, pairs, len(words), fields)
+        hits = matching_postings(corpus, sorted({t for _, t in pairs}), fields, buckets)
+    else:
+        hits = corpus.postings_for(fields).select(
+            "term", "ord",
+            scoring.weighted("tf", fields).alias("tf"),
+            scoring.weighted("len", fields).alias("dl"),
+        )
     return (
         sized_join(hits.filter(F.col("tf") > 0), near, ["term"])
         .groupBy("ord", "word")

@@ -25,7 +25,7 @@ BUCKETED = {
     "postings": (("term",), ("head",)),
     "vectors": (("ord",), ()),
 }
-TABLES = [*BUCKETED, "term_stats", "term_blocks", "suggestions", "completions"]
+TABLES = [*BUCKETED, "term_stats", "term_blocks", "suggestions", "completions", "edit_keys"]
 LAYOUT = "name string, columns string, buckets int"
 
 _open: dict[tuple[str, str], "Corpus"] = {}
@@ -152,6 +152,12 @@ class Corpus:
     def suggestions(self) -> DataFrame:
         return self.store.write("suggestions", suggest.dictionary(self.articles))
 
+    @built
+    def edit_keys(self) -> DataFrame:
+        """Segment keys of the vocabulary, sorted, so that near terms of a word are a lookup."""
+        keys = suggest.edit_keys(self.term_stats.select("term").distinct())
+        return self.store.write("edit_keys", keys.repartitionByRange("key").sortWithinPartitions("key"))
+
     @built
     def completions(self) -> DataFrame:
         """The completion trie, sorted by key, so that a lookup skips the row groups of other keys."""

@@ -175,6 +175,11 @@ class LiveCorpus(Corpus):
         """Buckets of a live index aren't one table's, so searches read them all."""
         return None
 
+    @property
+    def edit_keys(self) -> None:
+        """Not kept for changes: near terms are found by a scan of the vocabulary."""
+        return None
+
     # --- changes -------------------------------------------------------------------------------
 
     def _write(self, prefix: str, name: str, df: DataFrame) -> DataFrame:

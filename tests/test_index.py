@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from broadsheet.operators import textsearch
+from broadsheet.operators import suggest, textsearch
 from broadsheet.operators.filters import Filters
 from broadsheet.plans import textindex
 from broadsheet.plans.corpus import Corpus
@@ -108,3 +108,28 @@ def test_bounds_hold_and_leave_buckets_out(built):
     bounds = textsearch.bounded_buckets(built, ["le"])
     assert scores.join(bounds, "bucket").filter("top > bound + 1e-6").isEmpty()
     assert scores.join(bounds, "bucket").count() == scores.count()
+
+
+def test_fuzzy_terms_come_from_stored_keys(built, monkeypatch):
+    words, near = ["thing", "onthe", "gouvernementx", "qqqqqqqqqq"], []
+    pairs = suggest.near_pairs(built, words, 2)
+    for term in {r["term"] for r in built.term_stats.select("term").distinct().collect()}:
+        near += [(w, term) for w in words if edits(w, term) <= 2]
+    assert sorted(pairs) == sorted(near) and len(near) > 10
+    fields = ["title", "summary"]
+    plan = plan_of(textsearch.fuzzy_terms(built, "thing onthe", fields))
+    assert "In(term, [" in plan
+    assert "In(term, [" in plan_of(textsearch.fuzzy_scores(built, "thing onthe", fields))
+    found = sorted(textsearch.fuzzy_scores(built, "thing onthe", fields).collect())
+    monkeypatch.setattr(suggest, "LITERAL_TERMS", 0)  # too many near terms to name: the scan
+    assert suggest.near_pairs(built, ["thing"], 2) is None
+    assert sorted(textsearch.fuzzy_scores(built, "thing onthe", fields).collect()) == found
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        prev, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+    return row[-1]
