@@ -30,8 +30,10 @@ from broadsheet.llm.common import mix, shingles, stage_table
 
 #: Rounds of stars at any centre, before the one at the text that shares most with all others.
 STARS = 1
-#: Texts of a block in the last round, and parts that a matrix of such a block has at once.
-PAIR_ROWS, PART_COLUMNS = 512, 8192
+#: Texts and missing parts of a block in the last round, and parts that a matrix of such a block has at once.
+PAIR_ROWS, PAIR_PARTS, PART_COLUMNS = 512, 1 << 19, 4096
+#: Bytes of text that missing parts are worked out for at once.
+PART_BYTES = 1 << 22
 
 
 def node_key(text: str | Column) -> Column:
@@ -333,15 +335,16 @@ def unlinked_pairs(placed: DataFrame, texts: DataFrame, threshold: float, k: int
     read = rows.select("a", "b").join(side["a"], "a").join(side["b"], "b").select("a", "b", "text_a", "text_b")
     parts = read.mapInArrow(missing_parts(k, weighted), "a binary, b binary, parts array<long>")
     rows = stage_table(spark, parts.join(rows, ["a", "b"]), "parts")
+    alone, size = ~F.col("linked"), F.size("parts")
     blocks = rows.groupBy("a").agg(
-        F.ceil(F.count(F.when(~F.col("linked"), 1)) / PAIR_ROWS).cast("int").alias("left_blocks"),
-        F.ceil(F.count(F.lit(1)) / PAIR_ROWS).cast("int").alias("right_blocks"),
+        F.ceil(F.greatest(F.count(F.when(alone, 1)) / PAIR_ROWS, F.sum(F.when(alone, size)) / PAIR_PARTS)).cast("int").alias("left_blocks"),
+        F.ceil(F.greatest(F.count(F.lit(1)) / PAIR_ROWS, F.sum(size) / PAIR_PARTS)).cast("int").alias("right_blocks"),
     )
     blocks = stage_table(spark, blocks.where("left_blocks > 0"), "blocks")
     block = lambda n: F.pmod(F.xxhash64("b"), F.col(n)).cast("int")
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     cut = rows.join(blocks, "a")
-    left = cut.where(~F.col("linked")).select(*rows.columns, block("left_blocks").alias("i"), copies("right_blocks").alias("j"))
+    left = cut.where(alone).select(*rows.columns, block("left_blocks").alias("i"), copies("right_blocks").alias("j"))
     again = [F.col(c).alias(c) for c in rows.columns]  # columns of their own, as both sides are one table
     right = cut.select(*again, block("right_blocks").alias("j"), copies("left_blocks").alias("i"))
     met = left.groupBy("a", "i", "j").cogroup(right.groupBy("a", "i", "j"))
@@ -398,11 +401,22 @@ def mixed_roots(rows: DataFrame) -> DataFrame:
     return rows.join(roots.where(F.col("lowest") != F.col("highest")).select("key"), "key")
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of pairs in pieces of about ``PART_BYTES`` of text, one row at least."""
+    sizes = sum(pc.binary_length(batch.column(c)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("text_a", "text_b"))
+    total, first = np.cumsum(sizes), 0
+    while first < batch.num_rows:
+        before = total[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(total, before + PART_BYTES, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def missing_parts(k: int, weighted: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``a, b, parts``: what ``text_a`` has and ``text_b`` has not, by a hash of the shingle and its repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             known: dict[bytes, tuple] = {}
             for side in "ab":
                 nodes = batch.column(side).to_pylist()
