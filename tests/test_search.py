@@ -548,3 +548,29 @@ def test_cache_key(spark):
     plain = "text:the of:all:all:relevance:0:10"
     assert keys[0] == "query_cache:text:" + hashlib.md5(plain.encode()).hexdigest()
     assert keys[1] != keys[0] and re.fullmatch(r"query_cache:text:[0-9a-f]{32}", keys[1])
+
+
+def test_visits_are_not_copied_per_cell(spark):
+    """Without structure every cell is reached: a query travels once per block, and nothing is broadcast whole."""
+    from broadsheet.operators import vectors as module
+
+    assert module.blocks_of_cells({0: 3, 1: 4, 2: 9, 3: 2, 5: 1}, 4) == [(0, 0, 1), (1, 1, 1), (2, 2, 3), (3, 5, 1), (5, 5, 1)]
+    data, df = vectors(spark, 300, dim=24, seed=3)
+    queries = df.select(F.col("ord").alias("query_key"), "vector")
+    seen, keep = [], module._met_away
+
+    def counted(rows, bounded, there, *rest):
+        seen.append((rows, bounded, there, rest[0]))
+        return keep(rows, bounded, there, *rest)
+
+    module._met_away = counted
+    try:
+        got = {(r.query_key, r.ord, r.distance) for r in nearest(df, queries, 3, "earlier", query_bytes=0, block_rows=100).collect()}
+    finally:
+        module._met_away = keep
+    (rows, bounded, there, sizes), = seen
+    blocks = {b for _, first, n in module.blocks_of_cells(sizes, 100) for b in range(first, first + n)}
+    assert there.count() > 300 * 3 > 300 * len(blocks) / 2
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    far = np.round(1 - unit @ unit.T, 6) + 0.0
+    assert got == {(q, j, float(far[q, j])) for q in range(300) for j in sorted(range(q), key=lambda j: (far[q, j], j))[:3]}
