@@ -133,3 +133,15 @@ def edits(a, b):
         for j, y in enumerate(b, 1):
             prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
     return row[-1]
+
+
+def test_buckets_go_by_the_bytes_of_text(spark):
+    """The task that makes postings holds them, so buckets stay small however well the files compress."""
+    from pyspark.sql import functions as F
+
+    from broadsheet.plans.corpus import BYTES_PER_BUCKET, bucket_count
+
+    article = F.expr("repeat('a ', 500000)").alias("article")
+    raw = spark.range(200).select(F.col("id").alias("ord"), article)
+    assert BYTES_PER_BUCKET <= 16 * 1024 * 1024
+    assert bucket_count(spark, raw) == -(-200 * 1_000_000 // BYTES_PER_BUCKET) > spark.sparkContext.defaultParallelism
