@@ -574,3 +574,22 @@ def test_visits_are_not_copied_per_cell(spark):
     unit = data / np.linalg.norm(data, axis=1, keepdims=True)
     far = np.round(1 - unit @ unit.T, 6) + 0.0
     assert got == {(q, j, float(far[q, j])) for q in range(300) for j in sorted(range(q), key=lambda j: (far[q, j], j))[:3]}
+
+
+def test_slices_of_requests_change_nothing(c, spark, sf_dir, monkeypatch):
+    """Requests beyond one broadcast are searched in slices; exact, fuzzy and without text."""
+    rows = [
+        (i, text, "All", "All", sort, fuzzy, 0, 4)
+        for i, (text, sort, fuzzy) in enumerate(
+            (t, s, f) for t in ("the of", "le de", "", "thing onthe", "der") for s in ("relevance", "date_asc") for f in (False, True)
+        )
+    ]
+    requests = spark.createDataFrame(
+        rows, "query_id long, text string, categories string, sources string, sort string, fuzzy boolean, offset int, limit int"
+    )
+    want = {tuple(r) for r in workload.search_all(c, requests).collect()}
+    counts = {tuple(r) for r in workload.category_counts_all(c, requests).collect()}
+    cut = lambda d, n=0: [d.filter(F.pmod(F.xxhash64("qkey"), F.lit(3)) == i) for i in range(3)]
+    monkeypatch.setattr(workload, "slices", cut)
+    assert {tuple(r) for r in workload.search_all(c, requests).collect()} == want and len(want) > 20
+    assert {tuple(r) for r in workload.category_counts_all(c, requests).collect()} == counts
