@@ -576,6 +576,26 @@ def test_visits_are_not_copied_per_cell(spark):
     assert got == {(q, j, float(far[q, j])) for q in range(300) for j in sorted(range(q), key=lambda j: (far[q, j], j))[:3]}
 
 
+def test_copied_sides_are_narrow(c, spark, monkeypatch):
+    """A side too large to broadcast is copied to all slots, so it never is the one with texts or answers."""
+    from broadsheet.operators import lookup
+
+    seen, keep = [], lookup.sized_join
+    note = lambda big, small, *rest, **named: seen.append(small.columns) or keep(big, small, *rest, **named)
+    ids = spark.createDataFrame([("nw_0000001",), ("article:nw_0000002",), ("nw_0000001",), ("none",), (None,)], "requested string")
+    monkeypatch.setattr(lookup, "sized_join", note)
+    got = lookup.get_articles(c, ids, ["title", "content"]).collect()
+    assert sorted((r.requested or "", r.found, r.id or "") for r in got) == [
+        ("", False, ""), ("article:nw_0000002", True, "nw_0000002"), ("none", False, ""),
+        ("nw_0000001", True, "nw_0000001"), ("nw_0000001", True, "nw_0000001"),
+    ]
+    assert not any("content" in columns for columns in seen)
+    monkeypatch.setattr(workload, "sized_join", note)
+    seen.clear()
+    workload.give_back(spark.createDataFrame([(1, "a")], "query_id long, qkey string"), spark.createDataFrame([("a", "x")], "qkey string, content string"))
+    assert seen == [["query_id", "qkey"]]
+
+
 def test_slices_of_requests_change_nothing(c, spark, sf_dir, monkeypatch):
     """Requests beyond one broadcast are searched in slices; exact, fuzzy and without text."""
     rows = [
