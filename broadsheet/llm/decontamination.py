@@ -36,9 +36,9 @@ SIZE = 10
 #: Words to either side of the rarest word that count as near.
 REACH = 15
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A word of a text in small letters, and the same before letters are made small.
+#: A word of a text in small letters, and the same before letters are made small, by its ranges: twice as fast as by what it has not.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+ANY_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def words(text: str | Column) -> Column:
@@ -51,30 +51,37 @@ def small(word: Column) -> Column:
     return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
 
 
-def n_words(text: str | Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(ANY_WORD)).cast("long")
-
-
 def _sent(df: DataFrame) -> DataFrame:
     """A written table, marked to be sent to all tasks where its measured size allows."""
     return F.broadcast(df) if fits_broadcast(df) else df
 
 
 class Index:
-    """The postings of a training set for the words of a set of items, as a written table."""
+    """The postings of a training set for the words of a set of items, as a written table.
 
-    def __init__(self, docs: DataFrame, items: DataFrame):
+    Texts are cut into words once. The first word of every row is written too, whether or not it is a test
+    word, with the row's columns ``kept`` and its number of words: ``rows`` has these of all rows.
+    """
+
+    def __init__(self, docs: DataFrame, items: DataFrame, kept: tuple[str, ...] = ()):
         spark = docs.sparkSession
         cut = items.select(node_key("text").alias("item"), "text")
         cut = cut.select("item", F.posexplode(words("text")).alias("q", "word"))
         cut = cut.withColumn("word", small(F.col("word")))
         self.items = stage_table(spark, cut.distinct(), "items")
         terms = stage_table(spark, self.items.select("word").distinct(), "terms")
-        # The key comes first: beside the generator it would be worked out for every word.
-        keyed = docs.select(node_key("text").alias("key"), "text")
-        placed = keyed.select("key", F.posexplode(words("text")).alias("at", "word"))
+        # Key and words come first: beside the generator they would be worked out for every word.
+        row = F.struct(*kept, F.size("words").cast("long").alias("n_words")).alias("row")
+        keyed = docs.select(*kept, node_key("text").alias("key"), words("text").alias("words"))
+        placed = keyed.select("key", "words", row).select("key", "row", F.posexplode_outer("words").alias("at", "word"))
         placed = placed.withColumn("word", small(F.col("word")))
-        self.postings = stage_table(spark, placed.join(_sent(terms), "word"), "postings")
+        first = F.coalesce(F.col("at"), F.lit(0)) == 0  # texts without words have no place
+        found = placed.join(_sent(terms.withColumn("term", F.col("word"))), "word", "left")
+        found = found.where(first | F.col("term").isNotNull())
+        found = found.select("key", "at", F.col("term").alias("word"), F.when(first, F.col("row")).alias("row"))
+        found = stage_table(spark, found, "postings")
+        self.postings = found.where(F.col("word").isNotNull()).select("word", "key", "at")
+        self.rows = found.where(first).select("key", "row.*")
         counts = self.postings.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         counts = terms.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
         self.frequency = stage_table(spark, counts, "frequency")
@@ -168,7 +175,7 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFra
     ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
     """
     spark = docs.sparkSession
-    index = Index(docs.select("text"), items.select("text"))
+    index = Index(docs, items.select("text"), ("doc_id",))
     found = stage_table(spark, phrases(index, size), "phrases")
     places = found.select("key", F.explode(F.sequence("first", "last")).alias("at")).distinct()
     hits = places.groupBy("key").agg(F.count(F.lit(1)).alias("n_hit"))
@@ -179,10 +186,9 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFra
         F.array_sort(F.collect_set("id")).alias("ids")
     )
     results = stage_table(spark, hits.join(named, "key"), "results")
-    rows = docs.select("doc_id", node_key("text").alias("key"), n_words("text").alias("n_words"))
     listed = F.coalesce("ids", F.array().cast("array<string>"))
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return rows.join(_sent(results), "key", "left").select(
+    return index.rows.join(_sent(results), "key", "left").select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
         F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
     )

@@ -147,6 +147,16 @@ def test_hits_against_brute_force(make_docs, make_items):
     assert sorted((r.doc_id for r in clean.collect()), key=key) == sorted((w[0] for w in want if not w[-1]), key=key)
 
 
+def test_texts_are_cut_into_words_once(make_docs, make_items, monkeypatch):
+    docs, items = contamination_rows()
+    cut, words = [], decontamination.words
+    monkeypatch.setattr(decontamination, "words", lambda text: cut.append(text) or words(text))
+    got = decontamination.contaminated(make_docs(docs), make_items(items))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(cut) == 2 and "regexp" not in plan  # items and documents, both before the last step
+    assert sorted(str(r.doc_id) for r in got.collect()) == sorted(str(i) for i, _ in docs)
+
+
 def test_proximity_against_brute_force(make_docs, make_items):
     rng = np.random.default_rng(13)
     words = [f"p{i}" for i in range(40)]
