@@ -215,34 +215,48 @@ def shared_weight(placed: DataFrame, texts: DataFrame, k: int, weighted: bool) -
     )
 
 
-def classes(spark: SparkSession, links: DataFrame) -> DataFrame:
+def classes(spark: SparkSession, links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """``node, root`` of every linked node: the smallest node that it is connected with.
 
-    Labels spread over links and then jump to their label's label, so a class of diameter d is done
-    in about log d rounds. Each round is a written table.
+    ``labels`` are the classes of earlier links, which ``links`` may connect. Every node with a link takes
+    its smallest neighbour as its top, then its top's top until nothing moves. The links left are those
+    between tops, of which there are half as many as nodes at most. So a class of n nodes is done in
+    log n rounds at most, and a link within a class is read in one round only. Each step is a written table.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = stage_table(spark, both, "links")
-    labels = stage_table(
-        spark, both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "labels"
-    )
-    while True:
-        near = (
-            both.join(labels.select(F.col("node").alias("b"), "root"), "b")
-            .groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        )
-        spread = labels.join(near, "node").select(
-            "node", F.col("root").alias("old"), F.least("root", "near").alias("via")
-        )
-        jump = labels.select(F.col("node").alias("via"), F.col("root").alias("beyond"))
-        moved = stage_table(
-            spark,
-            spread.join(jump, "via").select("node", F.least("via", "beyond").alias("root"), "old"),
-            "labels",
-        )
-        labels = moved.select("node", "root")
-        if moved.where(F.col("root") != F.col("old")).isEmpty():
-            return labels
+    pairs = links.select("a", "b").distinct()
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    if labels is None:
+        labels = nodes.select("node", F.col("node").alias("root"))
+    else:
+        pairs = between(pairs, labels, "left")
+        new = nodes.join(labels, "node", "left_anti")
+        labels = labels.union(new.select("node", F.col("node").alias("root")))
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b"))
+    both = stage_table(spark, both.distinct(), "links")
+    labels = stage_table(spark, labels, "labels")
+    while not both.isEmpty():
+        least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
+        tops = stage_table(spark, least.select("node", F.least("node", "least").alias("root")), "tops")
+        while True:
+            jump = tops.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
+            moved = tops.join(jump, "root").select("node", F.col("beyond").alias("root"), F.col("root").alias("old"))
+            moved = stage_table(spark, moved, "tops")
+            tops = moved.select("node", "root")
+            if moved.where(F.col("root") != F.col("old")).isEmpty():
+                break
+        risen = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        risen = labels.join(risen, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        labels = stage_table(spark, risen, "labels")
+        both = stage_table(spark, between(both, tops, "inner"), "links")
+    return labels
+
+
+def between(pairs: DataFrame, labels: DataFrame, how: str) -> DataFrame:
+    """The pairs ``a, b`` as pairs of different roots, once each."""
+    for side in "ab":
+        root = labels.select(F.col("node").alias(side), F.col("root").alias("top"))
+        pairs = pairs.join(root, side, how).withColumn(side, F.coalesce("top", side)).drop("top")
+    return pairs.where(F.col("a") != F.col("b")).select("a", "b").distinct()
 
 
 def near_classes(
@@ -260,7 +274,7 @@ def near_classes(
     texts = stage_table(spark, texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
     check = lambda pairs: verified(pairs, signs, texts, threshold, slack, components, k, weighted)
     members = members.select("key", "node")
-    links, labels = None, None
+    labels = None
 
     mixed = mixed_roots
     def rooted(rows: DataFrame) -> DataFrame:
@@ -278,8 +292,7 @@ def near_classes(
         found = stage_table(spark, check(stars.distinct()), "links").select("a", "b")
         if number and found.isEmpty():
             continue
-        links = found if links is None else links.union(found)
-        labels = classes(spark, links)
+        labels = classes(spark, found, labels)
 
     placed = stage_table(spark, mixed(rooted(placed)), "placed")
     if placed.isEmpty():
@@ -293,8 +306,7 @@ def near_classes(
     both = stage_table(spark, overlaps(pairs, texts, k, weighted), "overlaps")
     found = both.where(F.col("jaccard") >= threshold).select("a", "b")
     if not found.isEmpty():
-        links = links.union(found)
-        labels = classes(spark, links)
+        labels = classes(spark, found, labels)
     known = rooted(placed.select("key", F.col("b").alias("node"))).select("key", F.col("node").alias("b"), "root")
     placed = mixed(placed.drop("root").join(known.distinct(), ["key", "b"]))
     placed = placed.join(both.select("a", "b", "both"), ["a", "b"], "left").withColumn("both", F.coalesce("both", "total"))
@@ -303,7 +315,7 @@ def near_classes(
     if rest.isEmpty():
         return labels
     more = stage_table(spark, check(rest), "links").select("a", "b")
-    return labels if more.isEmpty() else classes(spark, links.union(more))
+    return labels if more.isEmpty() else classes(spark, more, labels)
 
 
 def unlinked_pairs(placed: DataFrame, texts: DataFrame, threshold: float, k: int, weighted: bool) -> DataFrame:

@@ -1,10 +1,11 @@
+import hashlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from broadsheet.llm import bagminhash, minhash
+from broadsheet.llm import bagminhash, minhash, neardup
 from broadsheet.llm.common import shingles
 
 
@@ -138,6 +139,51 @@ def test_edited_texts(make_docs, monkeypatch, ranges):
     assert prints[40] == prints[41]
 
 
+def test_links_of_a_class_are_read_once(spark, monkeypatch):
+    """A hub, a path and a random graph; more links meet classes that are known."""
+    rng = np.random.default_rng(17)
+    name = lambda i: hashlib.md5(str(i).encode()).digest()[:12]
+    links = [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(300, 400)]
+    links += [(500 + a, 500 + b) for a, b in rng.integers(0, 100, (70, 2)).tolist()]
+    more = [(5, 350), (600, 7), (700, 701), (20, 30)]
+    written, stage = [], neardup.stage_table
+
+    def counted(session, df, what):
+        out = stage(session, df, what)
+        if what == "links":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "stage_table", counted)
+    table = lambda pairs: spark.createDataFrame([(name(a), name(b)) for a, b in pairs], "a binary, b binary")
+
+    def want(pairs):
+        root = {x: x for pair in pairs for x in map(name, pair)}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            p, q = find(name(a)), find(name(b))
+            root[max(p, q)] = min(p, q)
+        return {x: find(x) for x in root}
+
+    def got(labels):
+        rows = labels.collect()
+        assert len(rows) == len({bytes(r.node) for r in rows})
+        return {bytes(r.node): bytes(r.root) for r in rows}
+
+    labels = neardup.classes(spark, table(links))
+    assert got(labels) == want(links)
+    # Each link within a class goes after one round, and at last none is left.
+    assert len(written) > 1 and written[0] > 600 and sum(written[1:]) < written[0] and written[-1] == 0
+    written.clear()
+    assert got(neardup.classes(spark, table(more), labels)) == want(links + more)
+    assert written[0] == 6  # both ways; the fourth lies within a class
+
+
 def test_single_document_follows_itself(make_docs):
     assert minhash.edited(make_docs([(1, "one two three four five six")])).first().near_next == 1.0
 
