@@ -242,9 +242,10 @@ def paths(leaves: DataFrame, logs: list[DataFrame], beyond: DataFrame, emit, sch
         done = both.applyInArrow(_extractor(write), kind)
         if last:
             return done
-        done = stage_table(spark, done, "paths")
-        # Trees that are done below this round keep the path of their root.
+        # Trees that are done below this round keep the path of their root. Written, as the next round's plan may
+        # not hold a join beside two uses of its log.
         above = done.unionByName(above.join(logs[number].select("tree").distinct(), "tree", "left_anti"))
+        above = stage_table(spark, above, "paths")
     raise AssertionError("a log has a round at least")
 
 

@@ -292,3 +292,39 @@ def test_inclusion_proofs_lead_to_the_root(make_docs):
     assert len(proofs) == 60
     for r in proofs:
         assert manifest._fold(bytes(r.digest), [s.asDict() for s in r.path]) == root
+
+
+def test_proofs_over_three_rounds_of_builders(spark):
+    def built(number, digests, n, tree="=a"):
+        at = range(len(digests))
+        batch = pa.RecordBatch.from_pydict(
+            {"tree": [tree for _ in at], "round": [number for _ in at], "place": list(at), "n": [n for _ in at], "digest": digests}
+        )
+        return [tuple(r.values()) for out in manifest._build(iter([batch])) for r in out.to_pylist()]
+
+    def root_of(nodes, place):
+        return [r[6] for r in nodes if (r[3], r[4]) == (manifest.BLOCK, place)][0]
+
+    block = manifest.FAN**manifest.BLOCK
+    digests = [hashlib.sha256(str(i).encode()).digest() for i in range(2 * block)]
+    # One block of the first round; the roots of the others are made up.
+    first = built(0, digests[:block], block**2 + 1)
+    second = built(1, [root_of(first, 0), *digests[block:]], block + 1)
+    third = built(2, [root_of(second, 0), root_of(second, 1)], 2)
+    other = built(0, [b"leaf"], 1, "=b")
+    logs = [spark.createDataFrame(nodes, manifest.LOG) for nodes in (first + other, second, third)]
+    leaves = [("=a", i, block**2 + 1) for i in range(block)] + [("=b", 0, 1)]
+    beyond = spark.createDataFrame([("=a", []), ("=b", [])], f"tree string, {manifest.PATH}")
+
+    def emit(ours, found):
+        return pa.table({"tree": ours.column("tree"), "place": ours.column("place"), "path": pa.array(found, manifest._PATH)})
+
+    leaves = spark.createDataFrame(leaves, "tree string, place long, n long")
+    got = manifest.paths(leaves, logs, beyond, emit, f"tree string, place long, {manifest.PATH}").collect()
+    assert len(got) == block + 1
+    for r in got:
+        path = [s.asDict() for s in r.path]
+        if r.tree == "=b":
+            assert path == []
+        else:
+            assert len(path) == 13 and manifest._fold(digests[r.place], path) == third[-1][6]
