@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from broadsheet.operators import suggest
 from broadsheet.operators.textsearch import search
 from broadsheet.plans import blocks, workload
-from broadsheet.plans.corpus import corpus
+from broadsheet.plans.corpus import Corpus, corpus
+from broadsheet.session import shared_dir
+from broadsheet.sources.store import Store
 
 REQUESTS = "query_id long, text string, categories string, sources string, sort string, fuzzy boolean, offset int, limit int"
 
@@ -52,7 +54,7 @@ def test_blocks_keep_the_best_rows(monkeypatch, every):
     rng = np.random.default_rng(9)
     articles = [
         {
-            "ord": i, "category_tag": [None, "a", "b"][rng.integers(3)], "source_tags": [["x"], ["x", "y"], []][rng.integers(3)],
+            "ord": i // 2 if i % 50 < 2 else i, "row": i, "category_tag": [None, "a", "b"][rng.integers(3)], "source_tags": [["x"], ["x", "y"], []][rng.integers(3)],
             "published_ts": [None, 5, 7, -3][rng.integers(4)],
             "terms": {int(t): float(rng.integers(1, 9)) / 8 for t in rng.choice(20, size=rng.integers(0, 12), replace=False)},
         }
@@ -74,7 +76,7 @@ def test_blocks_keep_the_best_rows(monkeypatch, every):
     table = pa.Table.from_pylist([r | {"dfs": [len(links[w]) for w in r["words"]]} for r in asked], kinds)
     pairs = pa.table({"w": [w for w, ts in links.items() for _ in ts], "t": [t for ts in links.values() for t in ts]})
     kinds = pa.schema([
-        ("ord", pa.int64()), ("category_tag", pa.string()), ("source_tags", pa.list_(pa.string())), ("published_ts", pa.int64()),
+        ("ord", pa.int64()), ("row", pa.int64()), ("category_tag", pa.string()), ("source_tags", pa.list_(pa.string())), ("published_ts", pa.int64()),
         ("numbers", pa.list_(pa.int64())), ("parts", pa.list_(pa.float64())),
     ])
     held = [a | {"numbers": list(a["terms"]), "parts": list(a["terms"].values())} for a in articles]
@@ -86,7 +88,7 @@ def test_blocks_keep_the_best_rows(monkeypatch, every):
     got = {}
     for out in blocks._search(Sent, every)(iter(batch)):
         for r in out.to_pylist():
-            got.setdefault(r["number"], []).append((r["key"], r["ord"], r["score"]))
+            got.setdefault(r["number"], []).append((r["key"], r["ord"], r["row"], r["score"]))
     matched = 0
     for r in asked:
         rows = []
@@ -97,7 +99,7 @@ def test_blocks_keep_the_best_rows(monkeypatch, every):
             if all(parts) and passes:
                 score, ts = sum(map(max, parts)), a["published_ts"] or 0
                 key = {"relevance": -round(score * 10**6), "date_desc": -ts, "date_asc": ts}[r["sort"]]
-                rows.append((key, a["ord"], score))
+                rows.append((key, a["ord"], a["row"], score))
         matched += len(rows)
         assert sorted(got.get(r["number"], [])) == sorted(rows)[: None if every else r["k"]]
     assert matched > 1000
@@ -132,9 +134,21 @@ def test_slices_of_blocks_change_nothing(spark, sf_dir):
 
     def best(**sizes):
         out = {}
-        for r in blocks.block_matches(c, asked, workload.SEARCH_FIELDS, 2, **sizes).collect():
+        for r in blocks.block_matches(c, asked, workload.SEARCH_FIELDS, 2, **sizes)[0].collect():
             out.setdefault(r["number"], []).append((r["key"], r["ord"], r["score"]))
         return {number: sorted(found)[:4] for number, found in out.items()}
 
     whole = best()
     assert best(slice_bytes=400) == whole and len(whole) > 8
+
+
+def test_repeated_articles_stand_once_each(spark):
+    """Articles that share a key are answered as often as they stand in the table."""
+    rows = [(n, f"the title {n}", "2019-01-01 00:00:00", f"some words of {n} " * 9, "A", "Politics", "Vice") for n in (1, 2, 2, 3)]
+    raw = spark.createDataFrame(rows, "ord long, title string, date string, article string, author string, section string, publication string")
+    c = Corpus(Store(spark, f"{shared_dir(spark)}/repeated"), raw, buckets=2)
+    asked = [(1, "the title", "All", "All", "relevance", False, 0, 10), (2, "the titel words some", "All", "All", "relevance", True, 0, 10)]
+    docs = c.docs.count()
+    assert docs > c.docs.select("ord").distinct().count()
+    got = workload.search_all(c, spark.createDataFrame(asked, REQUESTS)).collect()
+    assert sorted(r["rank"] for r in got if r["query_id"] == 1) == list(range(1, docs + 1))
